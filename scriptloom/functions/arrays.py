@@ -1,0 +1,70 @@
+"""Helpers over array columns. A script is one cell, so order inside it is array order:
+the splitters work on arrays in place and need no shuffle, window or collected group."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once per row and use it many times in `body`.
+
+    Without the binding an expression that is used inside another lambda is evaluated
+    again for each element.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
+def scan(
+    items: Column, zero: Column, step: Callable[[Column, Column], Column], state_type: str,
+    span: int = 1024,
+) -> Column:
+    """State after each element, as an array as long as `items`.
+
+    An array append copies the array, so states are gathered in runs of `span` and the
+    runs in an outer array; the copying stays near linear for millions of elements.
+    """
+    empty = F.array().cast(f"array<{state_type}>")
+    start = F.struct(
+        F.array().cast(f"array<array<{state_type}>>").alias("runs"),
+        empty.alias("run"),
+        zero.cast(state_type).alias("state"),
+    )
+
+    def add(acc: Column, item: Column) -> Column:
+        state = step(acc["state"], item).cast(state_type)
+        run = F.concat(acc["run"], F.array(state))
+        return F.when(
+            F.size(acc["run"]) < span - 1,
+            F.struct(acc["runs"].alias("runs"), run.alias("run"), state.alias("state")),
+        ).otherwise(
+            F.struct(
+                F.concat(acc["runs"], F.array(run)).alias("runs"),
+                empty.alias("run"),
+                state.alias("state"),
+            )
+        )
+
+    return F.aggregate(
+        items, start, add, lambda acc: F.flatten(F.concat(acc["runs"], F.array(acc["run"])))
+    )
+
+
+def positions(items: Column) -> Column:
+    """1-based positions of an array; empty for an empty array."""
+    return F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items))).otherwise(
+        F.array().cast("array<int>")
+    )
+
+
+def groups_ending_at(items: Column, ends: Column) -> Column:
+    """Cut `items` after each 1-based position in the ascending array `ends`."""
+
+    def piece(end: Column, index: Column) -> Column:
+        before = F.when(index == 0, F.lit(0)).otherwise(F.get(ends, index - 1))
+        return F.slice(items, before + 1, end - before)
+
+    return F.transform(ends, piece)
