@@ -29,7 +29,8 @@ def query(fn: Query) -> Query:
 @query
 def read_script_files(spark, sf_dir):
     folder = work_folder(spark, "scripts")
-    sl.write_scripts(inputs.scripts(spark, sf_dir), folder, code_col="source")
+    texts = inputs.scripts(spark, sf_dir).select("source")
+    texts.write.option("maxRecordsPerFile", 1).text(folder)
     files = sl.read_scripts(spark, folder)
     return files.groupBy("content_hash").agg(
         F.count("*").alias("n_files"), F.sum(F.length("source")).alias("n_chars")

@@ -20,36 +20,43 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def scan(
     items: Column, zero: Column, step: Callable[[Column, Column], Column], state_type: str,
-    span: int = 1024,
+    span: int = 64,
 ) -> Column:
     """State after each element, as an array as long as `items`.
 
-    An array append copies the array, so states are gathered in runs of `span` and the
-    runs in an outer array; the copying stays near linear for millions of elements.
+    An append copies the array it appends to. So the states of `span` elements at a time
+    grow a short array, and the short arrays are gathered in an outer one; the copying
+    stays small for millions of elements.
     """
-    empty = F.array().cast(f"array<{state_type}>")
-    start = F.struct(
-        F.array().cast(f"array<array<{state_type}>>").alias("runs"),
-        empty.alias("run"),
-        zero.cast(state_type).alias("state"),
-    )
 
-    def add(acc: Column, item: Column) -> Column:
-        state = step(acc["state"], item).cast(state_type)
-        run = F.concat(acc["run"], F.array(state))
-        return F.when(
-            F.size(acc["run"]) < span - 1,
-            F.struct(acc["runs"].alias("runs"), run.alias("run"), state.alias("state")),
-        ).otherwise(
-            F.struct(
-                F.concat(acc["runs"], F.array(run)).alias("runs"),
-                empty.alias("run"),
-                state.alias("state"),
-            )
+    def inner(states: Column, item: Column) -> Column:
+        return F.array_append(states, step(F.element_at(states, -1), item).cast(state_type))
+
+    def outer(acc: Column, part: Column) -> Column:
+        before = F.array(F.element_at(acc["run"], -1))
+        return let(
+            F.aggregate(part, before, inner),
+            lambda run: F.struct(
+                F.array_append(acc["runs"], F.slice(run, F.lit(2), F.size(run))).alias("runs"),
+                run.alias("run"),
+            ),
         )
 
-    return F.aggregate(
-        items, start, add, lambda acc: F.flatten(F.concat(acc["runs"], F.array(acc["run"])))
+    start = F.struct(
+        F.array().cast(f"array<array<{state_type}>>").alias("runs"),
+        F.array(zero.cast(state_type)).alias("run"),
+    )
+    return let(
+        items,
+        lambda all_: F.aggregate(
+            F.transform(
+                F.sequence(F.lit(0), F.greatest(F.size(all_) - 1, F.lit(0)), F.lit(span)),
+                lambda first: F.slice(all_, first + 1, F.lit(span)),
+            ),
+            start,
+            outer,
+            lambda acc: F.flatten(acc["runs"]),
+        ),
     )
 
 

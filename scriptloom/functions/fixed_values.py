@@ -55,3 +55,4 @@ WS_IN_LINE = (
 
 # Line boundaries of the structured path.
 LINE_BOUNDARY = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+RARE_LINE_BOUNDARIES = ["\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]

@@ -7,6 +7,8 @@ scan and a projection: no exchange, and a script never waits for another.
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from scriptloom.functions.arrays import groups_ending_at, let, positions, scan
 from scriptloom.functions.text import (
     is_blank,
     is_comment_only,
+    line_count,
     rstrip,
     strip,
     unix_newlines,
@@ -28,9 +31,15 @@ def _stripped(pieces: Column) -> Column:
 
 def by_delimiter(text: Column, delimiter: str = fixed.BLOCK_DELIMITER) -> Column:
     """Blocks between lines that hold nothing but the delimiter."""
-    gap = f"[{fixed.WS_IN_LINE}]*"
-    line = rf"(?:\A|\n){gap}{re.escape(delimiter)}{gap}(?=\n|\z)"
-    return _stripped(F.split(unix_newlines(text), line))
+    gap = f"[{fixed.WS_IN_LINE}]*+"
+    line = rf"\n{gap}{re.escape(delimiter)}{gap}(?=\n|\z)"
+    pieces = let(
+        unix_newlines(text),
+        lambda unix: F.when(
+            F.contains(unix, F.lit(delimiter)), F.split(F.concat(F.lit("\n"), unix), line)
+        ).otherwise(F.array(unix)),
+    )
+    return _stripped(pieces)
 
 
 def by_lines(text: Column, n: int = fixed.LINES_PER_CHUNK) -> Column:
@@ -54,8 +63,8 @@ def block_pattern(leading_ws: str = "skip") -> str:
     openers = "|".join(
         [rf"CREATE{ws}+(?:OR{ws}+REPLACE{ws}+)?(?:{objects})", "DECLARE", "BEGIN"]
     )
-    skipped = f"{ws}*" if leading_ws == "skip" else ""
-    return rf"{skipped}(?:{openers})[\s\S]*?END{ws}*;|[^;]+;|[^;]+\z"
+    skipped = f"{ws}*+" if leading_ws == "skip" else ""
+    return rf"(?ius){skipped}(?:{openers}).*?END{ws}*;|[^;]+;|[^;]+\z"
 
 
 def by_pattern(text: Column, leading_ws: str = "skip", tail: str = "keep") -> Column:
@@ -64,7 +73,7 @@ def by_pattern(text: Column, leading_ws: str = "skip", tail: str = "keep") -> Co
     if tail not in ("keep", "drop"):
         raise ValueError("tail is 'keep' or 'drop'")
     found = F.regexp_extract_all(
-        unix_newlines(text), F.lit("(?iu)" + block_pattern(leading_ws)), F.lit(0)
+        unix_newlines(text), F.lit(block_pattern(leading_ws)), F.lit(0)
     )
     blocks = F.filter(_stripped(found), lambda block: block != fixed.BLOCK_DELIMITER)
     if tail == "drop":
@@ -113,8 +122,8 @@ def by_size(text: Column, max_chars: int = fixed.MAX_CHUNK_CHARS) -> Column:
     that takes it over `max_chars`."""
 
     def regrouped(parts: Column) -> Column:
-        def add(total: Column, part: Column) -> Column:
-            grown = total + F.length(part) + 1
+        def add(total: Column, length: Column) -> Column:
+            grown = total + length + 1
             return F.when(grown > max_chars, F.lit(0)).otherwise(grown)
 
         def cut(totals: Column) -> Column:
@@ -132,7 +141,7 @@ def by_size(text: Column, max_chars: int = fixed.MAX_CHUNK_CHARS) -> Column:
                 ),
             )
 
-        return let(scan(parts, F.lit(0), add, "int"), cut)
+        return let(scan(F.transform(parts, F.length), F.lit(0), add, "int"), cut)
 
     return F.when(
         F.length(text) > max_chars,
@@ -157,10 +166,10 @@ def batched(
     longer fragments stand alone."""
     alone, closed = -1, 0
 
-    def add(state: Column, fragment: Column) -> Column:
-        buffered = F.greatest(state, F.lit(0)) + F.length(fragment)
+    def add(state: Column, length: Column) -> Column:
+        buffered = F.greatest(state, F.lit(0)) + length
         return (
-            F.when(F.length(fragment) >= small, F.lit(alone))
+            F.when(length >= small, F.lit(alone))
             .when(buffered > cap, F.lit(closed))
             .otherwise(buffered)
         )
@@ -179,7 +188,7 @@ def batched(
                 ),
             )
 
-        return let(scan(kept, F.lit(0), add, "int"), cut)
+        return let(scan(F.transform(kept, F.length), F.lit(0), add, "int"), cut)
 
     return let(F.filter(fragments, lambda f: ~is_blank(f)), join_runs)
 
@@ -226,48 +235,70 @@ def cascade(
 
 
 def text_lines(text: Column) -> Column:
-    """Lines at any line boundary; a boundary at the end opens no further line."""
+    """Lines at any line boundary; a boundary at the end opens no further line.
+
+    The pattern of all boundaries runs only on texts that hold a rare one.
+    """
+
+    def lines(whole: Column) -> Column:
+        rare = [F.contains(whole, F.lit(mark)) for mark in fixed.RARE_LINE_BOUNDARIES]
+        return F.when(reduce(or_, rare), F.split(whole, fixed.LINE_BOUNDARY)).otherwise(
+            F.split(unix_newlines(whole), "\n")
+        )
+
     return let(
-        F.split(text, fixed.LINE_BOUNDARY),
-        lambda lines: F.when(
-            F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)
-        ).otherwise(lines),
+        let(text, lines),
+        lambda ls: F.when(
+            F.element_at(ls, -1) == "", F.slice(ls, F.lit(1), F.size(ls) - 1)
+        ).otherwise(ls),
     )
 
 
-def _next_depth(depth: Column, line: Column) -> Column:
-    """One up if the line holds BEGIN, then one down if it holds END, never below 0."""
+def _depth_step(line: Column) -> Column:
+    """Change of depth: one up if the line holds BEGIN, one down if it holds END."""
     upper = F.upper(line)
-    opened = depth + F.contains(upper, F.lit("BEGIN")).cast("int")
-    return F.greatest(opened - F.contains(upper, F.lit("END")).cast("int"), F.lit(0))
+    return F.contains(upper, F.lit("BEGIN")).cast("int") - F.contains(
+        upper, F.lit("END")
+    ).cast("int")
+
+
+def _next_depth(depth: Column, step: Column) -> Column:
+    return F.greatest(depth + step, F.lit(0))
 
 
 def depths(lines: Column) -> Column:
-    """Nesting depth after each line."""
-    return scan(lines, F.lit(0), _next_depth, "int")
+    """Nesting depth after each line, never below 0."""
+    return scan(F.transform(lines, _depth_step), F.lit(0), _next_depth, "int")
 
 
 def by_top_level(text: Column) -> Column:
     """Blocks that end with a lone slash outside any nesting; the slash stays."""
 
+    def whole(lines: Column) -> Column:
+        return rstrip(F.array_join(lines, "\n"))
+
     def cut(lines: Column) -> Column:
-        def blocks(depth: Column) -> Column:
-            ends = F.filter(
-                positions(lines),
-                lambda i: (
-                    (F.get(depth, i - 1) == 0)
-                    & (strip(F.get(lines, i - 1)) == fixed.BLOCK_DELIMITER)
-                )
-                | (i == F.size(lines)),
-            )
-            return let(
-                ends,
-                lambda at: F.transform(
-                    groups_ending_at(lines, at), lambda ls: rstrip(F.array_join(ls, "\n"))
-                ),
-            )
+        mark = fixed.BLOCK_DELIMITER
+        slashes = F.filter(
+            positions(lines),
+            lambda i: F.contains(F.get(lines, i - 1), F.lit(mark))
+            & (strip(F.get(lines, i - 1)) == mark),
+        )
 
-        return let(depths(lines), blocks)
+        def at_depth_0(marks: Column) -> Column:
+            ends = let(
+                depths(lines), lambda depth: F.filter(marks, lambda i: F.get(depth, i - 1) == 0)
+            )
+            closed = F.array_distinct(F.concat(ends, F.array(F.size(lines))))
+            return let(closed, lambda at: F.transform(groups_ending_at(lines, at), whole))
+
+        # depth matters only where there is a slash to judge
+        return let(
+            slashes,
+            lambda marks: F.when(F.size(lines) == 0, F.array().cast("array<string>"))
+            .when(F.size(marks) == 0, F.array(whole(lines)))
+            .otherwise(at_depth_0(marks)),
+        )
 
     return let(text_lines(text), cut)
 
@@ -277,10 +308,13 @@ def by_safe_lines(block: Column, max_lines: int = fixed.MAX_LINES_PER_CHUNK) ->
     open chunk has `max_lines` lines. Safe: depth 0, line ends with `;` or `/`."""
     state_type = "struct<depth:int,held:int>"
 
+    def traits(line: Column) -> Column:
+        ends_statement = F.substring(rstrip(line), -1, 1).isin(";", "/")
+        return F.struct(_depth_step(line).alias("step"), ends_statement.alias("ends"))
+
     def add(state: Column, line: Column) -> Column:
-        depth = _next_depth(state["depth"], line)
-        tail = F.substring(rstrip(line), -1, 1)
-        full = (depth == 0) & tail.isin(";", "/") & (state["held"] + 1 >= max_lines)
+        depth = _next_depth(state["depth"], line["step"])
+        full = (depth == 0) & line["ends"] & (state["held"] + 1 >= max_lines)
         held = F.when(full, F.lit(0)).otherwise(state["held"] + 1)
         return F.struct(depth.alias("depth"), held.alias("held"))
 
@@ -298,8 +332,8 @@ def by_safe_lines(block: Column, max_lines: int = fixed.MAX_LINES_PER_CHUNK) ->
             )
 
         zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("held"))
-        return F.when(F.size(lines) <= max_lines, F.array(block)).otherwise(
-            let(scan(lines, zero, add, state_type), chunks)
-        )
+        return let(scan(F.transform(lines, traits), zero, add, state_type), chunks)
 
-    return let(F.split(block, "\n"), cut)
+    return F.when(line_count(block) <= max_lines, F.array(block)).otherwise(
+        let(F.split(block, "\n"), cut)
+    )

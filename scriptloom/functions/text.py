@@ -26,13 +26,18 @@ def is_blank(text: Column) -> Column:
 
 
 def unix_newlines(text: Column) -> Column:
-    return F.regexp_replace(text, r"\r\n?", "\n")
+    """CRLF and CR become LF. The pattern runs only on texts that hold a CR."""
+    return F.when(
+        F.contains(text, F.lit("\r")), F.regexp_replace(text, r"\r\n?", "\n")
+    ).otherwise(text)
 
 
 def without_comments(text: Column) -> Column:
     """Drop block comments, then line comments. Blind to string literals; an unclosed
     block comment stays."""
-    no_blocks = F.regexp_replace(text, r"(?s)/\*.*?\*/", "")
+    no_blocks = F.when(
+        F.contains(text, F.lit("/*")), F.regexp_replace(text, r"(?s)/\*.*?\*/", "")
+    ).otherwise(text)
     return F.regexp_replace(no_blocks, r"--[^\n]*", "")
 
 
@@ -44,9 +49,10 @@ def is_comment_only(text: Column) -> Column:
     )
 
 
-def line_count(text: Column) -> Column:
-    return F.length(text) - F.length(F.translate(text, "\n", "")) + 1
+def count_of(text: Column, char: str) -> Column:
+    """Occurrences of one ASCII character."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(char), F.lit("")))
 
 
-def count_of(text: Column, char: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, char, ""))
+def line_count(text: Column) -> Column:
+    return count_of(text, "\n") + 1

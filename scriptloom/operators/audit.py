@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptloom.operators.keyed import join_unique
-from scriptloom.operators.lint import CHUNK_KEYS
 from scriptloom.functions import lint
+from scriptloom.operators.keyed import SALTS
+from scriptloom.operators.lint import CHUNK_KEYS
 
 RUN = 1000
 
@@ -101,17 +101,37 @@ def dedup_chunks(
 def label_copies(
     df: DataFrame, *, code_col: str = "code", order: Sequence[str] = CHUNK_KEYS
 ) -> DataFrame:
-    """Every row that repeats the content of an earlier row, with the place of the first."""
-    hashed = _hashed(df, code_col)
-    firsts = (
-        hashed.select("content_hash", *order)
-        .groupBy("content_hash")
-        .agg(F.min(F.struct(*order)).alias("_first"), F.count("*").alias("n_copies"))
+    """Every row that repeats the content of an earlier row, with the place of the first.
+
+    First row and count are worked out per (hash, salt), merged per hash from at most
+    SALTS partial rows, and joined back by (hash, salt), so the copies of one content are
+    never in one task together.
+    """
+    salt = F.pmod(F.xxhash64(*order), F.lit(SALTS)).cast("int")
+    hashed = _hashed(df, code_col).withColumn("_salt", salt)
+    same = Window.partitionBy("content_hash")
+    labels = (
+        hashed.select("content_hash", "_salt", *order)
+        .groupBy("content_hash", "_salt")
+        .agg(F.min(F.struct(*order)).alias("_least"), F.count("*").alias("_n"))
+        .select(
+            "content_hash",
+            "_salt",
+            F.min("_least").over(same).alias("_first"),
+            F.sum("_n").over(same).alias("n_copies"),
+        )
         .filter("n_copies > 1")
-        .select("content_hash", "n_copies", *[F.col("_first")[c].alias(f"first_{c}") for c in order])
     )
-    is_first = F.struct(*order) == F.struct(*[F.col(f"first_{c}") for c in order])
-    return join_unique(hashed, firsts, ["content_hash"], "inner", order).filter(~is_first)
+    return (
+        hashed.join(labels, ["content_hash", "_salt"])
+        .filter(F.struct(*order) != F.col("_first"))
+        .select(
+            *df.columns,
+            "content_hash",
+            "n_copies",
+            *[F.col("_first")[c].alias(f"first_{c}") for c in order],
+        )
+    )
 
 
 def assemble(

@@ -12,14 +12,18 @@ from pyspark.sql import functions as F
 # A key is hot when it holds more than one row in HOT_SHARE; so at most HOT_SHARE keys are.
 HOT_SHARE = 1000
 SALTS = 64
-SPAN = 4096
+SPAN_BITS = 12
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys with more than 1/HOT_SHARE of all rows. By counting there are fewer than
     HOT_SHARE of them whatever the data, which is the size bound for broadcasting them.
-    The count is combined on the map side, so the hot key itself costs nothing here."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    The count is combined on the map side, so the hot key itself costs nothing here.
+
+    NULL keys are left out first, as every join would do; so all uses of the frame have
+    the same plan and Spark runs it once."""
+    keyed = df.select(*keys).dropna()
+    counts = keyed.groupBy(*keys).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n").alias("_total")).scalar()
     return counts.filter(F.col("_n") * HOT_SHARE > total).select(*keys)
 
@@ -63,11 +67,11 @@ def numbered(
     `order`, which is unique within the key; with `total_as` the rows per key too.
 
     A window over the key alone puts a hot key into one task. Here the window runs over
-    (key, span of SPAN order values); a second, small window over one row per span gives
+    (key, span of 2^SPAN_BITS order values); a second, small window over one row per span gives
     each span its offset, and that joins back on the partitioning the rows already have.
     """
     keys = list(keys)
-    spanned = df.withColumn("_span", F.floor(F.col(order) / SPAN))
+    spanned = df.withColumn("_span", F.shiftright(F.col(order), SPAN_BITS))
     spans = spanned.groupBy(*keys, "_span").agg(F.count("*").alias("_rows"))
     within = Window.partitionBy(*keys).orderBy("_span")
     offsets = spans.select(
