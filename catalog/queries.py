@@ -159,7 +159,7 @@ def batch_small_lines(spark, sf_dir):
 def batch_small_statements(spark, sf_dir):
     pages = inputs.pages(spark, sf_dir)
     return sl.batch_small(
-        pages.withColumn("fragments", splitting.by_statement(F.col("source")))
+        pages.withColumn("fragments", F.expr(splitting.by_statement("source")))
     )
 
 
@@ -238,7 +238,7 @@ def with_progress(spark, sf_dir):
 
 def _rule_query(rule: str) -> None:
     def run(spark, sf_dir):
-        flag = lint.RULES[rule][0](F.col("code")).cast("int").alias("broken")
+        flag = F.expr(lint.RULES[rule][0]("code")).cast("int").alias("broken")
         return inputs.code(spark, sf_dir).select("script_id", "chunk_no", flag)
 
     QUERIES[f"lint_{rule}"] = run

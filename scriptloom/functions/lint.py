@@ -1,43 +1,38 @@
-"""Static checks over a code column: substring tests, no parsing.
+"""Static checks over a code column as SQL expressions: substring tests, no parsing.
 
 Everything here compiles into whole-stage code: no higher-order function is involved.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from scriptloom.functions import fixed_values as fixed
+from scriptloom.functions.sql import literal
 from scriptloom.functions.text import count_of
 
 
-def _holds_any(code: Column, words: list[str]) -> Column:
-    return reduce(or_, [F.contains(code, F.lit(word)) for word in words])
+def _holds_any(code: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({code}, {literal(word)})" for word in words) + ")"
 
 
-def no_session(code: Column) -> Column:
-    return ~_holds_any(code, fixed.SESSION_MARKERS)
+def no_session(code: str) -> str:
+    return f"(NOT {_holds_any(code, fixed.SESSION_MARKERS)})"
 
 
-def no_dataframe_api(code: Column) -> Column:
-    return ~_holds_any(code, fixed.DATAFRAME_MARKERS)
+def no_dataframe_api(code: str) -> str:
+    return f"(NOT {_holds_any(code, fixed.DATAFRAME_MARKERS)})"
 
 
-def legacy_api(code: Column) -> Column:
+def legacy_api(code: str) -> str:
     return _holds_any(code, fixed.LEGACY_MARKERS)
 
 
-def paren_mismatch(code: Column) -> Column:
-    return count_of(code, "(") != count_of(code, ")")
+def paren_mismatch(code: str) -> str:
+    return f"({count_of(code, '(')} <> {count_of(code, ')')})"
 
 
-def no_import(code: Column) -> Column:
+def no_import(code: str) -> str:
     pattern = "|".join(f"{a}[{fixed.WS}]+{b}" for a, b in fixed.IMPORT_WORDS)
-    return ~code.rlike(pattern)
+    return f"(NOT rlike({code}, {literal(pattern)}))"
 
 
 # rule name -> (check, fails the verdict, comment)
@@ -50,32 +45,32 @@ RULES = {
 }
 
 
-def is_valid(code: Column) -> Column:
-    return ~reduce(or_, [check(code) for check, fails, _ in RULES.values() if fails])
+def is_valid(code: str) -> str:
+    return "(NOT (" + " OR ".join(c(code) for c, fails, _ in RULES.values() if fails) + "))"
 
 
-def comment_text(code: Column) -> Column:
+def comment_text(code: str) -> str:
     """Comments of the broken rules in rule order, one per line; the passed line if none."""
-    broken = F.concat_ws("\n", *[F.when(check(code), msg) for check, _, msg in RULES.values()])
-    return F.coalesce(F.nullif(broken, F.lit("")), F.lit(fixed.MSG_PASSED))
+    hits = ", ".join(
+        f"CASE WHEN {check(code)} THEN {literal(msg)} END" for check, _, msg in RULES.values()
+    )
+    return rf"coalesce(nullif(concat_ws('\n', {hits}), ''), {literal(fixed.MSG_PASSED)})"
+
+
+def comments(code: str) -> str:
+    """The comments as an array; NULL for missing code."""
+    return rf"CASE WHEN {code} IS NOT NULL THEN split({comment_text(code)}, '\n') END"
 
 
-def annotated(code: Column) -> Column:
-    return F.concat(comment_text(code), F.lit("\n"), code)
+def annotated(code: str) -> str:
+    return rf"concat({comment_text(code)}, '\n', {code})"
 
 
-def findings(code: Column) -> Column:
+def findings(code: str) -> str:
     """Array with one (rule, invalidates, message) per rule, NULL where the rule holds."""
-    return F.array(
-        *[
-            F.when(
-                check(code),
-                F.struct(
-                    F.lit(name).alias("rule"),
-                    F.lit(fails).alias("invalidates"),
-                    F.lit(msg).alias("message"),
-                ),
-            )
-            for name, (check, fails, msg) in RULES.items()
-        ]
+    hits = ", ".join(
+        f"CASE WHEN {check(code)} THEN named_struct('rule', '{rule}',"
+        f" 'invalidates', {str(fails).lower()}, 'message', {literal(msg)}) END"
+        for rule, (check, fails, msg) in RULES.items()
     )
+    return f"array({hits})"

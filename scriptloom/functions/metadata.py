@@ -1,16 +1,14 @@
-"""Column functions for chunk metadata."""
+"""SQL expressions for chunk metadata."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from scriptloom.functions import fixed_values as fixed
+from scriptloom.functions.sql import literal
 from scriptloom.functions.text import lstrip
 
 
-def chunk_id(number: Column) -> Column:
-    return F.format_string(fixed.CHUNK_ID_FORMAT, number)
+def chunk_id(number: str) -> str:
+    return f"format_string('{fixed.CHUNK_ID_FORMAT}', {number})"
 
 
 def header_pattern() -> str:
@@ -19,13 +17,12 @@ def header_pattern() -> str:
     return rf"(?i)\bCREATE{ws}(?:OR{ws}REPLACE{ws})?({types})\b"
 
 
-def block_type(code: Column) -> Column:
+def block_type(code: str) -> str:
     """Type of the first header anywhere in the code; else by the first word."""
-    header = F.regexp_extract(code, header_pattern(), 1)
-    named = F.regexp_replace(F.upper(header), f"[{fixed.WS}]+", "_")
-    opening = F.upper(F.substring(lstrip(code), 1, len("BEGIN")))
+    header = f"regexp_extract({code}, {literal(header_pattern())}, 1)"
     return (
-        F.when(header != "", named)
-        .when(opening == "BEGIN", F.lit(fixed.ANONYMOUS_BLOCK))
-        .otherwise(F.lit(fixed.UNKNOWN_BLOCK))
+        f"CASE WHEN {header} <> '' THEN"
+        f" regexp_replace(upper({header}), {literal(f'[{fixed.WS}]+')}, '_')"
+        f" WHEN upper(substring({lstrip(code)}, 1, 5)) = 'BEGIN' THEN '{fixed.ANONYMOUS_BLOCK}'"
+        f" ELSE '{fixed.UNKNOWN_BLOCK}' END"
     )

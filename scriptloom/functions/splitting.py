@@ -1,4 +1,4 @@
-"""Splitters as column functions: one text cell in, an ordered array out.
+"""Splitters as SQL expressions: one text cell in, an ordered array out.
 
 All of them are linear in the text and stay inside the row, so a job that uses them is a
 scan and a projection: no exchange, and a script never waits for another.
@@ -7,14 +7,18 @@ scan and a projection: no exchange, and a script never waits for another.
 from __future__ import annotations
 
 import re
-from functools import reduce
-from operator import or_
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from scriptloom.functions import fixed_values as fixed
-from scriptloom.functions.arrays import groups_ending_at, let, positions, scan
+from scriptloom.functions.sql import (
+    case,
+    each,
+    groups_ending_at,
+    keep,
+    let,
+    literal,
+    positions,
+    scan,
+)
 from scriptloom.functions.text import (
     is_blank,
     is_comment_only,
@@ -25,31 +29,40 @@ from scriptloom.functions.text import (
 )
 
 
-def _stripped(pieces: Column) -> Column:
-    return F.filter(F.transform(pieces, strip), lambda piece: piece != "")
+def _stripped(pieces: str) -> str:
+    return keep(each(pieces, strip, "piece"), lambda piece: f"{piece} <> ''", "piece")
+
 
+def _joined(runs: str) -> str:
+    return each(runs, lambda run: rf"array_join({run}, '\n')", "run")
 
-def by_delimiter(text: Column, delimiter: str = fixed.BLOCK_DELIMITER) -> Column:
+
+def by_delimiter(text: str, delimiter: str = fixed.BLOCK_DELIMITER) -> str:
     """Blocks between lines that hold nothing but the delimiter."""
     gap = f"[{fixed.WS_IN_LINE}]*+"
-    line = rf"\n{gap}{re.escape(delimiter)}{gap}(?=\n|\z)"
+    line = literal(rf"\n{gap}{re.escape(delimiter)}{gap}(?=\n|\z)")
     pieces = let(
         unix_newlines(text),
-        lambda unix: F.when(
-            F.contains(unix, F.lit(delimiter)), F.split(F.concat(F.lit("\n"), unix), line)
-        ).otherwise(F.array(unix)),
+        lambda unix: case(
+            f"contains({unix}, {literal(delimiter)})",
+            rf"split(concat('\n', {unix}), {line})",
+            f"array({unix})",
+        ),
+        "unix",
     )
     return _stripped(pieces)
 
 
-def by_lines(text: Column, n: int = fixed.LINES_PER_CHUNK) -> Column:
+def by_lines(text: str, n: int = fixed.LINES_PER_CHUNK) -> str:
     """`n` lines each, the last may be shorter; nothing is trimmed or normalised."""
     return let(
-        F.split(text, "\n"),
-        lambda lines: F.transform(
-            F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / n).cast("int")),
-            lambda i: F.array_join(F.slice(lines, i * n + 1, F.lit(n)), "\n"),
+        rf"split({text}, '\n')",
+        lambda lines: each(
+            f"sequence(0, size({lines}) - 1, {n})",
+            lambda first: rf"array_join(slice({lines}, {first} + 1, {n}), '\n')",
+            "first",
         ),
+        "lines",
     )
 
 
@@ -67,273 +80,287 @@ def block_pattern(leading_ws: str = "skip") -> str:
     return rf"(?ius){skipped}(?:{openers}).*?END{ws}*;|[^;]+;|[^;]+\z"
 
 
-def by_pattern(text: Column, leading_ws: str = "skip", tail: str = "keep") -> Column:
+def is_terminated(block: str) -> str:
+    return f"endswith({block}, ';')"
+
+
+def by_pattern(text: str, leading_ws: str = "skip", tail: str = "keep") -> str:
     """Blocks found from left to right; `tail` says what becomes of the text after the
     last semicolon."""
     if tail not in ("keep", "drop"):
         raise ValueError("tail is 'keep' or 'drop'")
-    found = F.regexp_extract_all(
-        unix_newlines(text), F.lit(block_pattern(leading_ws)), F.lit(0)
-    )
-    blocks = F.filter(_stripped(found), lambda block: block != fixed.BLOCK_DELIMITER)
-    if tail == "drop":
-        blocks = F.filter(blocks, is_terminated)
-    return blocks
-
+    pattern = literal(block_pattern(leading_ws))
+    found = _stripped(f"regexp_extract_all({unix_newlines(text)}, {pattern}, 0)")
+    blocks = keep(found, lambda block: f"{block} <> {literal(fixed.BLOCK_DELIMITER)}", "block")
+    return keep(blocks, is_terminated, "block") if tail == "drop" else blocks
 
-def is_terminated(block: Column) -> Column:
-    return F.endswith(block, F.lit(";"))
 
+def opens_block(text: str) -> str:
+    head = f"upper(substring({text}, 1, {max(map(len, fixed.BLOCK_OPENERS))}))"
+    return "(" + " OR ".join(f"startswith({head}, '{w}')" for w in fixed.BLOCK_OPENERS) + ")"
 
-def opens_block(text: Column) -> Column:
-    head = F.upper(F.substring(text, 1, max(map(len, fixed.BLOCK_OPENERS))))
-    first, *others = [F.startswith(head, F.lit(word)) for word in fixed.BLOCK_OPENERS]
-    for other in others:
-        first = first | other
-    return first
 
-
-def by_statement(text: Column) -> Column:
+def by_statement(text: str) -> str:
     """A block that opens with a block word stays whole; other text is cut after each
     semicolon. Parts without text are left out."""
-    return let(
-        strip(text),
-        lambda block: F.when(opens_block(block), F.array(block)).otherwise(
-            F.filter(
-                _stripped(F.regexp_extract_all(block, F.lit(r"[^;]*;|[^;]+\z"), F.lit(0))),
-                lambda part: ~is_blank(F.rtrim(part, F.lit(";"))),
-            )
-        ),
-    )
 
+    def cut(block: str) -> str:
+        parts = _stripped(rf"regexp_extract_all({block}, r'[^;]*;|[^;]+\z', 0)")
+        full = keep(parts, lambda part: f"NOT {is_blank(f'rtrim({chr(39)};{chr(39)}, {part})')}")
+        return case(opens_block(block), f"array({block})", full)
 
-def before_begin(text: Column, max_chars: int = fixed.MAX_CHUNK_CHARS) -> Column:
+    return let(strip(text), cut, "block")
+
+
+def before_begin(text: str, max_chars: int = fixed.MAX_CHUNK_CHARS) -> str:
     """Cut in front of each BEGIN, only where the text is longer than `max_chars`."""
     return let(
         strip(text),
-        lambda block: F.when(
-            F.length(block) > max_chars, _stripped(F.split(block, "(?iu)(?=BEGIN)"))
-        ).otherwise(F.filter(F.array(block), lambda b: b != "")),
+        lambda block: case(
+            f"length({block}) > {max_chars}",
+            _stripped(f"split({block}, r'(?iu)(?=BEGIN)')"),
+            keep(f"array({block})", lambda b: f"{b} <> ''"),
+        ),
+        "block",
     )
 
 
-def by_size(text: Column, max_chars: int = fixed.MAX_CHUNK_CHARS) -> Column:
+def by_size(text: str, max_chars: int = fixed.MAX_CHUNK_CHARS) -> str:
     """Texts over `max_chars` become runs of semicolon parts; a run closes with the part
     that takes it over `max_chars`."""
 
-    def regrouped(parts: Column) -> Column:
-        def add(total: Column, length: Column) -> Column:
-            grown = total + length + 1
-            return F.when(grown > max_chars, F.lit(0)).otherwise(grown)
+    def total(before: str, length: str) -> str:
+        grown = f"{before} + {length} + 1"
+        return case(f"{grown} > {max_chars}", "0", grown)
 
-        def cut(totals: Column) -> Column:
-            ends = F.filter(
-                positions(totals),
-                lambda i: (F.get(totals, i - 1) == 0) | (i == F.size(totals)),
-            )
-            return let(
-                ends,
-                lambda at: F.transform(
-                    groups_ending_at(parts, at),
-                    lambda run: strip(
-                        F.array_join(F.transform(run, lambda p: F.concat(p, F.lit(";"))), "\n")
-                    ),
-                ),
+    def regrouped(parts: str) -> str:
+        def cut(totals: str) -> str:
+            ends = keep(
+                positions(totals), lambda i: f"(get({totals}, {i} - 1) = 0 OR {i} = size({totals}))"
             )
 
-        return let(scan(F.transform(parts, F.length), F.lit(0), add, "int"), cut)
+            def chunk(run: str) -> str:
+                closed = each(run, lambda part: f"concat({part}, ';')", "part")
+                return strip(rf"array_join({closed}, '\n')")
+
+            return let(ends, lambda at: each(groups_ending_at(parts, at), chunk, "run"), "at")
+
+        lengths = each(parts, lambda part: f"length({part})", "part")
+        return let(scan(lengths, "0", total, "int"), cut, "totals")
 
-    return F.when(
-        F.length(text) > max_chars,
-        let(F.filter(F.split(text, ";"), lambda part: ~is_blank(part)), regrouped),
-    ).otherwise(F.array(text))
+    parts = keep(f"split({text}, ';')", lambda part: f"NOT {is_blank(part)}", "part")
+    return case(f"length({text}) > {max_chars}", let(parts, regrouped, "parts"), f"array({text})")
 
 
-def refined(block: Column, max_chars: int = fixed.MAX_CHUNK_CHARS) -> Column:
+def refined(block: str, max_chars: int = fixed.MAX_CHUNK_CHARS) -> str:
     """Statements, cut before BEGIN, then by size; chunks made of comments only go."""
-    statements = by_statement(block)
-    pieces = F.flatten(F.transform(statements, lambda s: before_begin(s, max_chars)))
-    chunks = F.flatten(F.transform(pieces, lambda p: by_size(p, max_chars)))
-    return F.filter(chunks, lambda chunk: ~is_blank(chunk) & ~is_comment_only(chunk))
+    pieces = f"flatten({each(by_statement(block), lambda s: before_begin(s, max_chars))})"
+    chunks = f"flatten({each(pieces, lambda p: by_size(p, max_chars))})"
+    return keep(chunks, lambda c: f"NOT {is_blank(c)} AND NOT {is_comment_only(c)}", "chunk")
 
 
 def batched(
-    fragments: Column,
+    fragments: str,
     small: int = fixed.SMALL_FRAGMENT_CHARS,
     cap: int = fixed.BATCH_FLUSH_CHARS,
-) -> Column:
+) -> str:
     """Join neighbouring fragments shorter than `small` until they exceed `cap` chars;
     longer fragments stand alone."""
     alone, closed = -1, 0
 
-    def add(state: Column, length: Column) -> Column:
-        buffered = F.greatest(state, F.lit(0)) + length
-        return (
-            F.when(length >= small, F.lit(alone))
-            .when(buffered > cap, F.lit(closed))
-            .otherwise(buffered)
+    def buffered(state: str, length: str) -> str:
+        grown = f"greatest({state}, 0) + {length}"
+        return case(
+            f"{length} >= {small}", str(alone), case(f"{grown} > {cap}", str(closed), grown)
         )
 
-    def join_runs(kept: Column) -> Column:
-        def cut(states: Column) -> Column:
-            ends = F.filter(
+    def join_runs(kept: str) -> str:
+        def cut(states: str) -> str:
+            ends = keep(
                 positions(states),
-                lambda i: (F.get(states, i - 1) <= 0)
-                | (F.coalesce(F.get(states, i), F.lit(alone)) == alone),
-            )
-            return let(
-                ends,
-                lambda at: F.transform(
-                    groups_ending_at(kept, at), lambda run: F.array_join(run, "\n")
-                ),
+                lambda i: f"(get({states}, {i} - 1) <= 0"
+                f" OR coalesce(get({states}, {i}), {alone}) = {alone})",
             )
+            return let(ends, lambda at: _joined(groups_ending_at(kept, at)), "at")
 
-        return let(scan(F.transform(kept, F.length), F.lit(0), add, "int"), cut)
+        lengths = each(kept, lambda fragment: f"length({fragment})")
+        return let(scan(lengths, "0", buffered, "int"), cut, "states")
 
-    return let(F.filter(fragments, lambda f: ~is_blank(f)), join_runs)
+    return let(keep(fragments, lambda f: f"NOT {is_blank(f)}", "fragment"), join_runs, "kept")
 
 
 def cascade(
-    text: Column,
+    text: str,
     max_chars: int = fixed.MAX_CHUNK_CHARS,
     lines: int = fixed.LINES_PER_CHUNK,
     delimiter: str = fixed.BLOCK_DELIMITER,
     leading_ws: str = "skip",
     tail: str = "keep",
-) -> Column:
+) -> str:
     """Struct of the strategy that applied and its chunks.
 
-    The branches of a `when` are evaluated on demand, so the pattern runs only on scripts
-    that the delimiter left whole, and the line count only where both did.
+    CASE branches are evaluated on demand, so the pattern runs only on scripts that the
+    delimiter left whole, and the line count only where both did.
     """
 
-    def tagged(strategy: str, chunks: Column) -> Column:
-        return F.struct(F.lit(strategy).alias("strategy"), chunks.alias("chunks"))
+    def tagged(strategy: str, chunks: str) -> str:
+        return f"named_struct('strategy', '{strategy}', 'chunks', {chunks})"
 
-    def batched_blocks(blocks: Column) -> Column:
-        fine = F.flatten(
-            F.transform(
-                blocks,
-                lambda b: F.when(
-                    (F.length(b) > max_chars) | opens_block(b), refined(b, max_chars)
-                ).otherwise(F.array(b)),
-            )
-        )
-        return batched(fine)
-
-    def unless_delimited(blocks: Column) -> Column:
-        return F.when(F.size(blocks) > 1, tagged("delimiter", blocks)).otherwise(
-            let(
-                by_pattern(text, leading_ws, tail),
-                lambda found: F.when(
-                    F.size(found) > 1, tagged("pattern", batched_blocks(found))
-                ).otherwise(tagged("lines", by_lines(text, lines))),
-            )
+    def batched_blocks(blocks: str) -> str:
+        def fine(block: str) -> str:
+            coarse = f"length({block}) > {max_chars} OR {opens_block(block)}"
+            return case(coarse, refined(block, max_chars), f"array({block})")
+
+        return batched(f"flatten({each(blocks, fine, 'block')})")
+
+    def by_other_means(found: str) -> str:
+        return case(
+            f"size({found}) > 1",
+            tagged("pattern", batched_blocks(found)),
+            tagged("lines", by_lines(text, lines)),
         )
 
-    return let(by_delimiter(text, delimiter), unless_delimited)
+    return let(
+        by_delimiter(text, delimiter),
+        lambda blocks: case(
+            f"size({blocks}) > 1",
+            tagged("delimiter", blocks),
+            let(by_pattern(text, leading_ws, tail), by_other_means, "found"),
+        ),
+        "blocks",
+    )
 
 
-def text_lines(text: Column) -> Column:
+def text_lines(text: str) -> str:
     """Lines at any line boundary; a boundary at the end opens no further line.
 
     The pattern of all boundaries runs only on texts that hold a rare one.
     """
 
-    def lines(whole: Column) -> Column:
-        rare = [F.contains(whole, F.lit(mark)) for mark in fixed.RARE_LINE_BOUNDARIES]
-        return F.when(reduce(or_, rare), F.split(whole, fixed.LINE_BOUNDARY)).otherwise(
-            F.split(unix_newlines(whole), "\n")
+    def lines(whole: str) -> str:
+        rare = " OR ".join(
+            f"contains({whole}, {literal(mark)})" for mark in fixed.RARE_LINE_BOUNDARIES
+        )
+        return case(
+            rare,
+            f"split({whole}, {literal(fixed.LINE_BOUNDARY)})",
+            rf"split({unix_newlines(whole)}, '\n')",
         )
 
     return let(
-        let(text, lines),
-        lambda ls: F.when(
-            F.element_at(ls, -1) == "", F.slice(ls, F.lit(1), F.size(ls) - 1)
-        ).otherwise(ls),
+        let(text, lines, "whole"),
+        lambda ls: case(f"element_at({ls}, -1) = ''", f"slice({ls}, 1, size({ls}) - 1)", ls),
+        "lines",
     )
 
 
-def _depth_step(line: Column) -> Column:
+def _depth_step(line: str) -> str:
     """Change of depth: one up if the line holds BEGIN, one down if it holds END."""
-    upper = F.upper(line)
-    return F.contains(upper, F.lit("BEGIN")).cast("int") - F.contains(
-        upper, F.lit("END")
-    ).cast("int")
+    return (
+        f"(CAST(contains(upper({line}), 'BEGIN') AS int)"
+        f" - CAST(contains(upper({line}), 'END') AS int))"
+    )
 
 
-def _next_depth(depth: Column, step: Column) -> Column:
-    return F.greatest(depth + step, F.lit(0))
+def _next_depth(depth: str, step: str) -> str:
+    return f"greatest({depth} + {step}, 0)"
 
 
-def depths(lines: Column) -> Column:
+def depths(lines: str) -> str:
     """Nesting depth after each line, never below 0."""
-    return scan(F.transform(lines, _depth_step), F.lit(0), _next_depth, "int")
+    return scan(each(lines, _depth_step, "line"), "0", _next_depth, "int")
+
 
+def lines_with_depth(text: str) -> str:
+    """Array of (line, depth)."""
 
-def by_top_level(text: Column) -> Column:
+    def zipped(lines: str) -> str:
+        return let(
+            depths(lines),
+            lambda depth: f"transform({lines}, (line, i) ->"
+            f" named_struct('line', line, 'depth', get({depth}, i)))",
+            "depths",
+        )
+
+    return let(text_lines(text), zipped, "lines")
+
+
+def by_top_level(text: str) -> str:
     """Blocks that end with a lone slash outside any nesting; the slash stays."""
+    mark = literal(fixed.BLOCK_DELIMITER)
 
-    def whole(lines: Column) -> Column:
-        return rstrip(F.array_join(lines, "\n"))
+    def whole(lines: str) -> str:
+        return rstrip(rf"array_join({lines}, '\n')")
 
-    def cut(lines: Column) -> Column:
-        mark = fixed.BLOCK_DELIMITER
-        slashes = F.filter(
+    def cut(lines: str) -> str:
+        slashes = keep(
             positions(lines),
-            lambda i: F.contains(F.get(lines, i - 1), F.lit(mark))
-            & (strip(F.get(lines, i - 1)) == mark),
+            lambda i: f"contains(get({lines}, {i} - 1), {mark})"
+            f" AND {strip(f'get({lines}, {i} - 1)')} = {mark}",
         )
 
-        def at_depth_0(marks: Column) -> Column:
-            ends = let(
-                depths(lines), lambda depth: F.filter(marks, lambda i: F.get(depth, i - 1) == 0)
+        def at_depth_0(marks: str) -> str:
+            outer = let(
+                depths(lines),
+                lambda depth: keep(marks, lambda i: f"get({depth}, {i} - 1) = 0"),
+                "depth",
             )
-            closed = F.array_distinct(F.concat(ends, F.array(F.size(lines))))
-            return let(closed, lambda at: F.transform(groups_ending_at(lines, at), whole))
+            ends = f"array_distinct(concat({outer}, array(size({lines}))))"
+            return let(ends, lambda at: each(groups_ending_at(lines, at), whole, "run"), "at")
 
         # depth matters only where there is a slash to judge
         return let(
             slashes,
-            lambda marks: F.when(F.size(lines) == 0, F.array().cast("array<string>"))
-            .when(F.size(marks) == 0, F.array(whole(lines)))
-            .otherwise(at_depth_0(marks)),
+            lambda marks: case(
+                f"size({lines}) = 0",
+                "CAST(array() AS array<string>)",
+                case(f"size({marks}) = 0", f"array({whole(lines)})", at_depth_0(marks)),
+            ),
+            "marks",
         )
 
-    return let(text_lines(text), cut)
+    return let(text_lines(text), cut, "lines")
 
 
-def by_safe_lines(block: Column, max_lines: int = fixed.MAX_LINES_PER_CHUNK) -> Column:
+def by_safe_lines(block: str, max_lines: int = fixed.MAX_LINES_PER_CHUNK) -> str:
     """A block of up to `max_lines` stays; else it is cut at the first safe line once the
     open chunk has `max_lines` lines. Safe: depth 0, line ends with `;` or `/`."""
-    state_type = "struct<depth:int,held:int>"
 
-    def traits(line: Column) -> Column:
-        ends_statement = F.substring(rstrip(line), -1, 1).isin(";", "/")
-        return F.struct(_depth_step(line).alias("step"), ends_statement.alias("ends"))
+    def traits(line: str) -> str:
+        ends = f"substring({rstrip(line)}, -1, 1) IN (';', '/')"
+        return f"named_struct('step', {_depth_step(line)}, 'ends', {ends})"
 
-    def add(state: Column, line: Column) -> Column:
-        depth = _next_depth(state["depth"], line["step"])
-        full = (depth == 0) & line["ends"] & (state["held"] + 1 >= max_lines)
-        held = F.when(full, F.lit(0)).otherwise(state["held"] + 1)
-        return F.struct(depth.alias("depth"), held.alias("held"))
+    def held(state: str, line: str) -> str:
+        depth = _next_depth(f"{state}.depth", f"{line}.step")
+        full = f"{depth} = 0 AND {line}.ends AND {state}.held + 1 >= {max_lines}"
+        return (
+            f"named_struct('depth', {depth}, 'held', {case(full, '0', f'{state}.held + 1')})"
+        )
 
-    def cut(lines: Column) -> Column:
-        def chunks(states: Column) -> Column:
-            ends = F.filter(
+    def cut(lines: str) -> str:
+        def chunks(states: str) -> str:
+            ends = keep(
                 positions(lines),
-                lambda i: (F.get(states, i - 1)["held"] == 0) | (i == F.size(lines)),
-            )
-            return let(
-                ends,
-                lambda at: F.transform(
-                    groups_ending_at(lines, at), lambda ls: F.array_join(ls, "\n")
-                ),
+                lambda i: f"(get({states}, {i} - 1).held = 0 OR {i} = size({lines}))",
             )
+            return let(ends, lambda at: _joined(groups_ending_at(lines, at)), "at")
 
-        zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("held"))
-        return let(scan(F.transform(lines, traits), zero, add, state_type), chunks)
+        states = scan(
+            each(lines, traits, "line"),
+            "named_struct('depth', 0, 'held', 0)",
+            held,
+            "struct<depth:int,held:int>",
+        )
+        return let(states, chunks, "states")
 
-    return F.when(line_count(block) <= max_lines, F.array(block)).otherwise(
-        let(F.split(block, "\n"), cut)
+    return case(
+        f"{line_count(block)} <= {max_lines}",
+        f"array({block})",
+        let(rf"split({block}, '\n')", cut, "lines"),
     )
+
+
+def structured(text: str, max_lines: int = fixed.MAX_LINES_PER_CHUNK) -> str:
+    """Top-level blocks, the long ones cut at safe lines."""
+    chunks = each(by_top_level(text), lambda block: by_safe_lines(block, max_lines), "block")
+    return f"flatten({chunks})"

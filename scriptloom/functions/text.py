@@ -1,58 +1,56 @@
-"""Column functions on one text cell."""
+"""SQL expressions on one text cell."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from scriptloom.functions.fixed_values import WHITESPACE
+from scriptloom.functions.sql import case, literal
+
+_WHITESPACE = literal(WHITESPACE)
 
 
-def strip(text: Column) -> Column:
+def strip(text: str) -> str:
     """Trim every kind of white space, not only spaces."""
-    return F.trim(text, F.lit(WHITESPACE))
+    return f"trim(BOTH {_WHITESPACE} FROM {text})"
 
 
-def rstrip(text: Column) -> Column:
-    return F.rtrim(text, F.lit(WHITESPACE))
+def rstrip(text: str) -> str:
+    return f"trim(TRAILING {_WHITESPACE} FROM {text})"
 
 
-def lstrip(text: Column) -> Column:
-    return F.ltrim(text, F.lit(WHITESPACE))
+def lstrip(text: str) -> str:
+    return f"trim(LEADING {_WHITESPACE} FROM {text})"
 
 
-def is_blank(text: Column) -> Column:
-    return strip(text) == ""
+def is_blank(text: str) -> str:
+    return f"({strip(text)} = '')"
 
 
-def unix_newlines(text: Column) -> Column:
+def unix_newlines(text: str) -> str:
     """CRLF and CR become LF. The pattern runs only on texts that hold a CR."""
-    return F.when(
-        F.contains(text, F.lit("\r")), F.regexp_replace(text, r"\r\n?", "\n")
-    ).otherwise(text)
+    return case(
+        rf"contains({text}, '\r')", rf"regexp_replace({text}, r'\r\n?', '\n')", text
+    )
 
 
-def without_comments(text: Column) -> Column:
+def without_comments(text: str) -> str:
     """Drop block comments, then line comments. Blind to string literals; an unclosed
     block comment stays."""
-    no_blocks = F.when(
-        F.contains(text, F.lit("/*")), F.regexp_replace(text, r"(?s)/\*.*?\*/", "")
-    ).otherwise(text)
-    return F.regexp_replace(no_blocks, r"--[^\n]*", "")
+    no_blocks = case(
+        f"contains({text}, '/*')", rf"regexp_replace({text}, r'(?s)/\*.*?\*/', '')", text
+    )
+    return rf"regexp_replace({no_blocks}, r'--[^\n]*', '')"
 
 
-def is_comment_only(text: Column) -> Column:
+def is_comment_only(text: str) -> str:
     """Every line is blank or starts, after trimming, with two dashes."""
-    return F.forall(
-        F.split(text, "\n"),
-        lambda line: (strip(line) == "") | F.startswith(lstrip(line), F.lit("--")),
-    )
+    line = lstrip("line")
+    return rf"forall(split({text}, '\n'), line -> ({line} = '' OR startswith({line}, '--')))"
 
 
-def count_of(text: Column, char: str) -> Column:
+def count_of(text: str, char: str) -> str:
     """Occurrences of one ASCII character."""
-    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(char), F.lit("")))
+    return f"(octet_length({text}) - octet_length(replace({text}, '{char}', '')))"
 
 
-def line_count(text: Column) -> Column:
-    return count_of(text, "\n") + 1
+def line_count(text: str) -> str:
+    return f"({count_of(text, chr(92) + 'n')} + 1)"

@@ -23,17 +23,14 @@ def map_chunks(
     `conv` holds one row per key. The key includes the chunk number, so the chunks of one
     large script spread over all tasks. Chunks without a conversion stay, with NULLs.
     """
-    converted = F.col("converted")
     return (
         orig.withColumnRenamed(original_col, "original")
         .join(conv.select(*keys, F.col(converted_col).alias("converted")), list(keys), "left")
         .withColumns(
             {
-                "is_valid": lint.is_valid(converted),
-                "comments": F.when(
-                    converted.isNotNull(), F.split(lint.comment_text(converted), "\n")
-                ),
-                "annotated": lint.annotated(converted),
+                "is_valid": F.expr(lint.is_valid("converted")),
+                "comments": F.expr(lint.comments("converted")),
+                "annotated": F.expr(lint.annotated("converted")),
             }
         )
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scriptloom.functions import fixed_values as fixed
 from scriptloom.functions import lint
+from scriptloom.functions.sql import name
 
 CHUNK_KEYS = ("script_id", "chunk_no")
 
@@ -17,21 +18,21 @@ CHUNK_KEYS = ("script_id", "chunk_no")
 def with_rule_flags(df: DataFrame, *, code_col: str = "code") -> DataFrame:
     """One boolean column per rule, true where the rule is broken."""
     return df.withColumns(
-        {name: check(F.col(code_col)) for name, (check, _, _) in lint.RULES.items()}
+        {rule: F.expr(check(name(code_col))) for rule, (check, _, _) in lint.RULES.items()}
     )
 
 
 def with_verdict(df: DataFrame, *, code_col: str = "code") -> DataFrame:
     """`is_valid` and the ordered `comments`."""
-    code = F.col(code_col)
+    code = name(code_col)
     return df.withColumns(
-        {"is_valid": lint.is_valid(code), "comments": F.split(lint.comment_text(code), "\n")}
+        {"is_valid": F.expr(lint.is_valid(code)), "comments": F.expr(lint.comments(code))}
     )
 
 
 def annotate(df: DataFrame, *, code_col: str = "code", out_col: str = "annotated") -> DataFrame:
     """Comments, one per line, above the code."""
-    return df.withColumn(out_col, lint.annotated(F.col(code_col)))
+    return df.withColumn(out_col, F.expr(lint.annotated(name(code_col))))
 
 
 def findings(
@@ -39,7 +40,7 @@ def findings(
 ) -> DataFrame:
     """One row per chunk and broken rule."""
     return (
-        df.select(*keys, F.explode(lint.findings(F.col(code_col))).alias("_hit"))
+        df.select(*keys, F.explode(F.expr(lint.findings(name(code_col)))).alias("_hit"))
         .filter(F.col("_hit").isNotNull())
         .select(*keys, "_hit.rule", "_hit.invalidates", "_hit.message")
     )

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptloom.functions import metadata
 from scriptloom.functions import splitting as sp
-from scriptloom.functions.arrays import let
+from scriptloom.functions.sql import name
 from scriptloom.functions.text import line_count
 from scriptloom.operators.keyed import numbered
 from scriptloom.operators.split import KEYS
@@ -27,17 +27,18 @@ def with_chunk_id(
         out = df.withColumn("serial", F.col(order).cast("bigint"))
     else:
         out = numbered(df, keys, order, "serial")
-    return out.withColumn("chunk_id", metadata.chunk_id(F.col("serial")))
+    return out.withColumn("chunk_id", F.expr(metadata.chunk_id("serial")))
 
 
 def with_block_type(df: DataFrame, *, code_col: str = "code") -> DataFrame:
-    return df.withColumn("block_type", metadata.block_type(F.col(code_col)))
+    return df.withColumn("block_type", F.expr(metadata.block_type(name(code_col))))
 
 
 def with_counts(df: DataFrame, *, code_col: str = "code") -> DataFrame:
     """Lines and characters (code points) of each chunk."""
-    code = F.col(code_col)
-    return df.withColumns({"line_count": line_count(code), "n_chars": F.length(code)})
+    return df.withColumns(
+        {"line_count": F.expr(line_count(name(code_col))), "n_chars": F.length(code_col)}
+    )
 
 
 def line_depth(
@@ -45,16 +46,7 @@ def line_depth(
 ) -> DataFrame:
     """One row per line with the nesting depth after it; worked out inside the script's
     row, so no window and no shuffle."""
-
-    def zipped(lines: Column) -> Column:
-        return let(
-            sp.depths(lines),
-            lambda depths: F.transform(
-                lines, lambda line, i: F.struct(line.alias("line"), F.get(depths, i).alias("depth"))
-            ),
-        )
-
-    rows = let(sp.text_lines(F.col(text_col)), zipped)
+    rows = F.expr(sp.lines_with_depth(name(text_col)))
     return df.select(*keys, F.posexplode(rows).alias("_pos", "_line")).select(
         *keys, (F.col("_pos") + 1).alias("line_no"), "_line.line", "_line.depth"
     )

@@ -10,22 +10,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptloom.functions import fixed_values as fixed
 from scriptloom.functions import metadata
 from scriptloom.functions import splitting as sp
-from scriptloom.functions.arrays import let
+from scriptloom.functions.sql import each, let, name
 from scriptloom.functions.text import line_count, without_comments
 
 KEYS = ("script_id",)
 
 
 def _rows(
-    df: DataFrame, chunks: Column, keys: Sequence[str], number_as: str, item_as: str = "code"
+    df: DataFrame, chunks: str, keys: Sequence[str], number_as: str, item_as: str = "code"
 ) -> DataFrame:
-    return df.select(*keys, F.posexplode(chunks).alias("_pos", item_as)).select(
+    return df.select(*keys, F.posexplode(F.expr(chunks)).alias("_pos", item_as)).select(
         *keys, (F.col("_pos") + 1).alias(number_as), item_as
     )
 
@@ -35,7 +35,7 @@ def split_delimiter(
     keys: Sequence[str] = KEYS, number_as: str = "chunk_no",
 ) -> DataFrame:
     """A line that holds only the delimiter closes a block and is dropped."""
-    return _rows(df, sp.by_delimiter(F.col(text_col), delimiter), keys, number_as)
+    return _rows(df, sp.by_delimiter(name(text_col), delimiter), keys, number_as)
 
 
 def split_lines(
@@ -43,7 +43,7 @@ def split_lines(
     keys: Sequence[str] = KEYS, number_as: str = "chunk_no",
 ) -> DataFrame:
     """Chunks of `n` lines; an empty text gives one empty chunk."""
-    return _rows(df, sp.by_lines(F.col(text_col), n), keys, number_as)
+    return _rows(df, sp.by_lines(name(text_col), n), keys, number_as)
 
 
 def split_pattern(
@@ -55,9 +55,9 @@ def split_pattern(
     `leading_ws="literal"` sees an opening word only right at the scan position;
     `tail="drop"` loses the text after the last semicolon.
     """
-    blocks = sp.by_pattern(F.col(text_col), leading_ws, tail)
+    blocks = sp.by_pattern(name(text_col), leading_ws, tail)
     return _rows(df, blocks, keys, number_as).withColumn(
-        "is_terminated", sp.is_terminated(F.col("code"))
+        "is_terminated", F.expr(sp.is_terminated("code"))
     )
 
 
@@ -66,7 +66,7 @@ def split_statements(
     number_as: str = "chunk_no",
 ) -> DataFrame:
     """Statements that end with a semicolon; a text headed by a block word stays whole."""
-    return _rows(df, sp.by_statement(F.col(text_col)), keys, number_as)
+    return _rows(df, sp.by_statement(name(text_col)), keys, number_as)
 
 
 def split_before_begin(
@@ -74,7 +74,7 @@ def split_before_begin(
     keys: Sequence[str] = KEYS, number_as: str = "chunk_no",
 ) -> DataFrame:
     """Cut texts over `max_chars` in front of each BEGIN."""
-    return _rows(df, sp.before_begin(F.col(text_col), max_chars), keys, number_as)
+    return _rows(df, sp.before_begin(name(text_col), max_chars), keys, number_as)
 
 
 def rechunk_by_size(
@@ -82,7 +82,7 @@ def rechunk_by_size(
     keys: Sequence[str] = KEYS, number_as: str = "chunk_no",
 ) -> DataFrame:
     """Cut texts over `max_chars` at semicolons into runs that just exceed `max_chars`."""
-    return _rows(df, sp.by_size(F.col(text_col), max_chars), keys, number_as)
+    return _rows(df, sp.by_size(name(text_col), max_chars), keys, number_as)
 
 
 def split_top_level(
@@ -90,7 +90,7 @@ def split_top_level(
     number_as: str = "chunk_no",
 ) -> DataFrame:
     """Blocks closed by a lone slash outside BEGIN .. END; the slash stays in its block."""
-    return _rows(df, sp.by_top_level(F.col(text_col)), keys, number_as)
+    return _rows(df, sp.by_top_level(name(text_col)), keys, number_as)
 
 
 def split_safe(
@@ -99,8 +99,8 @@ def split_safe(
 ) -> DataFrame:
     """Cut blocks over `max_lines` lines at safe lines; `oversized` marks chunks that had
     no safe line in time."""
-    return _rows(df, sp.by_safe_lines(F.col(text_col), max_lines), keys, number_as).withColumn(
-        "oversized", line_count(F.col("code")) > max_lines
+    return _rows(df, sp.by_safe_lines(name(text_col), max_lines), keys, number_as).withColumn(
+        "oversized", F.expr(f"{line_count('code')} > {max_lines}")
     )
 
 
@@ -110,7 +110,7 @@ def batch_small(
     number_as: str = "chunk_no",
 ) -> DataFrame:
     """Join neighbouring small fragments of an ordered array column."""
-    return _rows(df, sp.batched(F.col(fragments_col), small, cap), keys, number_as)
+    return _rows(df, sp.batched(name(fragments_col), small, cap), keys, number_as)
 
 
 def chunk_scripts(
@@ -120,12 +120,13 @@ def chunk_scripts(
 ) -> DataFrame:
     """Delimiter split if it finds more than one block, else pattern split with refining
     and batching, else fixed line counts of the untouched text."""
-    picked = sp.cascade(F.col(text_col), max_chars, lines, delimiter, leading_ws, tail)
+    picked = sp.cascade(name(text_col), max_chars, lines, delimiter, leading_ws, tail)
     tagged = let(
         picked,
-        lambda p: F.transform(
-            p["chunks"], lambda c: F.struct(p["strategy"].alias("strategy"), c.alias("code"))
+        lambda p: each(
+            f"{p}.chunks", lambda c: f"named_struct('strategy', {p}.strategy, 'code', {c})"
         ),
+        "picked",
     )
     return _rows(df, tagged, keys, number_as, "chunk").select(
         *keys, number_as, "chunk.strategy", "chunk.code"
@@ -137,16 +138,16 @@ def structured_chunks(
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
     """Remove comments, split at top level, sub-chunk long blocks, number and classify."""
-    blocks = sp.by_top_level(without_comments(F.col(text_col)))
-    chunks = F.flatten(F.transform(blocks, lambda b: sp.by_safe_lines(b, max_lines)))
-    code = F.col("code")
+    chunks = let(
+        without_comments(name(text_col)), lambda t: sp.structured(t, max_lines), "clean"
+    )
     return _rows(df, chunks, keys, "chunk_no").select(
         *keys,
         "chunk_no",
-        metadata.chunk_id(F.col("chunk_no")).alias("chunk_id"),
-        metadata.block_type(code).alias("block_type"),
-        line_count(code).alias("line_count"),
-        F.length(code).alias("n_chars"),
-        (line_count(code) > max_lines).alias("oversized"),
+        F.expr(metadata.chunk_id("chunk_no")).alias("chunk_id"),
+        F.expr(metadata.block_type("code")).alias("block_type"),
+        F.expr(line_count("code")).alias("line_count"),
+        F.length("code").alias("n_chars"),
+        F.expr(f"{line_count('code')} > {max_lines}").alias("oversized"),
         "code",
     )
