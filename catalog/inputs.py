@@ -168,7 +168,9 @@ def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One piece of converted code per order."""
-    return table(spark, sf_dir, "orders").select(
+    columns = ["o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus"]
+    orders = table(spark, sf_dir, "orders").select(*columns)
+    return _spread(orders, f"{sf_dir}/orders.parquet").select(
         F.col("o_custkey").cast("string").alias("script_id"),
         F.col("o_orderkey").alias("chunk_no"),
         F.expr(CODE_EXPRESSION).alias("code"),

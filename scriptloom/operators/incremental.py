@@ -25,7 +25,7 @@ def only_new(
     firsts = dedup_chunks(
         scripts.drop("content_hash"), code_col="source", order=[id_col]
     ).select(*columns)
-    return firsts.join(known, "content_hash", "left_anti")
+    return firsts.join(known, "content_hash", "left_anti").select(*columns)
 
 
 def extend_seen(seen: DataFrame, scripts: DataFrame) -> DataFrame:

@@ -53,11 +53,11 @@ def join_unique(
             )
         ),
     )
-    return (
-        salted_left.drop("_hot")
-        .join(salted_right.drop("_hot"), [*keys, "_salt"], how)
-        .drop("_salt")
+    joined = salted_left.drop("_hot").join(
+        salted_right.drop("_hot"), [*keys, "_salt"], how
     )
+    added = [] if how in ("left_semi", "left_anti") else [c for c in right.columns if c not in keys]
+    return joined.select(*left.columns, *added)
 
 
 def numbered(

@@ -42,5 +42,4 @@ def work_folder(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="scriptloom-")
-        spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared}/{name}-{uuid.uuid4().hex}"
