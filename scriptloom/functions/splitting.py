@@ -326,31 +326,29 @@ def by_safe_lines(block: str, max_lines: int = fixed.MAX_LINES_PER_CHUNK) -> str
     """A block of up to `max_lines` stays; else it is cut at the first safe line once the
     open chunk has `max_lines` lines. Safe: depth 0, line ends with `;` or `/`."""
 
+    # Line and state are numbers: 2 * (change of depth) + (line ends a statement), and
+    # depth * 2^32 + (lines held).
+    held = "4294967296"
+
     def traits(line: str) -> str:
-        ends = f"substring({rstrip(line)}, -1, 1) IN (';', '/')"
-        return f"named_struct('step', {_depth_step(line)}, 'ends', {ends})"
-
-    def held(state: str, line: str) -> str:
-        depth = _next_depth(f"{state}.depth", f"{line}.step")
-        full = f"{depth} = 0 AND {line}.ends AND {state}.held + 1 >= {max_lines}"
-        return (
-            f"named_struct('depth', {depth}, 'held', {case(full, '0', f'{state}.held + 1')})"
-        )
+        ends = f"CAST(substring({rstrip(line)}, -1, 1) IN (';', '/') AS int)"
+        return f"(2 * {_depth_step(line)} + {ends})"
+
+    def next_state(state: str, line: str) -> str:
+        depth = _next_depth(f"shiftright({state}, 32)", f"shiftright({line}, 1)")
+        grown = f"{state} % {held} + 1"
+        full = f"{depth} = 0 AND {line} & 1 = 1 AND {grown} >= {max_lines}"
+        return f"({depth} * {held} + {case(full, '0', grown)})"
 
     def cut(lines: str) -> str:
         def chunks(states: str) -> str:
             ends = keep(
                 positions(lines),
-                lambda i: f"(get({states}, {i} - 1).held = 0 OR {i} = size({lines}))",
+                lambda i: f"(get({states}, {i} - 1) % {held} = 0 OR {i} = size({lines}))",
             )
             return let(ends, lambda at: _joined(groups_ending_at(lines, at)), "at")
 
-        states = scan(
-            each(lines, traits, "line"),
-            "named_struct('depth', 0, 'held', 0)",
-            held,
-            "struct<depth:int,held:int>",
-        )
+        states = scan(each(lines, traits, "line"), "0", next_state, "bigint")
         return let(states, chunks, "states")
 
     return case(

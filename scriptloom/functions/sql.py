@@ -67,39 +67,40 @@ def groups_ending_at(items: str, ends: str) -> str:
     return f"transform({ends}, ({end}, {k}) -> slice({items}, {before} + 1, {end} - {before}))"
 
 
-def scan(
-    items: str, zero: str, step: Callable[[str, str], str], state_type: str, span: int = 64
-) -> str:
+def scan(items: str, zero: str, step: Callable[[str, str], str], state_type: str) -> str:
     """State after each element, as an array as long as `items`.
 
-    An append copies the array it appends to. So the states of `span` elements at a time
-    grow a short array, and the short arrays are gathered in an outer one; the copying
-    stays small for millions of elements.
+    `aggregate` copies its accumulator at every element, so one flat accumulator would
+    cost n * n. Here the states are gathered on three levels: runs of about cbrt(n)
+    elements, groups of runs, and all groups. Every level appends about cbrt(n) times, so
+    the copying grows with n * cbrt(n). States should be plain numbers, which are cheap
+    to copy.
     """
-    states, item, acc, part = fresh("states"), fresh("item"), fresh("acc"), fresh("part")
-    state = f"CAST({step(f'element_at({states}, -1)', item)} AS {state_type})"
-    run = (
-        f"aggregate({part}, array(element_at({acc}.run, -1)),"
-        f" ({states}, {item}) -> array_append({states}, {state}))"
-    )
-    longer = let(
-        run,
-        lambda r: f"named_struct('runs', array_append({acc}.runs, slice({r}, 2, size({r}))),"
-        f" 'run', {r})",
-        "run",
-    )
-    start = (
-        f"named_struct('runs', CAST(array() AS array<array<{state_type}>>),"
-        f" 'run', array(CAST({zero} AS {state_type})))"
-    )
-    done = fresh("done")
-
-    def folded(whole: str) -> str:
-        firsts = f"sequence(0, greatest(size({whole}) - 1, 0), {span})"
-        parts = each(firsts, lambda first: f"slice({whole}, {first} + 1, {span})", "first")
+
+    def runs_of(part: str, span: str) -> str:
+        firsts = f"sequence(1, size({part}), {span})"
+        return each(firsts, lambda first: f"slice({part}, {first}, {span})", "first")
+
+    def states_from(state: str, part: str, spans: list[str]) -> str:
+        """The given state, then the state after each element of `part`."""
+        acc, item = fresh("acc"), fresh("item")
+        if not spans:
+            after = f"CAST({step(f'element_at({acc}, -1)', item)} AS {state_type})"
+            return f"aggregate({part}, array({state}), ({acc}, {item}) -> array_append({acc}, {after}))"
+        last = f"element_at(element_at({acc}, -1), -1)"
+        further = f"slice({states_from(last, item, spans[1:])}, 2, {spans[0]})"
         return (
-            f"aggregate({parts}, {start}, ({acc}, {part}) -> {longer},"
-            f" {done} -> flatten({done}.runs))"
+            f"aggregate({runs_of(part, spans[0])}, array(array({state})),"
+            f" ({acc}, {item}) -> array_append({acc}, {further}), {acc} -> flatten({acc}))"
+        )
+
+    def sized(whole: str) -> str:
+        start = f"CAST({zero} AS {state_type})"
+        states = let(
+            f"greatest(16, CAST(ceil(cbrt(size({whole}))) AS int))",
+            lambda n: f"slice({states_from(start, whole, [f'{n} * {n}', n])}, 2, size({whole}))",
+            "span",
         )
+        return case(f"size({whole}) = 0", f"CAST(array() AS array<{state_type}>)", states)
 
-    return let(items, folded, "whole")
+    return let(items, sized, "whole")
