@@ -90,7 +90,19 @@ def by_pattern(text: str, leading_ws: str = "skip", tail: str = "keep") -> str:
     if tail not in ("keep", "drop"):
         raise ValueError("tail is 'keep' or 'drop'")
     pattern = literal(block_pattern(leading_ws))
-    found = _stripped(f"regexp_extract_all({unix_newlines(text)}, {pattern}, 0)")
+    last_end = literal(rf"(?ius)\A.*END[{fixed.WS}]*;")
+
+    def matches(unix: str) -> str:
+        # Up to the last END; each block word finds its end. Beyond it none would, and
+        # each would search the whole rest for one; only statements are left there.
+        return let(
+            f"regexp_extract({unix}, {last_end}, 0)",
+            lambda head: f"concat(regexp_extract_all({head}, {pattern}, 0), regexp_extract_all("
+            rf"substring({unix}, length({head}) + 1), r'[^;]+;|[^;]+\z', 0))",
+            "head",
+        )
+
+    found = _stripped(let(unix_newlines(text), matches, "unix"))
     blocks = keep(found, lambda block: f"{block} <> {literal(fixed.BLOCK_DELIMITER)}", "block")
     return keep(blocks, is_terminated, "block") if tail == "drop" else blocks
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from scriptloom.functions.fixed_values import WHITESPACE
-from scriptloom.functions.sql import case, literal
+from scriptloom.functions.sql import case, let, literal
 
 _WHITESPACE = literal(WHITESPACE)
 
@@ -35,8 +35,17 @@ def unix_newlines(text: str) -> str:
 def without_comments(text: str) -> str:
     """Drop block comments, then line comments. Blind to string literals; an unclosed
     block comment stays."""
+    # Up to the last closing mark each opening mark finds its end; beyond it none would,
+    # and each would search the whole rest for one.
     no_blocks = case(
-        f"contains({text}, '/*')", rf"regexp_replace({text}, r'(?s)/\*.*?\*/', '')", text
+        f"contains({text}, '/*')",
+        let(
+            rf"regexp_extract({text}, r'(?s)\A.*\*/', 0)",
+            lambda closed: rf"concat(regexp_replace({closed}, r'(?s)/\*.*?\*/', ''),"
+            f" substring({text}, length({closed}) + 1))",
+            "closed",
+        ),
+        text,
     )
     return rf"regexp_replace({no_blocks}, r'--[^\n]*', '')"
 

@@ -1,4 +1,7 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 import scriptloom as sl
 from scriptloom.functions import fixed_values as fixed
@@ -76,6 +79,16 @@ def test_pattern_quirks(scripts, codes, text, expected):
     assert codes(sl.split_pattern(scripts(text)))["0"] == expected
 
 
+def test_unclosed_blocks_stay_fast(scripts, codes):
+    """Without END; a block word must not search the rest of the script each time."""
+    text = "BEGIN a; END;\n" + "BEGIN x; END p;\n" * 30000 + "/* open " * 30000
+    df = scripts(text)
+    got = codes(sl.split_pattern(df))["0"]
+    assert got[:4] == ["BEGIN a; END;", "BEGIN x;", "END p;", "BEGIN x;"]
+    assert len(got) == 60002
+    assert sl.strip_comments(df).first().source == text
+
+
 def test_statements(scripts, codes):
     got = codes(sl.split_statements(scripts("a;;\n b ; c", " begin x; y; end;", ";", "  ")))
     assert got == {"0": ["a;", "b ;", "c"], "1": ["begin x; y; end;"]}
@@ -231,3 +244,38 @@ def test_partitioning_does_not_matter(spark, scripts):
         one = sorted(map(str, op(df.repartition(1)).collect()))
         many = sorted(map(str, op(df.repartition(16)).collect()))
         assert one == many
+
+
+def test_random_texts(spark, scripts, codes):
+    """Nothing but delimiters and outer white space is lost, and order is kept."""
+    rng = random.Random(7)
+    words = ["a", "b;", "\n", " ", "/", "\n/\n", "BEGIN", "END;", "--x", "x" * 90, "\n\n", ";"]
+    texts = ["".join(rng.choices(words, k=rng.randint(0, 60))) for _ in range(200)]
+    df = scripts(*texts)
+
+    def squeezed(text):
+        return "".join(text.split())
+
+    delimited, counted = codes(sl.split_delimiter(df)), codes(sl.split_lines(df, 3))
+    pattern, top = codes(sl.split_pattern(df)), codes(sl.split_top_level(df))
+    lined = df.withColumn("fragments", F.split("source", "\n"))
+    batched = codes(sl.batch_small(lined))
+    depth = {}
+    for r in sl.line_depth(df).collect():
+        depth.setdefault(r.script_id, []).append((r.line_no, r.line, r.depth))
+    for i, text in enumerate(texts):
+        key = str(i)
+        kept = "\n".join(line for line in text.split("\n") if line.strip() != "/")
+        assert squeezed("".join(delimited.get(key, []))) == squeezed(kept)
+        assert "\n".join(counted[key]) == text
+        assert squeezed("".join(batched.get(key, []))) == squeezed(text)
+        assert squeezed("".join(top.get(key, []))) == squeezed(text)
+        found = "".join(pattern.get(key, []))
+        assert squeezed(found).replace(";", "") in (
+            squeezed(text).replace(";", ""),
+            squeezed(text).replace(";", "").removesuffix("/"),
+        )
+        level = 0
+        for no, (line_no, line, got) in enumerate(sorted(depth.get(key, [])), 1):
+            level = max(level + ("BEGIN" in line) - ("END" in line), 0)
+            assert (no, level) == (line_no, got)
