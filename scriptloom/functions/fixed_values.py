@@ -39,7 +39,7 @@ MSG_NO_IMPORT = "# ⚠️ No PySpark import detected. Add necessary imports."
 MSG_PASSED = "# ✅ PySpark code passed static validation."
 
 # Prefixes that mark a failed conversion inside the converted text.
-ERROR_PREFIXES = ["# Gemini Error: ", "# OpenAI Error: "]
+ERROR_PREFIXES = ["# Gemini Error:", "# OpenAI Error:"]
 
 # Characters that count as white space (Unicode white space and the
 # four ASCII separators), as characters and as a regular-expression class body.

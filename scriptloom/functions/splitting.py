@@ -90,7 +90,7 @@ def by_pattern(text: str, leading_ws: str = "skip", tail: str = "keep") -> str:
     if tail not in ("keep", "drop"):
         raise ValueError("tail is 'keep' or 'drop'")
     pattern = literal(block_pattern(leading_ws))
-    last_end = literal(rf"(?ius)\A.*END[{fixed.WS}]*;")
+    last_end = literal(rf"(?is)\A.*END[{fixed.WS}]*;")
 
     def matches(unix: str) -> str:
         # Up to the last END; each block word finds its end. Beyond it none would, and

@@ -53,7 +53,7 @@ def with_conversion_status(
     starts = "|".join(re.escape(prefix) for prefix in prefixes)
     code = F.col(code_col)
     failed = code.rlike(rf"\A(?:{starts})")
-    message = F.regexp_extract(code, rf"(?s)\A(?:{starts})(.*)\z", 1)
+    message = F.regexp_extract(code, rf"(?s)\A(?:{starts}) ?(.*)\z", 1)
     return df.withColumns(
         {
             "status": F.when(code.isNull(), "missing").when(failed, "error").otherwise("ok"),

@@ -47,7 +47,7 @@ def test_legacy_only_is_valid_with_a_warning(spark):
 
 
 def test_conversion_status(spark):
-    df = coded(spark, "# Gemini Error: no\nmore", "x # OpenAI Error: y", "# OpenAI Error: ", None)
+    df = coded(spark, "# Gemini Error: no\nmore", "x # OpenAI Error: y", "# OpenAI Error:", None)
     got = {r.script_id: (r.status, r.error) for r in sl.with_conversion_status(df, code_col="code").collect()}
     assert got == {
         "0": ("error", "no\nmore"),
