@@ -5,18 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from scriptloom.llm.best_fit import best_fit_packing
 from scriptloom.llm.common import documents
-from scriptloom.llm.fair_mix import fair_mix
+from scriptloom.llm.exact_dedup import exact_dedup, sha256
+from scriptloom.llm.fair_mix import fair_mix, word_count
 from scriptloom.llm.host_rules import judge_hosts
 from scriptloom.llm.rank_order import identify_language
 from scriptloom.llm.simhash import near_duplicates
 
 
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(documents(spark, sf_dir)).drop("_file", "_row")
+
+
 def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_hosts(documents(spark, sf_dir)).drop("host_rate")
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by words into bins of 2048; equal texts are one cluster."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = documents(spark, sf_dir).select(
+        "doc_id", "source", (word_count(text) + 1).alias("length"), sha256(text).alias("cluster")
+    )
+    return best_fit_packing(docs)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -30,7 +46,9 @@ def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_dedup": op1_exact_dedup,
     "op5_host_rules": op5_host_rules,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op8_simhash": op8_simhash,
     "op9_language_id": op9_language_id,
     "op10_fair_mix": op10_fair_mix,
