@@ -93,26 +93,26 @@ def kept_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     )
 
 
-def maybe_member(value: Column, members: DataFrame, name: str, bits: int) -> Column:
-    """False only for values that are not in the column `name` of `members`.
+def maybe_members(rows: DataFrame, members: DataFrame, name: str, bits: int) -> DataFrame:
+    """`rows` without most of those whose column `name` is not in `members`.
 
-    A bitmap of 2^bits hashed values; the driver holds its 2^bits / 8 bytes whatever the data.
+    A bitmap of 2^bits hashed values, in pieces of 4 KB: that is the size of what is
+    broadcast, whatever the data.
     """
-    size = 1 << bits
-    at = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
-    chunks = (
-        members.select(at(F.col(name)).alias("at"))
-        .groupBy(F.floor(F.col("at") / 32768).alias("chunk"))
-        .agg(F.bitmap_construct_agg((F.col("at") % 32768).cast("long")).alias("bitmap"))
-        .collect()
+    at = F.pmod(F.xxhash64(name), F.lit(1 << bits))
+    piece = F.bitmap_bucket_number(at).alias("_piece")
+    bitmap = members.groupBy(piece).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bitmap")
+    )
+    bit = F.bitmap_bit_position(at)
+    byte = F.substring("_bitmap", (bit / 8).cast("int") + 1, F.lit(1))
+    is_set = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (bit % 8).cast("int")) == 1
+    return (
+        rows.withColumn("_piece", F.bitmap_bucket_number(at))
+        .join(F.broadcast(bitmap), "_piece")
+        .filter(is_set)
+        .select(*rows.columns)
     )
-    if not chunks:
-        return F.lit(False)
-    bitmap = bytearray(size // 8)
-    for chunk in chunks:
-        bitmap[chunk.chunk * 4096 : (chunk.chunk + 1) * 4096] = chunk.bitmap
-    byte = F.substring(F.lit(bytes(bitmap)), (at(value) / 8).cast("int") + 1, F.lit(1))
-    return F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (at(value) % 8).cast("int")) == 1
 
 
 def exact_dedup(
@@ -134,7 +134,7 @@ def exact_dedup(
 
     # hits: full bytes of every row of a digest against those of the row that stays
     several = durable(state.filter("n > 1").select("digest", "stays"))
-    hits = rows.filter(maybe_member(F.col("digest"), several, "digest", bits))
+    hits = maybe_members(rows, several, "digest", bits)
     stay = several.select(
         "digest", F.col("stays.file").alias("_file"), F.col("stays.row").alias("_row")
     )

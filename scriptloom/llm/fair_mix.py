@@ -69,7 +69,7 @@ def source_targets(
 def fair_mix(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     source_col: str = "source", weights: Sequence[int] = (1, 2, 3), max_repeats: int = 3,
-    rows_per_bucket: int = 50_000,
+    rows_per_bucket: int = 4096,
 ) -> DataFrame:
     """One row per row of `docs`: doc_id, source, size, source_size, target, taken.
 

@@ -6,6 +6,12 @@ link; the bits are then compared exactly. For two differing bits, each fingerpri
 own cell and the cells one step away, and linked fingerprints meet in a cell; which steps are
 needed follows from how their bit counts differ, so a pair meets in one kind of cell.
 
+`similar_rows` finds texts whose sets of five-word shingles have Jaccard similarity 0.8. That is
+up to 16 differing bits of a whole-text fingerprint, beyond what a grid can join. So it also
+takes fingerprints of small parts: shingles are dealt to parts by their hash, about three to
+a part, and the fingerprints of the same 16 parts of two similar texts agree in about half of
+the parts. Every candidate is verified on the full sets.
+
 Defined results: null text is empty; text of fewer words than a shingle is one shingle; text
 without words has fingerprint zero and links like any other; equal fingerprints are one node,
 so copies cost nothing; repeated rows each get a row; a null doc_id is never the smallest
@@ -17,16 +23,19 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import durable, utf8
+from scriptloom.llm.common import durable, new_folder, utf8
 from scriptloom.llm.components import components
+from scriptloom.llm.exact_dedup import located
 
 SEED = 42
 SEGMENT_BITS = 4
 SEGMENTS = 64 // SEGMENT_BITS
 BLOCK = 1 << 16
+PARTS = 16
+PART_SHINGLES = 2
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -105,10 +114,10 @@ def links(nodes: DataFrame) -> DataFrame:
         .select("fp", F.explode(F.array_compact(F.array(*cells))).alias("c"))
         .select("fp", "c.kind", "c.cell")
     )
-    left = placed.filter("kind <> 'down'").select("cell", F.col("fp").alias("a"), F.col("kind").alias("ka"))
-    right = placed.filter("kind <> 'up' OR kind = 'up'").select(
-        "cell", F.col("fp").alias("b"), F.col("kind").alias("kb")
+    left = placed.filter("kind <> 'down'").select(
+        "cell", F.col("fp").alias("a"), F.col("kind").alias("ka")
     )
+    right = placed.select("cell", F.col("fp").alias("b"), F.col("kind").alias("kb"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
     # own-own and up-up are symmetric, so one order of the pair is enough
     meet = F.expr(
@@ -138,3 +147,133 @@ def near_duplicates(
     return prints.join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def part_fingerprints(shingles: np.ndarray, similarity: float) -> list[int]:
+    """Fingerprints of PARTS parts of a set of distinct shingle hashes.
+
+    The number of parts is the power of two that leaves PART_SHINGLES to twice as many in a
+    part; a set that a similar, smaller set may fall short of this power gives the parts of
+    the next smaller power as well. Only the first PARTS parts are used.
+    """
+    if not len(shingles):
+        return [0]
+    level = max(0, (len(shingles) // PART_SHINGLES).bit_length() - 1)
+    below = max(0, (int(len(shingles) * similarity) // PART_SHINGLES).bit_length() - 1)
+    mixed = shingles * np.uint64(0x9E3779B97F4A7C15)
+    out: list[int] = []
+    for power in range(below, level + 1):
+        part = mixed >> np.uint64(64 - power) if power else np.zeros(len(mixed), np.uint64)
+        own = np.flatnonzero(part < PARTS)
+        own = own[np.argsort(part[own], kind="stable")]
+        if not len(own):
+            continue
+        first = np.flatnonzero(np.r_[True, np.diff(part[own]) > 0])
+        bits = np.unpackbits(shingles[own].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1)
+        ones = np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+        sizes = np.diff(np.r_[first, len(own)])
+        prints = np.packbits(2 * ones > sizes[:, None], axis=1).view("<u8").reshape(-1)
+        label = part[own][first] * np.uint64(64) + np.uint64(power)
+        out += ((prints ^ (label * np.uint64(0xBF58476D1CE4E5B9))) * np.uint64(0x94D049BB133111EB)).tolist()
+    return out
+
+
+def _sketch(text: Column, width: int, similarity: float) -> Column:
+    @F.arrow_udf("struct<n: long, fp: long, parts: array<long>>")
+    def sketch(texts: pa.Array) -> pa.Array:
+        n, fp, parts = [], [], []
+        for t in utf8(texts):
+            hashes = shingle_hashes(t, width)
+            distinct = np.unique(hashes)
+            n.append(len(distinct))
+            fp.append(fingerprint(hashes))
+            parts.append(np.array(part_fingerprints(distinct, similarity), np.uint64).view(np.int64))
+        return pa.StructArray.from_arrays(
+            [
+                pa.array(n, pa.int64()),
+                pa.array(np.array(fp, np.uint64).view(np.int64)),
+                pa.array(parts, pa.list_(pa.int64())),
+            ],
+            ["n", "fp", "parts"],
+        )
+
+    return sketch(text)
+
+
+def _shingle_set(text: Column, width: int) -> Column:
+    @F.arrow_udf("array<long>")
+    def shingle_set(texts: pa.Array) -> pa.Array:
+        sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in utf8(texts)]
+        return pa.array(sets, pa.list_(pa.int64()))
+
+    return shingle_set(text)
+
+
+def similar_rows(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
+    similarity: float = 0.8,
+) -> DataFrame:
+    """doc_id, group_id, kept and locator _file, _row of every row; of each group of similar
+    texts the row with the smallest doc_id is kept.
+
+    Rows with a part in common are compared with the first and the last row that has it, and
+    rows whose fingerprints differ in at most two bits with each other's first row; so the
+    number of comparisons grows with the rows, whatever the size of a group.
+    """
+    text = F.col(text_col).alias("text")
+    rows = located(
+        docs.select(F.col(id_col).alias("doc_id"), text), new_folder(docs.sparkSession, "simhash")
+    )
+    nodes = durable(
+        rows.select("doc_id", "_file", "_row", _sketch(F.col("text"), width, similarity).alias("s"))
+        .select("doc_id", "_file", "_row", "s.*")
+    ).withColumn("node", F.monotonically_increasing_id())
+    parts = nodes.select("node", "n", F.explode(F.array_distinct("parts")).alias("part"))
+    ends = durable(
+        parts.groupBy("part")
+        .agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("rows"))
+        .filter("first <> last")
+        .select("part", "first", "last")
+    )
+    by_part = parts.join(ends, "part").select(
+        F.explode(F.array("first", "last")).alias("a"), F.col("node").alias("b")
+    )
+    prints = durable(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    by_print = nodes.join(prints, "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    name = lambda c: prints.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node"))
+    linked = (
+        links(prints).join(name("a"), "a").join(name("b"), "b")
+        .select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    )
+    pairs = durable(
+        by_part.unionByName(by_print)
+        .unionByName(linked)
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .filter("a <> b")
+        .distinct()
+    )
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    where = durable(nodes.join(needed, "node").select("node", "_file", "_row"))
+    sets = durable(
+        rows.join(where, ["_file", "_row"]).select("node", _shingle_set(F.col("text"), width).alias("set"))
+    )
+    both = F.size(F.array_intersect("sa", "sb"))
+    either = F.size("sa") + F.size("sb") - both
+    similar = durable(
+        pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
+        .join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
+        .filter((either == 0) | (both >= similarity * either))
+        .select("a", "b")
+    )
+    grouped = nodes.join(components(similar), "node", "left").select(
+        "doc_id", "_file", "_row", F.coalesce("root", "node").alias("root")
+    )
+    best = Window.partitionBy("root")
+    me = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_file", "_row")
+    return grouped.withColumn("stays", F.min(me).over(best)).select(
+        "doc_id",
+        F.col("stays.doc_id").alias("group_id"),
+        (me == F.col("stays")).alias("kept"),
+        "_file",
+        "_row",
+    )
