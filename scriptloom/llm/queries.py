@@ -14,12 +14,17 @@ from scriptloom.llm.fair_mix import fair_mix, word_count
 from scriptloom.llm.host_rules import judge_hosts
 from scriptloom.llm.rank_order import identify_language
 from scriptloom.llm.simhash import near_duplicates
+from scriptloom.llm.token_codes import token_codes
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).drop("_file", "_row")
 
 
+def op4_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_codes(documents(spark, sf_dir))
+
+
 def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_hosts(documents(spark, sf_dir)).drop("host_rate")
 
@@ -47,6 +52,7 @@ def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op4_token_codes": op4_token_codes,
     "op5_host_rules": op5_host_rules,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_simhash": op8_simhash,

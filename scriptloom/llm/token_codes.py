@@ -71,16 +71,16 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [PIECE.findall(t) for t in texts]
-        known = self.known
-        if len(known) > CACHED:
-            known.clear()
-        new = list({p for pieces in split for p in pieces if p not in known})
+        if len(self.known) > CACHED:
+            self.known.clear()
+        new = list(set().union(*split).difference(self.known))
         for at in range(0, len(new), 10_000):
             some = new[at : at + 10_000]
             found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
             for piece, encoding in zip(some, found, strict=True):
-                known[piece] = np.array(encoding.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join([known[p] for p in pieces]), "<u4") for pieces in split]
+                self.known[piece] = np.array(encoding.ids, "<u4").tobytes()
+        ids = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(ids, pieces)), "<u4") for pieces in split]
 
 
 def _padded(data: bytes) -> bytes:
