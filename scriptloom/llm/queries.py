@@ -13,6 +13,7 @@ from scriptloom.llm.exact_dedup import exact_dedup, sha256
 from scriptloom.llm.fair_mix import fair_mix, word_count
 from scriptloom.llm.host_rules import judge_hosts
 from scriptloom.llm.rank_order import identify_language
+from scriptloom.llm.secret_scan import digest, scan_secrets
 from scriptloom.llm.simhash import near_duplicates
 from scriptloom.llm.token_codes import token_codes
 
@@ -21,6 +22,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).drop("_file", "_row")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(scan_secrets(documents(spark, sf_dir)))
+
+
 def op4_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codes(documents(spark, sf_dir))
 
@@ -52,6 +57,7 @@ def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_secret_scan": op3_secret_scan,
     "op4_token_codes": op4_token_codes,
     "op5_host_rules": op5_host_rules,
     "op7_best_fit_packing": op7_best_fit_packing,
