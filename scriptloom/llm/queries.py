@@ -12,6 +12,7 @@ from scriptloom.llm.common import documents
 from scriptloom.llm.exact_dedup import exact_dedup, sha256
 from scriptloom.llm.fair_mix import fair_mix, word_count
 from scriptloom.llm.host_rules import judge_hosts
+from scriptloom.llm.kneser_ney import lm_scores
 from scriptloom.llm.rank_order import identify_language
 from scriptloom.llm.secret_scan import digest, scan_secrets
 from scriptloom.llm.simhash import near_duplicates
@@ -22,6 +23,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).drop("_file", "_row")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(documents(spark, sf_dir))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan_secrets(documents(spark, sf_dir)))
 
@@ -57,6 +62,7 @@ def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_lm_score": op2_lm_score,
     "op3_secret_scan": op3_secret_scan,
     "op4_token_codes": op4_token_codes,
     "op5_host_rules": op5_host_rules,
