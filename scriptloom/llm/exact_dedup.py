@@ -32,6 +32,8 @@ STATE = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # else each state partition reserves megabytes of disk for logs it does not fill
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 ARRIVAL = "doc_id {id}, digest string, file string, row long"
 
