@@ -65,3 +65,24 @@ def utf8(array) -> list[bytes]:
     import pyarrow as pa
 
     return [x or b"" for x in array.cast(pa.large_binary()).to_pylist()]
+
+
+def maybe_members(
+    rows: DataFrame, members: DataFrame, name: str, bits: int = 23
+) -> tuple[DataFrame, DataFrame]:
+    """`rows` in two parts: those whose column `name` may be in `members`, and those where it
+    is not. A bitmap of 2^bits hashed values decides; it is broadcast in pieces of 4 KB and is
+    no larger than 2^bits / 8 bytes whatever the data."""
+    at = F.pmod(F.xxhash64(name), F.lit(1 << bits))
+    piece = F.bitmap_bucket_number(at).alias("_piece")
+    bitmap = members.groupBy(piece).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bitmap")
+    )
+    bit = F.bitmap_bit_position(at)
+    byte = F.substring("_bitmap", (bit / 8).cast("int") + 1, F.lit(1))
+    is_set = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (bit % 8).cast("int")) == 1
+    probed = rows.withColumn("_piece", F.bitmap_bucket_number(at)).join(
+        F.broadcast(bitmap), "_piece", "left"
+    )
+    maybe = F.coalesce(is_set, F.lit(False))
+    return probed.filter(maybe).select(*rows.columns), probed.filter(~maybe).select(*rows.columns)

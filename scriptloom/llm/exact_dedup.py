@@ -25,7 +25,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import durable, new_folder, remove_folder
+from scriptloom.llm.common import durable, maybe_members, new_folder, remove_folder
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": (
@@ -95,28 +95,6 @@ def kept_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     )
 
 
-def maybe_members(rows: DataFrame, members: DataFrame, name: str, bits: int) -> DataFrame:
-    """`rows` without most of those whose column `name` is not in `members`.
-
-    A bitmap of 2^bits hashed values, in pieces of 4 KB: that is the size of what is
-    broadcast, whatever the data.
-    """
-    at = F.pmod(F.xxhash64(name), F.lit(1 << bits))
-    piece = F.bitmap_bucket_number(at).alias("_piece")
-    bitmap = members.groupBy(piece).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bitmap")
-    )
-    bit = F.bitmap_bit_position(at)
-    byte = F.substring("_bitmap", (bit / 8).cast("int") + 1, F.lit(1))
-    is_set = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (bit % 8).cast("int")) == 1
-    return (
-        rows.withColumn("_piece", F.bitmap_bucket_number(at))
-        .join(F.broadcast(bitmap), "_piece")
-        .filter(is_set)
-        .select(*rows.columns)
-    )
-
-
 def exact_dedup(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     digest: Callable[[Column], Column] = sha256, files_per_batch: int = 16, bits: int = 23,
@@ -136,7 +114,7 @@ def exact_dedup(
 
     # hits: full bytes of every row of a digest against those of the row that stays
     several = durable(state.filter("n > 1").select("digest", "stays"))
-    hits = maybe_members(rows, several, "digest", bits)
+    hits, _ = maybe_members(rows, several, "digest", bits)
     stay = several.select(
         "digest", F.col("stays.file").alias("_file"), F.col("stays.row").alias("_row")
     )

@@ -16,6 +16,7 @@ from scriptloom.llm.kneser_ney import lm_scores
 from scriptloom.llm.rank_order import identify_language
 from scriptloom.llm.secret_scan import digest, scan_secrets
 from scriptloom.llm.simhash import near_duplicates
+from scriptloom.llm.suffix_index import remove_repeats
 from scriptloom.llm.token_codes import token_codes
 
 
@@ -39,6 +40,10 @@ def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_hosts(documents(spark, sf_dir)).drop("host_rate")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by words into bins of 2048; equal texts are one cluster."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_token_codes": op4_token_codes,
     "op5_host_rules": op5_host_rules,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_simhash": op8_simhash,
     "op9_language_id": op9_language_id,
