@@ -195,7 +195,7 @@ def index_batches(rows: DataFrame, folder: str, length: int, files: list[str], b
     spark = rows.sparkSession
     stacks: dict[int, list[tuple[int, str]]] = {}
     found = []
-    step = -(-len(files) // batches)
+    step = max(1, -(-len(files) // batches))
     tasks = min(1 << bits, 20_000)
 
     for at in range(0, len(files), step):
