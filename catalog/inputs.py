@@ -7,15 +7,12 @@ grouped with another, so their number grows with the tables and their size does
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptloom.sources.scripts import scripts_from
 
-SPREAD_BELOW_BYTES = 512 * 1024 * 1024
-
+MOST_CHUNKS = 30
 LF = "chr(10)"
 N = "(3 + c_custkey * 7 % 40)"
 K = "CAST(c_custkey AS STRING)"
@@ -33,20 +30,21 @@ def _lines(*parts: str) -> str:
 def _script_expression(repeat) -> str:
     """`repeat(n, body)` joins body for i = 1 .. n with LF, in the dialect at hand."""
     procedure = _lines(
-        f"'CREATE OR REPLACE PROCEDURE raise_' || {K} || ' IS'",
-        "'  v_count NUMBER := 0;'",
+        f"'CREATE OR REPLACE PROCEDURE settle_account_' || {K}",
+        "'AS'",
         "'BEGIN'",
         repeat(N, UPDATE),
         "'END;'",
         "'  / '",
         "''",
-        repeat("(c_custkey % 5 + 1)", UPDATE),
+        "'-- accounts that wait for the next run'",
+        "'/'",
         "'/'",
+        repeat("(c_custkey % 5 + 1)", "'DELETE FROM pending WHERE run = ' || " + STEP + " || ';'"),
         "'/'",
-        "'-- closing note'",
-        f"'Create Function get_' || {K} || ' RETURN NUMBER IS'",
+        f"'Create Trigger watch_' || {K} || ' BEFORE INSERT ON pending'",
         "'BEGIN'",
-        "'  RETURN ' || CAST(CAST(floor(c_acctbal) AS BIGINT) AS STRING) || ';'",
+        "'  CHECK_LIMIT(' || CAST(CAST(floor(c_acctbal) AS BIGINT) AS STRING) || ');'",
         "'END;'",
         "'/'",
         "''",
@@ -133,21 +131,12 @@ DUCKDB_SCRIPT = _script_expression(
 )
 
 
-def _spread(df: DataFrame, path: str) -> DataFrame:
-    """A small local table may be one row group, which is one task. Share it out; larger
-    tables have enough row groups and are not shuffled."""
-    if os.path.isfile(path) and os.path.getsize(path) < SPREAD_BELOW_BYTES:
-        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-    return df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _texts(spark: SparkSession, sf_dir: str, name: str, id_col: str, text_col: str) -> DataFrame:
-    columns = table(spark, sf_dir, name).select(id_col, text_col)
-    return scripts_from(_spread(columns, f"{sf_dir}/{name}.parquet"), id_col, text_col)
+    return scripts_from(table(spark, sf_dir, name), id_col, text_col)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,17 +149,16 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One procedural script per customer, in six shapes."""
-    customers = _spread(table(spark, sf_dir, "customer"), f"{sf_dir}/customer.parquet")
     return scripts_from(
-        customers.select("c_custkey", F.expr(SPARK_SCRIPT).alias("source")), "c_custkey", "source"
+        table(spark, sf_dir, "customer").select("c_custkey", F.expr(SPARK_SCRIPT).alias("source")),
+        "c_custkey",
+        "source",
     )
 
 
 def code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One piece of converted code per order."""
-    columns = ["o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus"]
-    orders = table(spark, sf_dir, "orders").select(*columns)
-    return _spread(orders, f"{sf_dir}/orders.parquet").select(
+    return table(spark, sf_dir, "orders").select(
         F.col("o_custkey").cast("string").alias("script_id"),
         F.col("o_orderkey").alias("chunk_no"),
         F.expr(CODE_EXPRESSION).alias("code"),
@@ -192,11 +180,18 @@ def turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Converted text for the first chunks of each customer's script."""
-    return table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").cast("string").alias("script_id"),
-        F.explode(F.expr("sequence(1, CAST(1 + c_custkey % 3 AS INT))")).alias("chunk_no"),
-        F.concat(
-            F.lit("from pyspark.sql import SparkSession\ndf.filter('"), "c_mktsegment", F.lit("')")
-        ).alias("converted"),
+    """Converted text for chunks 1 to MOST_CHUNKS of each customer's script, which is as many as
+    any has; one number in seven is left out, by a rule of key and number."""
+    text = F.concat(
+        F.lit("from pyspark.sql import SparkSession\ndf.filter('"), "c_mktsegment", F.lit("')")
+    )
+    return (
+        table(spark, sf_dir, "customer")
+        .select(
+            "c_custkey",
+            F.explode(F.sequence(F.lit(1), F.lit(MOST_CHUNKS))).alias("chunk_no"),
+            text.alias("converted"),
+        )
+        .filter("(c_custkey + chunk_no) % 7 <> 0")
+        .select(F.col("c_custkey").cast("string").alias("script_id"), "chunk_no", "converted")
     )

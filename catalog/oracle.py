@@ -7,7 +7,7 @@ ordered aggregation.
 
 from __future__ import annotations
 
-from catalog.inputs import CODE_EXPRESSION, DUCKDB_SCRIPT
+from catalog.inputs import CODE_EXPRESSION, DUCKDB_SCRIPT, MOST_CHUNKS
 from scriptloom.functions import fixed_values as fixed
 
 NL = "chr(10)"
@@ -19,10 +19,9 @@ DOCS = "src AS (SELECT CAST(doc_id AS VARCHAR) AS script_id, text AS source FROM
 PAGES = "src AS (SELECT CAST(page_id AS VARCHAR) AS script_id, html AS source FROM pages)"
 CODE = f"""code AS (SELECT CAST(o_custkey AS VARCHAR) AS script_id, o_orderkey AS chunk_no,
     {CODE_EXPRESSION} AS code FROM orders)"""
-CONVERSIONS = f"""conv AS (SELECT CAST(c_custkey AS VARCHAR) AS script_id,
-    unnest(range(1, 2 + c_custkey % 3)) AS chunk_no,
+CONVERSIONS = f"""conv AS (SELECT CAST(c_custkey AS VARCHAR) AS script_id, chunk_no,
     'from pyspark.sql import SparkSession' || {NL} || 'df.filter(''' || c_mktsegment || ''')' AS converted
-    FROM customer)"""
+    FROM customer, range(1, {MOST_CHUNKS + 1}) n(chunk_no) WHERE (c_custkey + chunk_no) % 7 <> 0)"""
 
 
 def strip(x: str) -> str:
@@ -299,9 +298,8 @@ def annotated(x: str) -> str:
 WITH = "WITH RECURSIVE "
 CHUNK = "script_id, CAST(pos AS INTEGER) AS chunk_no, code"
 
-ORACLE["read_script_files"] = f"""{WITH}{SCRIPTS}
-    SELECT sha256(source || {NL}) AS content_hash, count(*) AS n_files,
-    CAST(sum(length(source || {NL})) AS BIGINT) AS n_chars FROM src GROUP BY 1"""
+ORACLE["read_script_files"] = f"""{WITH}{SCRIPTS} SELECT script_id, source || {NL} AS source,
+    sha256(source || {NL}) AS content_hash FROM src"""
 ORACLE["scripts_from_column"] = f"{WITH}{DOCS} SELECT *, sha256(source) AS content_hash FROM src"
 TURNS = f"""turns AS (SELECT CAST(u.conv_id AS VARCHAR) AS script_id, u.turn AS chunk_no,
     u.text AS original, a.text AS converted FROM conversations u LEFT JOIN conversations a
@@ -403,6 +401,12 @@ ORACLE["with_progress"] = f"""{WITH}{DOCS}, {line_chunks('src', 'c', 5)},
         count(*) OVER (PARTITION BY script_id) AS n_chunks FROM c)
     SELECT *, CAST(position AS DOUBLE) / n_chunks AS fraction FROM k"""
 
+ORACLE["with_progress_anew"] = f"""{WITH}{DOCS}, {line_chunks('src', 'c', 5)},
+    k AS (SELECT script_id, pos AS chunk_no,
+        row_number() OVER (PARTITION BY script_id ORDER BY pos) AS position,
+        count(*) OVER (PARTITION BY script_id) AS n_chunks FROM c WHERE pos % 3 <> 1)
+    SELECT *, CAST(position AS DOUBLE) / n_chunks AS fraction FROM k"""
+
 for _rule, (_cond, _, _) in rule_conditions("code").items():
     ORACLE[f"lint_{_rule}"] = (
         f"WITH {CODE} SELECT script_id, chunk_no, {int_(_cond)} AS broken FROM code"
@@ -456,6 +460,12 @@ ORACLE["dedup_chunks"] = f"""{WITH}{DOCS}, {line_chunks('src', 'c', 1)},
         row_number() OVER (PARTITION BY code ORDER BY script_id, pos) AS nth,
         count(*) OVER (PARTITION BY code) AS n_copies FROM c)
     SELECT script_id, chunk_no, code, content_hash, n_copies FROM k WHERE nth = 1"""
+ORACLE["dedup_null_code"] = f"""{WITH}{DOCS}, {line_chunks('src', 'c', 1)},
+    k AS (SELECT {CHUNK}, sha256(code) AS content_hash,
+        row_number() OVER (PARTITION BY code ORDER BY script_id, pos) AS nth,
+        count(*) OVER (PARTITION BY code) AS n_copies FROM c WHERE CAST(script_id AS BIGINT) % 5 <> 0)
+    SELECT script_id, chunk_no, code, content_hash, n_copies FROM k WHERE nth = 1 UNION ALL
+    SELECT script_id, CAST(pos AS INTEGER), NULL, NULL, 1 FROM c WHERE CAST(script_id AS BIGINT) % 5 = 0"""
 ORACLE["label_copies"] = f"""{WITH}{DOCS}, {line_chunks('src', 'c', 1)},
     k AS (SELECT {CHUNK}, sha256(code) AS content_hash,
         row_number() OVER w AS nth, first_value(script_id) OVER w AS first_script_id,
@@ -468,6 +478,10 @@ ORACLE["assemble"] = f"{WITH}{DOCS} SELECT script_id, source AS code FROM src"
 ORACLE["final_scripts"] = f"""WITH {CODE}, w AS (SELECT script_id,
     string_agg(code, {NL} ORDER BY chunk_no) AS whole FROM code GROUP BY script_id)
     SELECT script_id, {valid('whole')} AS is_valid, {annotated('whole')} AS annotated FROM w"""
+ORACLE["final_scripts_missing"] = f"""WITH {CODE}, w AS (SELECT script_id,
+    string_agg(code, {NL} ORDER BY chunk_no) FILTER (chunk_no % 9 <> 0) AS whole,
+    CAST(count(*) FILTER (chunk_no % 9 = 0) AS BIGINT) AS n_missing FROM code GROUP BY script_id)
+    SELECT script_id, CASE WHEN n_missing > 0 THEN 0 ELSE {valid('whole')} END AS is_valid, n_missing FROM w"""
 SEEN = "seen AS (SELECT text FROM documents WHERE lang = 'fr')"
 ORACLE["only_new"] = f"""WITH {SEEN} SELECT CAST(doc_id AS VARCHAR) AS script_id,
     sha256(text) AS content_hash FROM documents WHERE text NOT IN (SELECT text FROM seen)"""
@@ -482,6 +496,15 @@ ORACLE["stream_chunks"] = f"""{WITH}
     SELECT content_hash, chunk_no, printf('blk_%03d', chunk_no) AS chunk_id,
         {block_type('code')} AS block_type, {n_lines('code')} AS line_count,
         {int_('length(code)')} AS n_chars, {n_lines('code')} > 400 AS oversized, code FROM o"""
+ORACLE["stream_script_files"] = f"""{WITH}{SCRIPTS.replace("src AS", "raw AS", 1)},
+    src AS (SELECT DISTINCT sha256(source || {NL}) AS script_id,
+        {no_comments(f"(source || {NL})")} AS source FROM raw),
+    {top_level('src', 't')}, tb AS (SELECT script_id, pos AS b_no, code FROM t),
+    {safe_chunks('tb', 's', 'script_id, b_no', 400)},
+    o AS (SELECT script_id AS content_hash, {number('b_no, grp')} AS chunk_no, code FROM s)
+    SELECT content_hash, chunk_no, printf('blk_%03d', chunk_no) AS chunk_id,
+        {block_type('code')} AS block_type, {n_lines('code')} AS line_count,
+        {int_('length(code)')} AS n_chars, {n_lines('code')} > 400 AS oversized, code FROM o"""
 ORACLE["line_totals"] = f"""{WITH}{DOCS}, {line_chunks('src', 'o', 100)}
     SELECT {n_lines('code')} AS line_count, count(*) AS n_chunks,
     CAST(sum(length(code)) AS BIGINT) AS n_chars FROM o GROUP BY 1"""
@@ -504,9 +527,13 @@ ORACLE["lookup_one"] = """SELECT c_custkey, c_nationkey, n_name,
 ORACLE["lookup_many"] = """SELECT c_custkey, c_name,
     CASE WHEN count(o_orderkey) = 1 THEN min(o_orderkey) END AS o_orderkey,
     CASE count(o_orderkey) WHEN 0 THEN 'NO_DATA_FOUND' WHEN 1 THEN 'OK' ELSE 'TOO_MANY_ROWS' END AS status
-    FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 150000
+    FROM customer LEFT JOIN orders ON o_custkey = c_custkey
     GROUP BY c_custkey, c_name"""
 
+ORACLE["lookup_key"] = """SELECT c_custkey, c_custkey * 2 AS wanted, o_totalprice,
+    CASE WHEN o_orderkey IS NULL THEN 'NO_DATA_FOUND' ELSE 'OK' END AS status
+    FROM customer LEFT JOIN orders ON o_orderkey = c_custkey * 2"""
+
 ORACLE["select_columns"] = """SELECT l_orderkey, l_linenumber, l_extendedprice, l_discount,
     l_extendedprice * (1 - l_discount) AS discounted,
     CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem"""

@@ -11,7 +11,7 @@ import scriptloom as sl
 from catalog import inputs
 from scriptloom.functions import lint, splitting
 from scriptloom.plans import flows
-from scriptloom.session import work_folder
+from scriptloom.session import scratch, work_folder
 from scriptloom.sources.scripts import scripts_from
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,15 +26,29 @@ def query(fn: Query) -> Query:
 # --- sources and sinks ---------------------------------------------------------------
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """`df` computed and kept in the shared folder, so that its inputs can go."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(work_folder(spark, "kept"))
+    return df.checkpoint()
+
+
+def _landed(scripts: DataFrame, folder: str) -> None:
+    """Script files: one folder per customer, one text file in each."""
+    rows = scripts.select("script_id", F.col("source").alias("value")).repartition(32, "script_id")
+    rows.write.mode("append").partitionBy("script_id").text(folder)
+
+
+SCRIPT_OF_PATH = "regexp_extract(path, 'script_id=([^/]*)/', 1) AS script_id"
+
+
 @query
 def read_script_files(spark, sf_dir):
-    folder = work_folder(spark, "scripts")
-    texts = inputs.scripts(spark, sf_dir).select("source")
-    texts.write.option("maxRecordsPerFile", 1).text(folder)
-    files = sl.read_scripts(spark, folder)
-    return files.groupBy("content_hash").agg(
-        F.count("*").alias("n_files"), F.sum(F.length("source")).alias("n_chars")
-    )
+    with scratch(spark, "scripts") as folder:
+        _landed(inputs.scripts(spark, sf_dir), folder)
+        files = sl.read_scripts(spark, folder)
+        return kept(files.selectExpr(SCRIPT_OF_PATH, "source", "content_hash"))
 
 
 @query
@@ -44,23 +58,19 @@ def scripts_from_column(spark, sf_dir):
 
 @query
 def mapping_csv(spark, sf_dir):
-    folder = work_folder(spark, "mapping")
     mapping = sl.map_chunks(*inputs.turns(spark, sf_dir)).select(
         "script_id", "chunk_no", "original", "converted", "annotated"
     )
-    sl.write_mapping_csv(mapping, folder)
-    return sl.read_mapping_csv(spark, folder, mapping.schema)
+    with scratch(spark, "mapping") as folder:
+        sl.write_mapping_csv(mapping, folder)
+        return kept(sl.read_mapping_csv(spark, folder, mapping.schema))
 
 
 @query
 def write_script_files(spark, sf_dir):
-    folder = work_folder(spark, "documents")
-    sl.write_scripts(inputs.documents(spark, sf_dir), folder, code_col="source")
-    return (
-        spark.read.schema("value string, script_id string")
-        .text(folder, wholetext=True)
-        .select("script_id", F.expr("substr(value, 1, length(value) - 1)").alias("code"))
-    )
+    with scratch(spark, "documents") as folder:
+        sl.write_scripts(inputs.documents(spark, sf_dir), folder, code_col="source")
+        return kept(sl.read_written_scripts(spark, folder))
 
 
 # --- text ----------------------------------------------------------------------------
@@ -229,7 +239,14 @@ def line_depth(spark, sf_dir):
 
 @query
 def with_progress(spark, sf_dir):
-    chunks = sl.split_lines(inputs.documents(spark, sf_dir), 5)
+    chunks = sl.split_lines(inputs.documents(spark, sf_dir), 5, total_as="n_chunks")
+    return sl.with_progress(chunks, total_col="n_chunks").drop("code")
+
+
+@query
+def with_progress_anew(spark, sf_dir):
+    """Chunks that were filtered, so their numbers have gaps."""
+    chunks = sl.split_lines(inputs.documents(spark, sf_dir), 5).filter("chunk_no % 3 <> 1")
     return sl.with_progress(chunks).drop("code")
 
 
@@ -319,6 +336,14 @@ def dedup_chunks(spark, sf_dir):
     return sl.dedup_chunks(sl.split_lines(inputs.documents(spark, sf_dir), 1))
 
 
+@query
+def dedup_null_code(spark, sf_dir):
+    """Every fifth document's lines have no code; they are nobody's copies."""
+    lines = sl.split_lines(inputs.documents(spark, sf_dir), 1)
+    code = F.when(F.col("script_id").cast("long") % 5 != 0, F.col("code"))
+    return sl.dedup_chunks(lines.withColumn("code", code))
+
+
 @query
 def label_copies(spark, sf_dir):
     lines = sl.split_lines(inputs.documents(spark, sf_dir), 1)
@@ -336,6 +361,16 @@ def final_scripts(spark, sf_dir):
     return whole.select("script_id", F.col("is_valid").cast("int").alias("is_valid"), "annotated")
 
 
+@query
+def final_scripts_missing(spark, sf_dir):
+    """Every ninth conversion is not there."""
+    code = F.when(F.col("chunk_no") % 9 != 0, F.col("code")).alias("code")
+    whole = flows.final_scripts(
+        inputs.code(spark, sf_dir).select("script_id", "chunk_no", code), code_col="code"
+    )
+    return whole.select("script_id", F.col("is_valid").cast("int").alias("is_valid"), "n_missing")
+
+
 @query
 def only_new(spark, sf_dir):
     docs = inputs.table(spark, sf_dir, "documents")
@@ -362,10 +397,26 @@ def extend_seen(spark, sf_dir):
 def stream_chunks(spark, sf_dir):
     table = inputs.table(spark, sf_dir, "documents")
     landed = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/documents.parquet*")
-    out, state = work_folder(spark, "chunks"), work_folder(spark, "state")
-    chunks = sl.stream_chunks(scripts_from(landed, "doc_id", "text"))
-    sl.run_available(chunks, out, state).awaitTermination()
-    return spark.read.schema(chunks.schema).parquet(out).drop("script_id")
+    with scratch(spark, "stream") as folder:
+        chunks = sl.stream_chunks(scripts_from(landed, "doc_id", "text"))
+        sl.run_available(chunks, f"{folder}/out", f"{folder}/state").awaitTermination()
+        return kept(spark.read.schema(chunks.schema).parquet(f"{folder}/out").drop("script_id"))
+
+
+@query
+def stream_script_files(spark, sf_dir):
+    """Script files in a growing folder; half land before the first run, all before the second,
+    and some land twice."""
+    scripts = inputs.scripts(spark, sf_dir)
+    number = F.col("script_id").cast("long")
+    with scratch(spark, "landing") as folder:
+        landing = f"{folder}/in"
+        for half in (scripts.filter(number % 2 == 0), scripts.filter((number % 2 == 1) | (number % 10 == 0))):
+            _landed(half, landing)
+            chunks = sl.stream_chunks(sl.stream_scripts(spark, landing))
+            sl.run_available(chunks, f"{folder}/out", f"{folder}/state").awaitTermination()
+        out = spark.read.schema(chunks.schema).parquet(f"{folder}/out")
+        return kept(out.drop("script_id"))
 
 
 @query
@@ -424,10 +475,10 @@ def lookup_one(spark, sf_dir):
 
 @query
 def lookup_many(spark, sf_dir):
-    """Order of each customer: none, one or too many."""
+    """Order of each customer: none or too many."""
     return sl.lookup(
         inputs.table(spark, sf_dir, "customer").select("c_custkey", "c_name"),
-        inputs.table(spark, sf_dir, "orders").filter("o_totalprice > 150000"),
+        inputs.table(spark, sf_dir, "orders"),
         "c_custkey",
         "o_orderkey",
         ref_key="o_custkey",
@@ -435,6 +486,19 @@ def lookup_many(spark, sf_dir):
     )
 
 
+@query
+def lookup_key(spark, sf_dir):
+    """Order whose key is twice the customer's: at most one."""
+    return sl.lookup(
+        inputs.table(spark, sf_dir, "customer").selectExpr("c_custkey", "c_custkey * 2 AS wanted"),
+        inputs.table(spark, sf_dir, "orders"),
+        "wanted",
+        "o_totalprice",
+        ref_key="o_orderkey",
+        row_id="c_custkey",
+    )
+
+
 # --- linted verbs --------------------------------------------------------------------
 
 

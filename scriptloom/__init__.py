@@ -45,7 +45,12 @@ from scriptloom.operators.text import (
     strip_comments,
 )
 from scriptloom.sources.scripts import read_scripts, scripts_from
-from scriptloom.sources.sinks import read_mapping_csv, write_mapping_csv, write_scripts
+from scriptloom.sources.sinks import (
+    read_mapping_csv,
+    read_written_scripts,
+    write_mapping_csv,
+    write_scripts,
+)
 from scriptloom.streaming.ingest import new_scripts, run_available, stream_chunks, stream_scripts
 
 __all__ = [
@@ -69,6 +74,7 @@ __all__ = [
     "normalize_newlines",
     "only_new",
     "read_mapping_csv",
+    "read_written_scripts",
     "read_scripts",
     "rechunk_by_size",
     "rule_summary",

@@ -24,7 +24,6 @@ CHUNK_ID_FORMAT = "blk_%03d"
 SESSION_MARKERS = ["spark.read", "SparkSession"]
 DATAFRAME_MARKERS = [".select", ".withColumn", ".filter", ".groupBy"]
 LEGACY_MARKERS = ["SQLContext", ".rdd"]
-IMPORT_WORDS = [("import", "spark"), ("from", "pyspark")]
 
 # Texts of the static checks.
 MSG_NO_SESSION = "# ⚠️ No SparkSession usage detected. Did you forget to initialize Spark?"
@@ -53,6 +52,9 @@ WS_IN_LINE = (
     r"\t\x0b-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
 
+# Fixed value: what an import looks like; the class is WS.
+IMPORT_PATTERN = rf"import[{WS}]+spark|from[{WS}]+pyspark"
+
 # Line boundaries of the structured path.
 LINE_BOUNDARY = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 RARE_LINE_BOUNDARIES = ["\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]

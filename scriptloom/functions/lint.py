@@ -31,8 +31,7 @@ def paren_mismatch(code: str) -> str:
 
 
 def no_import(code: str) -> str:
-    pattern = "|".join(f"{a}[{fixed.WS}]+{b}" for a, b in fixed.IMPORT_WORDS)
-    return f"(NOT rlike({code}, {literal(pattern)}))"
+    return f"(NOT rlike({code}, {literal(fixed.IMPORT_PATTERN)}))"
 
 
 # rule name -> (check, fails the verdict, comment)

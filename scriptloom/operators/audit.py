@@ -16,24 +16,29 @@ RUN = 1000
 
 def map_chunks(
     orig: DataFrame, conv: DataFrame, *, keys: Sequence[str] = CHUNK_KEYS,
-    original_col: str = "code", converted_col: str = "converted",
+    original_col: str = "code", converted_col: str = "converted", checked: bool = True,
 ) -> DataFrame:
     """Each original chunk beside its converted text with verdict and annotation.
 
-    `conv` holds one row per key. The key includes the chunk number, so the chunks of one
-    large script spread over all tasks. Chunks without a conversion stay, with NULLs.
+    The key includes the chunk number, so the chunks of one large script spread over all
+    tasks. Chunks without a conversion stay, with NULLs. Two conversions of one chunk raise;
+    `checked=False` leaves that to the caller and saves the grouping. Conversions are checked
+    before the join, so a column that nobody asks for is not shuffled.
     """
-    return (
-        orig.withColumnRenamed(original_col, "original")
-        .join(conv.select(*keys, F.col(converted_col).alias("converted")), list(keys), "left")
-        .withColumns(
-            {
-                "is_valid": F.expr(lint.is_valid("converted")),
-                "comments": F.expr(lint.comments("converted")),
-                "annotated": F.expr(lint.annotated("converted")),
-            }
+    said = conv.select(*keys, F.col(converted_col).alias("converted"))
+    if checked:
+        one = F.when(F.count("*") == 1, F.first("converted")).otherwise(
+            F.raise_error(F.lit("more than one conversion of a chunk"))
         )
+        said = said.groupBy(*keys).agg(one.alias("converted"))
+    said = said.withColumns(
+        {
+            "is_valid": F.expr(lint.is_valid("converted")),
+            "comments": F.expr(lint.comments("converted")),
+            "annotated": F.expr(lint.annotated("converted")),
+        }
     )
+    return orig.withColumnRenamed(original_col, "original").join(said, list(keys), "left")
 
 
 def audit_table(df: DataFrame) -> DataFrame:
@@ -78,27 +83,37 @@ def _hashed(df: DataFrame, code_col: str) -> DataFrame:
     return df.withColumn("content_hash", F.sha2(F.col(code_col), 256))
 
 
-def dedup_chunks(
-    df: DataFrame, *, code_col: str = "code", order: Sequence[str] = CHUNK_KEYS
-) -> DataFrame:
-    """First row of each content, with the number of copies.
+def first_of_each(df: DataFrame, hash_col: str, order: Sequence[str], count_as: str) -> DataFrame:
+    """Of the rows with one hash the first, and how many there are; rows without a hash are no
+    copies of each other and all stay, with a count of 1.
 
     One aggregation keyed on the hash: each map task sends at most one row per content,
     so a content that fills a third of the table still reaches its reducer as a few rows.
     """
     first = F.min_by(F.struct(*df.columns), F.struct(*order))
-    return (
-        _hashed(df, code_col)
-        .groupBy("content_hash")
-        .agg(first.alias("_first"), F.count("*").alias("n_copies"))
-        .select("_first.*", "content_hash", "n_copies")
+    copies = (
+        df.filter(F.col(hash_col).isNotNull())
+        .groupBy(hash_col)
+        .agg(first.alias("_first"), F.count("*").alias(count_as))
+        .select("_first.*", count_as)
     )
+    alone = df.filter(F.col(hash_col).isNull())
+    return copies.unionByName(alone.withColumn(count_as, F.lit(1).cast("long")))
+
+
+def dedup_chunks(
+    df: DataFrame, *, code_col: str = "code", order: Sequence[str] = CHUNK_KEYS
+) -> DataFrame:
+    """First row of each content, with the number of copies. A NULL code is no content: such
+    rows all stay."""
+    return first_of_each(_hashed(df, code_col), "content_hash", order, "n_copies")
 
 
 def label_copies(
     df: DataFrame, *, code_col: str = "code", order: Sequence[str] = CHUNK_KEYS
 ) -> DataFrame:
-    """Every row that repeats the content of an earlier row, with the place of the first.
+    """Every row that repeats the content of an earlier row, with the place of the first. A
+    NULL code repeats nothing.
 
     First row and count are worked out per (hash, salt), merged per hash from at most
     SALTS partial rows, and joined back by (hash, salt), so the copies of one content are
@@ -133,20 +148,33 @@ def label_copies(
 
 def assemble(
     df: DataFrame, *, keys: Sequence[str] = ("script_id",), order: str = "chunk_no",
-    code_col: str = "code", sep: str = "\n",
+    code_col: str = "code", sep: str = "\n", missing_as: str | None = None,
 ) -> DataFrame:
-    """Chunks of a script joined in order.
+    """Chunks of a script joined in order. With `missing_as`, also the number of chunks whose
+    code is NULL, which the joined text lacks; without it such a chunk raises.
 
     Runs of RUN chunk numbers are sorted and joined first, each in its own group, so only
     ready-made runs meet in the last group, whose result is the script's own text cell.
     """
     keys = list(keys)
-
-    def joined(frame: DataFrame, by: list[str], place: str, text: str) -> DataFrame:
-        ordered = F.array_sort(F.collect_list(F.struct(place, text)))
-        return frame.groupBy(*by).agg(ordered.alias("_parts")).select(
-            *by, F.array_join(F.transform("_parts", lambda p: p[text]), sep).alias(code_col)
+    code = F.col(code_col)
+    if not missing_as:
+        code = F.coalesce(code, F.raise_error(F.lit("a chunk to assemble has no code")))
+
+    def joined(frame: DataFrame, by: list[str], place: str) -> DataFrame:
+        ordered = F.array_sort(F.collect_list(F.struct(place, "_text")))
+        return frame.groupBy(*by).agg(
+            F.array_join(F.transform(ordered, lambda p: p["_text"]), sep).alias("_text"),
+            F.sum("_missing").alias("_missing"),
         )
 
-    runs = df.select(*keys, F.floor(F.col(order) / RUN).alias("_run"), order, code_col)
-    return joined(joined(runs, [*keys, "_run"], order, code_col), keys, "_run", code_col)
+    runs = df.select(
+        *keys,
+        F.floor(F.col(order) / RUN).alias("_run"),
+        order,
+        code.alias("_text"),
+        F.col(code_col).isNull().cast("long").alias("_missing"),
+    )
+    whole = joined(joined(runs, [*keys, "_run"], order), keys, "_run")
+    missing = [F.col("_missing").alias(missing_as)] if missing_as else []
+    return whole.select(*keys, F.col("_text").alias(code_col), *missing)

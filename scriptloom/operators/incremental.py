@@ -3,29 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from scriptloom.operators.audit import dedup_chunks
-from scriptloom.operators.keyed import join_unique
+from scriptloom.operators.audit import first_of_each
 
 
 def only_new(
     scripts: DataFrame, seen: DataFrame, *, within_batch: str = "all", id_col: str = "script_id"
 ) -> DataFrame:
-    """Scripts whose text is not in `seen`.
+    """Scripts whose text is not in `seen`. A script without text is never a copy.
 
-    `within_batch="first"` also keeps a single script per new text.
+    `within_batch="first"` also keeps a single script per new text. `seen` may repeat a hash,
+    but `extend_seen` keeps it distinct. It is joined as it is, not grouped: so Spark itself
+    can split the partition of a hash that many scripts have, and reads the texts once.
     """
     if within_batch not in ("all", "first"):
         raise ValueError("within_batch is 'all' or 'first'")
-    known = seen.select("content_hash").distinct()
-    if within_batch == "all":
-        return join_unique(scripts, known, ["content_hash"], "left_anti", [id_col])
     columns = scripts.columns
-    firsts = dedup_chunks(
-        scripts.drop("content_hash"), code_col="source", order=[id_col]
-    ).select(*columns)
-    return firsts.join(known, "content_hash", "left_anti").select(*columns)
+    if within_batch == "first":
+        scripts = first_of_each(scripts, "content_hash", [id_col], "_copies")
+    return scripts.join(seen.select("content_hash"), "content_hash", "left_anti").select(*columns)
 
 
 def extend_seen(seen: DataFrame, scripts: DataFrame) -> DataFrame:

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # A key is hot when it holds more than one row in HOT_SHARE; so at most HOT_SHARE keys are.
 HOT_SHARE = 1000
 SALTS = 64
-SPAN_BITS = 12
+SPAN_ROWS = 4096
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -20,9 +20,9 @@ def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     HOT_SHARE of them whatever the data, which is the size bound for broadcasting them.
     The count is combined on the map side, so the hot key itself costs nothing here.
 
-    NULL keys are left out first, as every join would do; so all uses of the frame have
-    the same plan and Spark runs it once."""
-    keyed = df.select(*keys).dropna()
+    NULL keys are left out, as every join would do. The filter is the one that a join adds by
+    itself, so counts and total have one plan and share one exchange."""
+    keyed = df.select(*keys).filter(reduce(and_, [F.col(key).isNotNull() for key in keys]))
     counts = keyed.groupBy(*keys).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n").alias("_total")).scalar()
     return counts.filter(F.col("_n") * HOT_SHARE > total).select(*keys)
@@ -64,14 +64,28 @@ def numbered(
     df: DataFrame, keys: Sequence[str], order: str, number_as: str, total_as: str | None = None
 ) -> DataFrame:
     """1-based dense number of each row within its key, in the order of the integer column
-    `order`, which is unique within the key; with `total_as` the rows per key too.
+    `order`, which is unique within the key; with `total_as` the rows per key too. A NULL
+    key or number raises, as such a row has no place.
 
     A window over the key alone puts a hot key into one task. Here the window runs over
-    (key, span of 2^SPAN_BITS order values); a second, small window over one row per span gives
-    each span its offset, and that joins back on the partitioning the rows already have.
+    (key, span of order values); a second, small window over one row per span gives each span
+    its offset. A key's spans are as wide as SPAN_ROWS rows on average, worked out from the
+    key's least and greatest number and its rows, however far the numbers lie apart.
     """
     keys = list(keys)
-    spanned = df.withColumn("_span", F.shiftright(F.col(order), SPAN_BITS))
+    types = dict(df.dtypes)
+
+    def present(c: str) -> Column:
+        """The column, which raises where it is NULL; a filter that a join adds meets it too."""
+        error = F.raise_error(F.lit(f"{c} is NULL: the row has no place")).cast(types[c])
+        return F.coalesce(F.col(c), error)
+
+    df = df.withColumns({c: present(c) for c in [*keys, order]})
+    width = F.greatest((F.max(order) - F.min(order) + 1) * SPAN_ROWS / F.count("*"), F.lit(1.0))
+    ranges = df.groupBy(*keys).agg(F.min(order).alias("_least"), width.alias("_width"))
+    spanned = join_unique(df, ranges, keys, "left", [order]).withColumn(
+        "_span", F.floor((F.col(order) - F.col("_least")) / F.col("_width"))
+    )
     spans = spanned.groupBy(*keys, "_span").agg(F.count("*").alias("_rows"))
     within = Window.partitionBy(*keys).orderBy("_span")
     offsets = spans.select(
@@ -80,9 +94,9 @@ def numbered(
         (F.sum("_rows").over(within) - F.col("_rows")).alias("_before"),
         F.sum("_rows").over(Window.partitionBy(*keys)).alias("_total"),
     )
-    place = F.row_number().over(Window.partitionBy(*keys, "_span").orderBy(order))
-    joined = spanned.withColumn("_place", place).join(offsets, [*keys, "_span"])
+    nth = F.row_number().over(Window.partitionBy(*keys, "_span").orderBy(order))
+    joined = spanned.withColumn("_place", nth).join(offsets, [*keys, "_span"])
     out = joined.withColumn(number_as, F.col("_before") + F.col("_place"))
     if total_as:
         out = out.withColumn(total_as, F.col("_total"))
-    return out.drop("_span", "_place", "_before", "_total")
+    return out.drop("_least", "_width", "_span", "_place", "_before", "_total")

@@ -53,8 +53,18 @@ def line_depth(
 
 
 def with_progress(
-    df: DataFrame, *, keys: Sequence[str] = KEYS, order: str = "chunk_no"
+    df: DataFrame, *, keys: Sequence[str] = KEYS, order: str = "chunk_no",
+    total_col: str | None = None,
 ) -> DataFrame:
-    """Position, chunks in the script, and their ratio."""
-    placed = numbered(df, keys, order, "position", "n_chunks")
+    """Position, chunks in the script, and their ratio.
+
+    With `total_col`, which splitters fill under the name given as their `total_as`, `order`
+    runs 1, 2, 3 .. per script and nothing is shuffled. Else chunks are numbered anew.
+    """
+    if total_col:
+        placed = df.withColumns(
+            {"position": F.col(order).cast("bigint"), "n_chunks": F.col(total_col).cast("bigint")}
+        )
+    else:
+        placed = numbered(df, keys, order, "position", "n_chunks")
     return placed.withColumn("fraction", F.col("position") / F.col("n_chunks"))

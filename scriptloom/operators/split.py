@@ -1,7 +1,8 @@
 """Splitting scripts into chunk rows.
 
 Input: a frame with key columns and a text column. Output: the keys, a dense 1-based
-number per input row in text order, `code`, and what the splitter adds. The text column
+number per input row in text order, `code`, and what the splitter adds; with `total_as` also
+the number of chunks of the row. The text column
 itself is dropped, so a script is not copied next to each of its chunks. Every operator
 is a narrow projection; the unit of work is one script cell.
 """
@@ -23,27 +24,35 @@ KEYS = ("script_id",)
 
 
 def _rows(
-    df: DataFrame, chunks: str, keys: Sequence[str], number_as: str, item_as: str = "code"
+    df: DataFrame, chunks: str, keys: Sequence[str], number_as: str, item_as: str = "code",
+    total_as: str | None = None,
 ) -> DataFrame:
-    return df.select(*keys, F.posexplode(F.expr(chunks)).alias("_pos", item_as)).select(
-        *keys, (F.col("_pos") + 1).alias(number_as), item_as
+    """A row per chunk; with `total_as` each also has the number of its script's chunks."""
+    if not total_as:
+        return df.select(*keys, F.posexplode(F.expr(chunks)).alias("_pos", item_as)).select(
+            *keys, (F.col("_pos") + 1).alias(number_as), item_as
+        )
+    return (
+        df.select(*keys, F.expr(chunks).alias("_chunks"))
+        .select(*keys, F.size("_chunks").alias(total_as), F.posexplode("_chunks").alias("_pos", item_as))
+        .select(*keys, (F.col("_pos") + 1).alias(number_as), total_as, item_as)
     )
 
 
 def split_delimiter(
     df: DataFrame, delimiter: str = fixed.BLOCK_DELIMITER, *, text_col: str = "source",
-    keys: Sequence[str] = KEYS, number_as: str = "chunk_no",
+    keys: Sequence[str] = KEYS, number_as: str = "chunk_no", total_as: str | None = None,
 ) -> DataFrame:
     """A line that holds only the delimiter closes a block and is dropped."""
-    return _rows(df, sp.by_delimiter(name(text_col), delimiter), keys, number_as)
+    return _rows(df, sp.by_delimiter(name(text_col), delimiter), keys, number_as, total_as=total_as)
 
 
 def split_lines(
     df: DataFrame, n: int = fixed.LINES_PER_CHUNK, *, text_col: str = "source",
-    keys: Sequence[str] = KEYS, number_as: str = "chunk_no",
+    keys: Sequence[str] = KEYS, number_as: str = "chunk_no", total_as: str | None = None,
 ) -> DataFrame:
     """Chunks of `n` lines; an empty text gives one empty chunk."""
-    return _rows(df, sp.by_lines(name(text_col), n), keys, number_as)
+    return _rows(df, sp.by_lines(name(text_col), n), keys, number_as, total_as=total_as)
 
 
 def split_pattern(
@@ -63,34 +72,34 @@ def split_pattern(
 
 def split_statements(
     df: DataFrame, *, text_col: str = "source", keys: Sequence[str] = KEYS,
-    number_as: str = "chunk_no",
+    number_as: str = "chunk_no", total_as: str | None = None,
 ) -> DataFrame:
     """Statements that end with a semicolon; a text headed by a block word stays whole."""
-    return _rows(df, sp.by_statement(name(text_col)), keys, number_as)
+    return _rows(df, sp.by_statement(name(text_col)), keys, number_as, total_as=total_as)
 
 
 def split_before_begin(
     df: DataFrame, max_chars: int = fixed.MAX_CHUNK_CHARS, *, text_col: str = "source",
-    keys: Sequence[str] = KEYS, number_as: str = "chunk_no",
+    keys: Sequence[str] = KEYS, number_as: str = "chunk_no", total_as: str | None = None,
 ) -> DataFrame:
     """Cut texts over `max_chars` in front of each BEGIN."""
-    return _rows(df, sp.before_begin(name(text_col), max_chars), keys, number_as)
+    return _rows(df, sp.before_begin(name(text_col), max_chars), keys, number_as, total_as=total_as)
 
 
 def rechunk_by_size(
     df: DataFrame, max_chars: int = fixed.MAX_CHUNK_CHARS, *, text_col: str = "source",
-    keys: Sequence[str] = KEYS, number_as: str = "chunk_no",
+    keys: Sequence[str] = KEYS, number_as: str = "chunk_no", total_as: str | None = None,
 ) -> DataFrame:
     """Cut texts over `max_chars` at semicolons into runs that just exceed `max_chars`."""
-    return _rows(df, sp.by_size(name(text_col), max_chars), keys, number_as)
+    return _rows(df, sp.by_size(name(text_col), max_chars), keys, number_as, total_as=total_as)
 
 
 def split_top_level(
     df: DataFrame, *, text_col: str = "source", keys: Sequence[str] = KEYS,
-    number_as: str = "chunk_no",
+    number_as: str = "chunk_no", total_as: str | None = None,
 ) -> DataFrame:
     """Blocks closed by a lone slash outside BEGIN .. END; the slash stays in its block."""
-    return _rows(df, sp.by_top_level(name(text_col)), keys, number_as)
+    return _rows(df, sp.by_top_level(name(text_col)), keys, number_as, total_as=total_as)
 
 
 def split_safe(
@@ -107,10 +116,10 @@ def split_safe(
 def batch_small(
     df: DataFrame, small: int = fixed.SMALL_FRAGMENT_CHARS, cap: int = fixed.BATCH_FLUSH_CHARS,
     *, fragments_col: str = "fragments", keys: Sequence[str] = KEYS,
-    number_as: str = "chunk_no",
+    number_as: str = "chunk_no", total_as: str | None = None,
 ) -> DataFrame:
     """Join neighbouring small fragments of an ordered array column."""
-    return _rows(df, sp.batched(name(fragments_col), small, cap), keys, number_as)
+    return _rows(df, sp.batched(name(fragments_col), small, cap), keys, number_as, total_as=total_as)
 
 
 def chunk_scripts(

@@ -15,15 +15,28 @@ def count_where(df: DataFrame, cond: Column, count_as: str = "n") -> DataFrame:
     return df.filter(cond).agg(F.count("*").alias(count_as))
 
 
+def resolve(df: DataFrame, name: str) -> str:
+    """The column of `df` that Spark means by `name`; raises if there is none or several."""
+    exact = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+    found = [c for c in df.columns if c == name or not exact and c.lower() == name.lower()]
+    if len(found) != 1:
+        raise ValueError(f"column {name!r} is {'not' if not found else 'more than once'} in {df.columns}")
+    return found[0]
+
+
 def update_where(df: DataFrame, cond: Column, set_: Mapping[str, Column]) -> DataFrame:
     """Set columns where `cond` is true; NULL counts as no match. All new values are
-    worked out from the old row, and a column keeps its type."""
+    worked out from the old row, and a column keeps its type. Names are found as Spark
+    finds them; a name that is no column raises."""
     types = dict(df.dtypes)
+    new = {resolve(df, c): value for c, value in set_.items()}
+    if len(new) < len(set_):
+        raise ValueError(f"a column is set twice in {list(set_)}")
     return df.select(
         *[
-            F.when(cond, set_[c].cast(types[c])).otherwise(F.col(c)).alias(c)
-            if c in set_
-            else F.col(c)
+            F.when(cond, new[c].cast(types[c])).otherwise(F.col(f"`{c}`")).alias(c)
+            if c in new
+            else F.col(f"`{c}`")
             for c in df.columns
         ]
     )

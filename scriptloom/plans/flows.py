@@ -31,9 +31,11 @@ def audit_report(scripts: DataFrame, conv: DataFrame, **cascade_options) -> Data
 
 
 def final_scripts(converted_chunks: DataFrame, *, code_col: str = "converted") -> DataFrame:
-    """One checked and annotated script per script id, from its converted chunks."""
-    whole = assemble(converted_chunks, code_col=code_col).withColumnRenamed(code_col, "code")
-    return annotate(with_verdict(whole), out_col="annotated")
+    """One checked and annotated script per script id, from its converted chunks. A script
+    that lacks a chunk has `n_missing` above 0 and is not valid."""
+    whole = assemble(converted_chunks, code_col=code_col, missing_as="n_missing")
+    checked = annotate(with_verdict(whole.withColumnRenamed(code_col, "code")), out_col="annotated")
+    return checked.withColumn("is_valid", F.col("is_valid") & (F.col("n_missing") == 0))
 
 
 def structured_new(

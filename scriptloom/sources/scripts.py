@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FILE_GLOB = "*.{sql,txt}"
+FILE_GLOB = "*.{[sS][qQ][lL],[tT][xX][tT]}"
 
 
 def content_hash(text: Column) -> Column:
@@ -15,32 +18,45 @@ def content_hash(text: Column) -> Column:
 def _decoded(text: Column, on_invalid: str) -> Column:
     if on_invalid == "raise":
         return F.validate_utf8(text)
-    if on_invalid == "repair":
+    if on_invalid in ("repair", "flag"):
         return F.make_valid_utf8(text)
-    raise ValueError("on_invalid is 'raise' or 'repair'")
+    raise ValueError("on_invalid is 'raise', 'repair' or 'flag'")
 
 
 def from_files(files: DataFrame, on_invalid: str) -> DataFrame:
-    """Script rows of a whole-text file frame, batch or streaming. The id is the path."""
-    text = _decoded(F.col("value"), on_invalid)
-    path = F.col("_metadata.file_path")
-    return files.select(path.alias("script_id"), path.alias("path"), text.alias("source")).select(
-        "*", content_hash(F.col("source")).alias("content_hash")
-    )
+    """Script rows of a binary file frame, batch or streaming. The id is the path. With
+    `on_invalid="flag"` a column `is_utf8` names the files that had to be repaired."""
+    raw = F.col("content").cast("string")
+    flag = [F.is_valid_utf8(raw).alias("is_utf8")] if on_invalid == "flag" else []
+    return files.select(
+        F.col("path").alias("script_id"),
+        F.col("path"),
+        _decoded(raw, on_invalid).alias("source"),
+        *flag,
+    ).select("*", content_hash(F.col("source")).alias("content_hash"))
 
 
 def read_scripts(spark: SparkSession, path: str, *, on_invalid: str = "raise") -> DataFrame:
-    """One row per `.sql` or `.txt` file below `path`, read whole as UTF-8.
+    """One row per `.sql` or `.txt` file below `path`, suffix in any case, read whole as UTF-8;
+    an empty file is an empty script. (A stream of script files does not see empty ones.)
 
     Spark packs small files into tasks by size; a file is never split, as a script is one
-    cell. Bytes that are not UTF-8 raise, or are repaired with `on_invalid="repair"`.
+    cell. Bytes that are not UTF-8 raise, or are repaired with `on_invalid="repair"`, or
+    repaired and flagged with `on_invalid="flag"`.
     """
     files = (
-        spark.read.option("pathGlobFilter", FILE_GLOB)
+        spark.read.format("binaryFile")
+        .option("pathGlobFilter", FILE_GLOB)
         .option("recursiveFileLookup", "true")
-        .text(path, wholetext=True)
+        .load(path)
     )
-    return from_files(files, on_invalid)
+    scripts = from_files(files, on_invalid)
+    # Spark lists empty files but does not read them; the listing is the driver's already
+    named = [(re.sub("^([^/:]+):///", r"\1:/", unquote(p)),) for p in files.inputFiles()]
+    empty = spark.createDataFrame(named, "path string").join(files.select("path"), "path", "left_anti")
+    none = {"script_id": F.col("path"), "source": F.lit(""), "is_utf8": F.lit(True)}
+    none["content_hash"] = content_hash(none["source"])
+    return scripts.unionByName(empty.withColumns(none).select(*scripts.columns))
 
 
 def scripts_from(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -13,19 +13,31 @@ from scriptloom.sources.scripts import FILE_GLOB, from_files
 SALTS = 64
 
 
-def new_scripts(scripts: DataFrame, *, id_col: str = "script_id") -> DataFrame:
+def new_scripts(
+    scripts: DataFrame, *, id_col: str = "script_id", time_col: str | None = None,
+    within: str | None = None,
+) -> DataFrame:
     """One script per text over the life of the stream.
 
     The state holds hashes. A text that arrives a million times would send all its
     copies to one state partition; so copies are first dropped per (hash, salt), which
     spreads them, and then per hash, where each text arrives at most SALTS times.
+
+    With `time_col` and `within` (such as "30 days") a text is remembered for that long by the
+    event time, so the state is bounded; a copy that arrives later counts as new.
     """
-    salt = F.pmod(F.xxhash64(id_col), F.lit(SALTS))
+    salted = scripts.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)))
+    if not within:
+        return (
+            salted.dropDuplicates(["content_hash", "_salt"])
+            .drop("_salt")
+            .dropDuplicates(["content_hash"])
+        )
     return (
-        scripts.withColumn("_salt", salt)
-        .dropDuplicates(["content_hash", "_salt"])
+        salted.withWatermark(time_col, within)
+        .dropDuplicatesWithinWatermark(["content_hash", "_salt"])
         .drop("_salt")
-        .dropDuplicates(["content_hash"])
+        .dropDuplicatesWithinWatermark(["content_hash"])
     )
 
 
@@ -34,12 +46,15 @@ def stream_scripts(
     files_per_trigger: int | None = None,
 ) -> DataFrame:
     """Scripts as they land in a directory."""
-    reader = spark.readStream.option("pathGlobFilter", FILE_GLOB).option(
-        "recursiveFileLookup", "true"
+    reader = (
+        spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length long, content binary")
+        .option("pathGlobFilter", FILE_GLOB)
+        .option("recursiveFileLookup", "true")
     )
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return from_files(reader.text(path, wholetext=True), on_invalid)
+    return from_files(reader.load(path), on_invalid)
 
 
 def stream_chunks(scripts: DataFrame, max_lines: int = fixed.MAX_LINES_PER_CHUNK) -> DataFrame:

@@ -1,9 +1,10 @@
 import pytest
 
 import scriptloom as sl
-from scriptloom.session import work_folder
+from scriptloom.session import scratch, work_folder
+from scriptloom.streaming.ingest import new_scripts
 
-ODD = [" a \n", "q\"q", "back\\slash\\", "", None, "\\N x", "l1\r\nl2\n\n", "é,;'", '"', "\ttab\t"]
+ODD = [" a \n", "q\"q", "back\\slash\\", "", None, "\\N x", "\\N", "\\\\N", "\\\\\\N", "l1\r\nl2\n\n", "é,;'", '"', "\ttab\t"]
 
 
 def test_csv_round_trip(spark, tmp_path):
@@ -22,22 +23,28 @@ def test_csv_takes_arrays_and_spaced_names(spark, tmp_path):
 
 
 def test_script_files(spark, tmp_path):
-    rows = [("a", "x\n\ny"), ("b/c=d %", "z"), ("007", "")]
+    rows = [("a", "x\n\ny"), ("b/c=d %", "z"), ("007", ""), ("n", None)]
     df = spark.createDataFrame(rows, "script_id string, code string")
+    sl.write_scripts(df, str(tmp_path / "few"), folders=2)
+    assert len([f for f in (tmp_path / "few").iterdir() if f.is_dir()]) <= 2
+    back = sl.read_written_scripts(spark, str(tmp_path / "few"))
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
     out = str(tmp_path / "out")
-    sl.write_scripts(df, out)
+    sl.write_scripts(df.filter("code IS NOT NULL"), out, folder_per_script=True)
     back = sl.read_scripts(spark, out).collect()
-    assert sorted(r.source for r in back) == sorted(text + "\n" for _, text in rows)
+    assert sorted(r.source for r in back) == sorted(text + "\n" for _, text in rows[:3])
     assert all(r.path == r.script_id and len(r.content_hash) == 64 for r in back)
 
 
 def test_read_only_script_files(spark, tmp_path):
     (tmp_path / "deep").mkdir()
-    (tmp_path / "a.sql").write_bytes("é;\r\n/\r\n".encode())
+    (tmp_path / "a.SQL").write_bytes("é;\r\n/\r\n".encode())
     (tmp_path / "deep" / "b.txt").write_bytes(b"")
     (tmp_path / "c.py").write_bytes(b"no")
+    (tmp_path / "d é%20 +.Sql").write_bytes(b"odd name")
+    (tmp_path / "e é%20 +.sql").write_bytes(b"")
     got = {r.path.rsplit("/", 1)[1]: r.source for r in sl.read_scripts(spark, str(tmp_path)).collect()}
-    assert got["a.sql"] == "é;\r\n/\r\n" and set(got) <= {"a.sql", "b.txt"}
+    assert got == {"a.SQL": "é;\r\n/\r\n", "b.txt": "", "d é%20 +.Sql": "odd name", "e é%20 +.sql": ""}
 
 
 def test_bytes_that_are_not_utf8(spark, tmp_path):
@@ -45,6 +52,30 @@ def test_bytes_that_are_not_utf8(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)utf"):
         sl.read_scripts(spark, str(tmp_path)).collect()
     assert sl.read_scripts(spark, str(tmp_path), on_invalid="repair").first().source == "a�b"
+    (tmp_path / "b.sql").write_bytes(b"fine")
+    flags = sl.read_scripts(spark, str(tmp_path), on_invalid="flag").collect()
+    assert {r.path[-5:]: r.is_utf8 for r in flags} == {"a.sql": False, "b.sql": True}
+
+
+def test_stream_forgets_after_the_time_given(spark, tmp_path):
+    land = tmp_path / "land"
+    land.mkdir()
+    schema = "script_id string, content_hash string, at timestamp"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(land))
+
+    def run(rows):
+        spark.createDataFrame(rows, "script_id string, content_hash string, at string").selectExpr(
+            "script_id", "content_hash", "CAST(at AS TIMESTAMP) AS at"
+        ).coalesce(1).write.mode("append").parquet(str(land))
+        sl.run_available(
+            new_scripts(stream, time_col="at", within="1 day"), str(tmp_path / "o"), str(tmp_path / "s")
+        ).awaitTermination()
+
+    run([("a", "h", "2024-01-01 00:00:00")])
+    run([("b", "h", "2024-01-01 05:00:00"), ("c", "k", "2024-02-01 00:00:00")])
+    run([("d", "h", "2024-02-01 01:00:00")])
+    got = spark.read.parquet(str(tmp_path / "o")).select("script_id").collect()
+    assert sorted(r.script_id for r in got) == ["a", "c", "d"]
 
 
 def test_stream_equals_batch_over_restarts(spark, tmp_path):
@@ -97,3 +128,11 @@ def test_work_folder_is_below_the_shared_one():
     assert work_folder(Session("local[2]"), "x")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         work_folder(Session("yarn"), "x")
+
+
+def test_scratch_leaves_nothing(spark, tmp_path):
+    with scratch(spark, "x") as folder:
+        spark.range(3).write.parquet(folder)
+        assert spark.read.parquet(folder).count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(folder)
