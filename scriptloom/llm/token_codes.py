@@ -7,8 +7,9 @@ its bit, so any token is read without decoding a block before it.
 
 One shard file, all numbers little-endian 64-bit:
   magic, tokens, documents, levels; document starts (documents + 1); end of each document's
-  identifier in the text that follows them; then for each level its entries, the chunks, the
-  bitmap words and the directory. Every part is padded to 8 bytes.
+  identifier in the text that follows them; then for each level its entries and bitmap words,
+  the chunks, the bitmap and the directory. The last level has no bitmap. Every part is
+  padded to 8 bytes.
 
 Documents are range-partitioned by identifier; each task writes shards of bounded size in
 order, under names that no other attempt uses, and returns their manifest rows. Readers go by
@@ -25,6 +26,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +40,8 @@ from scriptloom.llm.common import durable, new_folder, remove_folder
 MAGIC = 0x3143_4144_4E4B_5431
 BLOCK_WORDS = 8
 END_ID = 0
-CACHED = 1_500_000
+CACHED = 1_200_000
+READ_TOKENS = 100_000
 LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Pieces that begin and end where the tokenizer's own pre-tokens do: a word, a full stop or
 #: comma after one, a line end before one, and anything else up to a space before visible text.
@@ -56,10 +59,14 @@ class Encoder:
 
     def __init__(self, file: str | None):
         import public_tokenizers
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(file or public_tokenizers.path("byte_bpe_50k.json"))
+        file = file or public_tokenizers.path("byte_bpe_50k.json")
+        self.tokenizer = Tokenizer.from_file(file)
+        # a piece that is one pre-token needs no split
+        self.unsplit = Tokenizer.from_file(file)
+        self.unsplit.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[str, bytes] = {}
 
     @classmethod
@@ -74,11 +81,13 @@ class Encoder:
         if len(self.known) > CACHED:
             self.known.clear()
         new = list(set().union(*split).difference(self.known))
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            for piece, encoding in zip(some, found, strict=True):
-                self.known[piece] = np.array(encoding.ids, "<u4").tobytes()
+        word = [(p[1:] if p[0] == " " else p).isalpha() for p in new]
+        for tokenizer, kind in ((self.unsplit, True), (self.tokenizer, False)):
+            some = [p for p, w in zip(new, word, strict=True) if w == kind]
+            for piece, found in zip(
+                some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True
+            ):
+                self.known[piece] = array("I", found.ids).tobytes()
         ids = self.known.__getitem__
         return [np.frombuffer(b"".join(map(ids, pieces)), "<u4") for pieces in split]
 
@@ -92,12 +101,14 @@ def _levels(ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
     rest = ids.astype(np.uint32)
     while True:
         more = rest > 0xFF
+        chunks = (rest & 0xFF).astype(np.uint8)
+        if not more.any():
+            yield chunks, np.zeros(0, np.uint64), np.zeros(1, np.int64)
+            return
         bits = np.packbits(more, bitorder="little")
         words = np.frombuffer(_padded(bits.tobytes()), "<u8")
         ones = np.r_[0, np.cumsum(np.bitwise_count(words).astype(np.int64))]
-        yield (rest & 0xFF).astype(np.uint8), words, ones[: len(words) + 1 : BLOCK_WORDS]
-        if not more.any():
-            return
+        yield chunks, words, ones[: len(words) + 1 : BLOCK_WORDS]
         rest = rest[more] >> 8
 
 
@@ -115,7 +126,7 @@ def shard_bytes(names: list[str | None], documents: list[np.ndarray]) -> bytes:
     ]
     for chunks, words, directory in levels:
         parts += [
-            np.array([len(chunks)], "<i8").tobytes(),
+            np.array([len(chunks), len(words)], "<i8").tobytes(),
             _padded(chunks.tobytes()),
             words.tobytes(),
             directory.astype("<i8").tobytes(),
@@ -137,9 +148,9 @@ class Shard:
         self.names = self._take("u1", int(self.name_ends[-1]) if self.n_docs else 0)
         self.levels = []
         for _ in range(levels):
-            n = int(self._take("<i8", 1)[0])
+            n, n_words = self._take("<i8", 2).tolist()
             chunks = self._take("u1", n)
-            words = self._take("<u8", -(-n // 64))
+            words = self._take("<u8", n_words)
             self.levels.append((chunks, words, self._take("<i8", len(words) // BLOCK_WORDS + 1)))
 
     def _take(self, kind: str, n: int) -> np.ndarray:
@@ -159,6 +170,8 @@ class Shard:
         who, at = np.arange(len(places)), np.asarray(places, np.int64)
         for k, (chunks, words, directory) in enumerate(self.levels):
             ids[who] |= chunks[at].astype(np.uint32) << np.uint32(8 * k)
+            if not len(words):
+                break
             word, bit = at >> 6, (at & 63).astype(np.uint64)
             more = (words[word] >> bit) & np.uint64(1) == 1
             who, at, word, bit = who[more], at[more], word[more], bit[more]
@@ -177,6 +190,16 @@ class Shard:
     def document(self, doc: int) -> np.ndarray:
         return self.tokens(np.arange(self.starts[doc], self.starts[doc + 1]))
 
+    def documents(self) -> Iterator[np.ndarray]:
+        """All documents in order, about READ_TOKENS tokens at a time."""
+        doc = 0
+        while doc < self.n_docs:
+            begin = self.starts[doc]
+            stop = max(doc + 1, int(np.searchsorted(self.starts, begin + READ_TOKENS, "right")) - 1)
+            ids = self.tokens(np.arange(begin, self.starts[stop]))
+            yield from np.split(ids, self.starts[doc + 1 : stop] - begin)
+            doc = stop
+
 
 def open_shard(path: str) -> Shard:
     """A shard of the shared folder; mapped where that is a mounted folder."""
@@ -266,7 +289,7 @@ def read_token_codes(manifest: DataFrame, id_type: str = "long") -> DataFrame:
             for row in batch.to_pylist():
                 shard = open_shard(row["file"])
                 docs = range(shard.n_docs)
-                crcs = [zlib.crc32(shard.document(i).astype("<u4").tobytes()) for i in docs]
+                crcs = [zlib.crc32(ids.astype("<u4").tobytes()) for ids in shard.documents()]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([shard.name(i) for i in docs], pa.string()),
