@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,12 +44,30 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the length of a block."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+#: Rows that a task hands to Python at once; texts may be long.
+BATCH_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+
 def durable(df: DataFrame) -> DataFrame:
     """`df` computed once and kept in the shared folder, so that a lost executor costs
     nothing and later steps do not run the work again. Spark removes the files when the
     frame is gone, if spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    with settings(df.sparkSession, BATCH_ROWS):
+        return df.checkpoint()
 
 
 def id_text(id_col: str) -> Column:

@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 from scriptloom.llm.common import durable, new_folder, remainder, remove_folder, utf8
 
 START, END = np.uint64(1), np.uint64(2)
-CACHED = 1_000_000
-BLOCK_TOKENS = 4_000_000
-SCORE_TOKENS = 1_000_000
+CACHED = 500_000
+BLOCK_TOKENS = 2_000_000
+SCORE_TOKENS = 500_000
 
 
 class WordHashes(dict):
