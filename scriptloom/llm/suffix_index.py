@@ -39,8 +39,8 @@ from scriptloom.llm.kneser_ney import map_file, pack_arrays, shard_of, unpack_ar
 K = 64
 SEGMENT = 1 << 22
 PLACE = np.uint64((1 << 24) - 1)
-FLUSH_ANCHORS = 1_000_000
-COMPARE_CONTEXTS = 20_000
+FLUSH_ANCHORS = 400_000
+COMPARE_CONTEXTS = 4_000
 
 
 def rolling(raw: np.ndarray, width: int, base: int) -> np.ndarray:
@@ -80,6 +80,14 @@ def least_in_window(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
+def dealt(keys: np.ndarray) -> np.ndarray:
+    """Hashes of anchors, which are least hashes, spread evenly over all values."""
+    with np.errstate(over="ignore"):
+        keys = keys * np.uint64(0x9E3779B97F4A7C15)
+        keys = (keys ^ (keys >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        return keys ^ (keys >> np.uint64(29))
+
+
 def anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each run of strings with one anchor: first start, anchor's place, anchor's hash.
     A last entry holds the number of strings."""
@@ -94,7 +102,7 @@ def anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
         first = np.flatnonzero(np.diff(place, prepend=-1))
         starts.append(first + at)
         places.append(place[first] + at)
-        keys.append(key[place[first]])
+        keys.append(dealt(key[place[first]]))
     starts.append(np.array([max(total, 0)]))
     empty = np.zeros(0, np.int64)
     return (
@@ -519,4 +527,4 @@ def remove_repeats(
         columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
         return pa.StructArray.from_arrays(columns, [c.split()[0] for c in RESULT.split(", ")])
 
-    return spans.select("doc_id", kept("text", "ranges").alias("k")).select("doc_id", "k.*")
+    return durable(spans.select("doc_id", kept("text", "ranges").alias("k")).select("doc_id", "k.*"))
