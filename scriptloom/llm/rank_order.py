@@ -94,28 +94,26 @@ def learn(
     labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     lang_col: str = "lang", size: int = 400, docs_per_lang: int = 3000, max_langs: int = 1000,
 ) -> Profiles:
-    """Profiles from at most `docs_per_lang` documents of each language, those with the least
-    hash of their id, and of the `max_langs` languages with most documents. What reaches the
-    driver is at most max_langs * size codes."""
+    """Profiles from a share of each language's documents, picked by a hash of their id, that is
+    `docs_per_lang` documents on average, and of the `max_langs` languages with most documents.
+    What reaches the driver is at most max_langs * size codes."""
     rows = labelled.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
     ).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     spark = labelled.sparkSession
-    hashed = rows.select("lang", F.xxhash64("id").alias("hash"))
-    first = Window.partitionBy("lang").orderBy("hash")
-    limits = (
-        hashed.withColumn("nth", F.row_number().over(first))
-        .filter(F.col("nth") <= docs_per_lang)
-        .groupBy("lang")
-        .agg(F.max("hash").alias("limit"), F.count("*").alias("n"))
+    langs = (
+        rows.groupBy("lang")
+        .agg(F.count("*").alias("n"))
         .orderBy(F.desc("n"), "lang")
         .limit(max_langs)
         .collect()
     )
-    if not limits:
+    if not langs:
         return Profiles({}, size)
-    limits = spark.createDataFrame([(r.lang, r.limit) for r in limits], "lang string, limit long")
-    sample = rows.join(F.broadcast(limits), "lang").filter(F.xxhash64("id") <= F.col("limit"))
+    shares = [(r.lang, min(1.0, docs_per_lang / r.n)) for r in langs]
+    share = spark.createDataFrame(shares, "lang string, share double")
+    place01 = F.pmod(F.xxhash64("id"), F.lit(1 << 31)) / float(1 << 31)
+    sample = rows.join(F.broadcast(share), "lang").filter(place01 < F.col("share"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
