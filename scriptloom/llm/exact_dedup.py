@@ -18,14 +18,13 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import durable, maybe_members, new_folder, remove_folder
+from scriptloom.llm.common import durable, maybe_members, new_folder, remove_folder, settings
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": (
@@ -38,30 +37,24 @@ STATE = {
 ARRIVAL = "doc_id {id}, digest string, file string, row long"
 
 
-@contextmanager
-def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
-    before = {key: spark.conf.get(key, None) for key in values}
-    for key, value in values.items():
-        spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-
-
 def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def located(docs: DataFrame, folder: str) -> DataFrame:
-    """`docs` with the locator columns _file and _row."""
-    where = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+def as_table(docs: DataFrame, folder: str) -> DataFrame:
+    """`docs`, or where it is no plain table what was written of it to `folder`."""
     try:
-        return docs.select("*", *where)
+        docs.select("_metadata.row_index")
+        return docs
     except AnalysisException:
         docs.write.parquet(folder)
-        return docs.sparkSession.read.parquet(folder).select("*", *where)
+        return docs.sparkSession.read.parquet(folder)
+
+
+def located(docs: DataFrame, folder: str) -> DataFrame:
+    """`docs` with the locator columns _file and _row."""
+    where = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    return as_table(docs, folder).select("*", *where)
 
 
 def absorb(spark: SparkSession, landing: str, checkpoint: str, id_type: str, files: int) -> None:
@@ -119,15 +112,15 @@ def exact_dedup(
         "digest", F.col("stays.file").alias("_file"), F.col("stays.row").alias("_row")
     )
     held = hits.join(stay, ["digest", "_file", "_row"]).select("digest", F.col("text").alias("held"))
-    unequal = durable(
-        hits.join(held, "digest").filter("text <> held").select("digest").distinct()
-    )
+    # grouped only after the join, which can then split a digest that many rows have
+    differ = durable(hits.join(held, "digest").filter("text <> held").select("digest"))
+    unequal = differ.distinct()
 
     arrivals = spark.read.schema(ARRIVAL.format(id=id_type)).parquet(f"{work}/landing")
     me = F.struct("doc_id", "file", "row")
     columns = ["doc_id", "file", "row", "digest", "stays", "n"]
     groups = arrivals.join(state, "digest").select(*columns)
-    if not unequal.isEmpty():
+    if not differ.isEmpty():
         clash = rows.join(unequal, "digest").select(
             "doc_id", F.col("_file").alias("file"), F.col("_row").alias("row"), "digest", "text"
         )
@@ -147,6 +140,5 @@ def exact_dedup(
             F.col("row").alias("_row"),
         )
     )
-    if f"{work}/content" not in str(docs.inputFiles()[:1]):
-        remove_folder(spark, work)
+    remove_folder(spark, work)
     return result
