@@ -23,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptloom.llm.common import durable, new_folder, utf8
@@ -265,12 +265,14 @@ def similar_rows(
         .filter((either == 0) | (both >= similarity * either))
         .select("a", "b")
     )
-    grouped = nodes.join(components(similar), "node", "left").select(
-        "doc_id", "_file", "_row", F.coalesce("root", "node").alias("root")
+    grouped = durable(
+        nodes.join(components(similar), "node", "left").select(
+            "doc_id", "_file", "_row", F.coalesce("root", "node").alias("root")
+        )
     )
-    best = Window.partitionBy("root")
     me = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_file", "_row")
-    return grouped.withColumn("stays", F.min(me).over(best)).select(
+    best = durable(grouped.groupBy("root").agg(F.min(me).alias("stays")))
+    return grouped.join(best, "root").select(
         "doc_id",
         F.col("stays.doc_id").alias("group_id"),
         (me == F.col("stays")).alias("kept"),
