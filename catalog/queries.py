@@ -35,9 +35,12 @@ def kept(df: DataFrame) -> DataFrame:
 
 
 def _landed(scripts: DataFrame, folder: str) -> None:
-    """Script files: one folder per customer, one text file in each."""
+    """Script files: one folder per customer, one text file in each. Tasks move their own files
+    into place, as there are many."""
     rows = scripts.select("script_id", F.col("source").alias("value")).repartition(32, "script_id")
-    rows.write.mode("append").partitionBy("script_id").text(folder)
+    rows.write.mode("append").option(
+        "mapreduce.fileoutputcommitter.algorithm.version", "2"
+    ).partitionBy("script_id").text(folder)
 
 
 SCRIPT_OF_PATH = "regexp_extract(path, 'script_id=([^/]*)/', 1) AS script_id"
