@@ -7,10 +7,11 @@ own cell and the cells one step away, and linked fingerprints meet in a cell; wh
 needed follows from how their bit counts differ, so a pair meets in one kind of cell.
 
 `similar_rows` finds texts whose sets of five-word shingles have Jaccard similarity 0.8. That is
-up to 16 differing bits of a whole-text fingerprint, beyond what a grid can join. So it also
-takes fingerprints of small parts: shingles are dealt to parts by their hash, about three to
-a part, and the fingerprints of the same 16 parts of two similar texts agree in about half of
-the parts. Every candidate is verified on the full sets.
+up to 16 differing bits of a whole-text fingerprint, beyond what a grid can join. So it takes
+hashes of small parts: shingles are dealt to more parts by their hash than two similar sets can
+have differing shingles, so one part at least is equal in both. Every candidate is verified on
+the full sets, and every two rows with an equal part are compared unless links already join
+them. Shingles are told apart by 64 bits of hash, equal sets by 128.
 
 Defined results: null text is empty; text of fewer words than a shingle is one shingle; text
 without words has fingerprint zero and links like any other; equal fingerprints are one node,
@@ -20,6 +21,9 @@ unless all are null. Other columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from math import ceil
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -34,8 +38,16 @@ SEED = 42
 SEGMENT_BITS = 4
 SEGMENTS = 64 // SEGMENT_BITS
 BLOCK = 1 << 16
-PARTS = 16
-PART_SHINGLES = 2
+#: Parts for each shingle that may differ, so that parts without shingles leave enough others.
+SPARE = 1.2
+#: Sizes of sets at which a new class of sizes begins; each class has its number of parts.
+CLASSES = [2, 3, 4]
+while CLASSES[-1] < 1 << 40:
+    CLASSES.append(CLASSES[-1] * 3 // 2)
+#: Rows with a part in common that are all compared with each other at once.
+FEW = 8
+#: For rounds of comparisons in larger groups: rows compared with all others, by the round before.
+MORE = 8
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -149,52 +161,49 @@ def near_duplicates(
     )
 
 
-def part_fingerprints(shingles: np.ndarray, similarity: float) -> list[int]:
-    """Fingerprints of PARTS parts of a set of distinct shingle hashes.
+def part_hashes(shingles: np.ndarray, similarity: float) -> np.ndarray:
+    """Hashes of parts of a set of distinct shingle hashes; any two similar sets share one.
 
-    The number of parts is the power of two that leaves PART_SHINGLES to twice as many in a
-    part; a set that a similar, smaller set may fall short of this power gives the parts of
-    the next smaller power as well. Only the first PARTS parts are used.
+    Of two similar sets the smaller has the size m, and at most m * (1 - similarity) / similarity
+    shingles are in one set only. Both give the parts of the class of m. A set that has more
+    parts with shingles than so many shares one that does not differ. Sets with fewer,
+    which are small, also give their least shingles, one more than two similar sets can differ in.
     """
-    if not len(shingles):
-        return [0]
-    level = max(0, (len(shingles) // PART_SHINGLES).bit_length() - 1)
-    below = max(0, (int(len(shingles) * similarity) // PART_SHINGLES).bit_length() - 1)
+    n = len(shingles)
+    if not n:
+        return np.zeros(1, np.uint64)
     mixed = shingles * np.uint64(0x9E3779B97F4A7C15)
-    out: list[int] = []
-    for power in range(below, level + 1):
-        part = mixed >> np.uint64(64 - power) if power else np.zeros(len(mixed), np.uint64)
-        own = np.flatnonzero(part < PARTS)
-        own = own[np.argsort(part[own], kind="stable")]
-        if not len(own):
-            continue
-        first = np.flatnonzero(np.r_[True, np.diff(part[own]) > 0])
-        bits = np.unpackbits(shingles[own].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1)
-        ones = np.add.reduceat(bits, first, axis=0, dtype=np.int64)
-        sizes = np.diff(np.r_[first, len(own)])
-        prints = np.packbits(2 * ones > sizes[:, None], axis=1).view("<u8").reshape(-1)
-        label = part[own][first] * np.uint64(64) + np.uint64(power)
-        out += ((prints ^ (label * np.uint64(0xBF58476D1CE4E5B9))) * np.uint64(0x94D049BB133111EB)).tolist()
-    return out
+    terms = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    differ = (1 - similarity) / similarity
+    out, weak = [], False
+    partner = max(1, ceil(n * similarity - 1e-6))
+    for nth in range(bisect_right(CLASSES, partner), bisect_right(CLASSES, n) + 1):
+        parts = np.uint64(int(CLASSES[nth] * differ * SPARE) + 1)
+        part = ((mixed >> np.uint64(32)) * parts) >> np.uint64(32)
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        label = (part[first] * np.uint64(64) + np.uint64(nth)) * np.uint64(0x94D049BB133111EB)
+        total = np.add.reduceat(terms[order], first)
+        out.append((total ^ (label >> np.uint64(31)) ^ label) * np.uint64(0xD6E8FEB86659FD93))
+        weak |= len(first) <= int(min(n, CLASSES[nth] - 1) * differ + 1e-6)
+    if weak:
+        out.append(np.sort(mixed)[: n - ceil(n * similarity - 1e-6) + 1] ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+    return np.unique(np.concatenate(out))
 
 
 def _sketch(text: Column, width: int, similarity: float) -> Column:
-    @F.arrow_udf("struct<n: long, fp: long, parts: array<long>>")
+    @F.arrow_udf("struct<n: long, digest: binary, parts: array<long>>")
     def sketch(texts: pa.Array) -> pa.Array:
-        n, fp, parts = [], [], []
+        n, digest, parts = [], [], []
         for t in utf8(texts):
-            hashes = shingle_hashes(t, width)
-            distinct = np.unique(hashes)
+            distinct = np.unique(shingle_hashes(t, width))
             n.append(len(distinct))
-            fp.append(fingerprint(hashes))
-            parts.append(np.array(part_fingerprints(distinct, similarity), np.uint64).view(np.int64))
+            digest.append(xxhash.xxh3_128_digest(distinct.tobytes(), SEED))
+            parts.append(part_hashes(distinct, similarity).view(np.int64))
         return pa.StructArray.from_arrays(
-            [
-                pa.array(n, pa.int64()),
-                pa.array(np.array(fp, np.uint64).view(np.int64)),
-                pa.array(parts, pa.list_(pa.int64())),
-            ],
-            ["n", "fp", "parts"],
+            [pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(parts, pa.list_(pa.int64()))],
+            ["n", "digest", "parts"],
         )
 
     return sketch(text)
@@ -216,9 +225,11 @@ def similar_rows(
     """doc_id, group_id, kept and locator _file, _row of every row; of each group of similar
     texts the row with the smallest doc_id is kept.
 
-    Rows with a part in common are compared with the first and the last row that has it, and
-    rows whose fingerprints differ in at most two bits with each other's first row; so the
-    number of comparisons grows with the rows, whatever the size of a group.
+    Of a few rows with a part in common all are compared. In a larger group some rows, those with
+    most links first, are compared with all others that no links join to them, and are then done
+    with; rounds go on, with ever more such rows, until links join all rows that are left.
+    So a group with one row that is like all others takes comparisons by its rows, and only rows
+    that share a part without being similar take more.
     """
     text = F.col(text_col).alias("text")
     rows = located(
@@ -228,48 +239,94 @@ def similar_rows(
         rows.select("doc_id", "_file", "_row", _sketch(F.col("text"), width, similarity).alias("s"))
         .select("doc_id", "_file", "_row", "s.*")
     ).withColumn("node", F.monotonically_increasing_id())
-    parts = nodes.select("node", "n", F.explode(F.array_distinct("parts")).alias("part"))
-    ends = durable(
-        parts.groupBy("part")
-        .agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("rows"))
-        .filter("first <> last")
-        .select("part", "first", "last")
-    )
-    by_part = parts.join(ends, "part").select(
-        F.explode(F.array("first", "last")).alias("a"), F.col("node").alias("b")
-    )
-    prints = durable(nodes.groupBy("fp").agg(F.min("node").alias("first")))
-    by_print = nodes.join(prints, "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    name = lambda c: prints.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node"))
-    linked = (
-        links(prints).join(name("a"), "a").join(name("b"), "b")
-        .select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    )
-    pairs = durable(
-        by_part.unionByName(by_print)
-        .unionByName(linked)
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .filter("a <> b")
-        .distinct()
+    parts = nodes.select("node", "n", F.explode("parts").alias("part"))
+    several = durable(parts.groupBy("part").agg(F.count("*").alias("rows")).filter("rows > 1"))
+    shared = durable(parts.join(several, "part").select("part", "node", "n", "rows"))
+    where = durable(
+        nodes.join(shared.select("node").distinct(), "node").select("node", "_file", "_row")
     )
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    where = durable(nodes.join(needed, "node").select("node", "_file", "_row"))
     sets = durable(
         rows.join(where, ["_file", "_row"]).select("node", _shingle_set(F.col("text"), width).alias("set"))
     )
-    both = F.size(F.array_intersect("sa", "sb"))
-    either = F.size("sa") + F.size("sb") - both
-    similar = durable(
-        pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
-        .join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-        .filter((either == 0) | (both >= similarity * either))
-        .select("a", "b")
-    )
-    grouped = durable(
-        nodes.join(components(similar), "node", "left").select(
-            "doc_id", "_file", "_row", F.coalesce("root", "node").alias("root")
+    sizes = F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6
+
+    def compared(candidates: DataFrame) -> DataFrame:
+        pairs = durable(
+            candidates.filter(sizes)
+            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            .distinct()
+        )
+        both = F.size(F.array_intersect("sa", "sb"))
+        either = F.size("sa") + F.size("sb") - both
+        return durable(
+            pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
+            .join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
+            .filter((either == 0) | (both >= similarity * either))
+            .select("a", "b")
+        )
+
+    side = lambda c, df: df.select("part", F.col("node").alias(c), F.col("n").alias(f"n{c}"))
+    few = shared.filter(F.col("rows") <= FEW)
+    similar = compared(side("a", few).join(side("b", few), "part").filter("a < b"))
+    prints = durable(nodes.groupBy("digest").agg(F.min("node").alias("a"), F.count("*").alias("rows")))
+    copies = nodes.join(prints.filter("rows > 1"), "digest").select("a", F.col("node").alias("b"))
+    similar = durable(similar.unionByName(copies.filter("a <> b")))
+    roots = durable(
+        nodes.select("node").join(components(similar), "node", "left").select(
+            "node", F.coalesce("root", "node").alias("root")
         )
     )
+    left = shared.filter(F.col("rows") > FEW).select("part", "node", "n")
+    degree = nodes.limit(0).select("node", F.lit(0).cast("long").alias("links"))
+    slots = 1
+    while True:
+        named = durable(
+            left.join(roots, "node").join(degree, "node", "left").select(
+                "part", "node", "n", "root", F.coalesce("links", F.lit(0)).alias("links")
+            )
+        )
+        mixed = durable(
+            named.groupBy("part")
+            .agg(F.min("root").alias("low"), F.max("root").alias("high"))
+            .filter("low <> high")
+            .select("part")
+        )
+        if mixed.isEmpty():
+            break
+        named = durable(named.join(mixed, "part"))
+        most = F.max(F.struct("links", (-F.col("node")).alias("first"), "n", "root")).alias("m")
+        pivots = durable(
+            named.groupBy("part", F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot"))
+            .agg(most)
+            .select("part", (-F.col("m.first")).alias("a"), F.col("m.n").alias("na"), F.col("m.root").alias("ra"))
+        )
+        others = named.select(
+            "part", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb")
+        )
+        found = compared(pivots.join(others, "part").filter("ra <> rb"))
+        left = durable(
+            named.join(
+                pivots.select("part", F.col("a").alias("node")), ["part", "node"], "left_anti"
+            ).select("part", "node", "n")
+        )
+        slots *= MORE
+        if found.isEmpty():
+            continue
+        ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node")))
+        degree = durable(
+            degree.unionByName(ends.groupBy("node").agg(F.count("*").alias("links")))
+            .groupBy("node")
+            .agg(F.sum("links").alias("links"))
+        )
+        root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+        crossing = found.join(root("a"), "a").join(root("b"), "b").select(
+            F.col("ra").alias("a"), F.col("rb").alias("b")
+        )
+        moved = components(crossing).select(F.col("node").alias("root"), F.col("root").alias("to"))
+        roots = durable(
+            roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        )
+    grouped = durable(nodes.join(roots, "node").select("doc_id", "_file", "_row", "root"))
     me = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_file", "_row")
     best = durable(grouped.groupBy("root").agg(F.min(me).alias("stays")))
     return grouped.join(best, "root").select(

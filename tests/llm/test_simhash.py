@@ -5,7 +5,7 @@ import pytest
 import xxhash
 
 from scriptloom.llm.components import components
-from scriptloom.llm.simhash import links, near_duplicates, similar_rows
+from scriptloom.llm.simhash import links, near_duplicates, part_hashes, similar_rows
 
 
 def fingerprint(text, width=3):
@@ -108,3 +108,37 @@ def test_similar_rows(frame):
     assert joined >= 0.97 * len(near)
     kept = [r.doc_id for r in out if r.kept]
     assert sorted(kept) == sorted(set(group.values()))
+
+
+def test_similar_sets_share_a_part():
+    rng = np.random.default_rng(6)
+    for n in [*range(1, 60), 100, 157, 400, 1500] * 6:
+        pool = rng.integers(0, 1 << 63, 2 * n).astype(np.uint64)
+        for gone in range(int(0.2 * n) + 1):
+            # as many differing shingles as a similarity of 0.8 allows
+            new = int((n - gone) / 0.8 + 1e-9) - n
+            other = np.concatenate([pool[gone:n], pool[n : n + new]])
+            both, either = n - gone, n + new
+            assert both >= 0.8 * either - 1e-9
+            mine, theirs = (part_hashes(np.unique(x), 0.8) for x in (pool[:n], other))
+            assert len(np.intersect1d(mine, theirs))
+
+
+def test_star_of_rows_similar_to_one_only(frame):
+    """Hundreds of copies at 0.82 to one row and 0.70 to each other, with that row in the middle."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    base = [word() for _ in range(404)]
+    texts = {500: " ".join(base)}
+    for i in range(300):
+        words = list(base)
+        for at in rng.sample(range(4, 400, 5), 8):
+            words[at] = word()
+        texts[i if i < 150 else 501 + i] = " ".join(words)
+    rows = [(d, t, "en", "s") for d, t in sorted(texts.items())]
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in texts.items()}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(alike(500, d) >= 0.8 for d in texts)
+    assert sum(alike(0, d) >= 0.8 for d in texts) < 30
+    out = similar_rows(frame(rows)).collect()
+    assert {r.group_id for r in out} == {0} and [r.doc_id for r in out if r.kept] == [0]
