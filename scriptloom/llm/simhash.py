@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import durable, new_folder, utf8
+from scriptloom.llm.common import durable, new_folder, settings, utf8
 from scriptloom.llm.components import components
 from scriptloom.llm.exact_dedup import located
 
@@ -48,6 +48,8 @@ while CLASSES[-1] < 1 << 40:
 FEW = 8
 #: For rounds of comparisons in larger groups: rows compared with all others, by the round before.
 MORE = 8
+#: Shuffle files go as soon as what was made of them is kept.
+CLEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -218,23 +220,8 @@ def _shingle_set(text: Column, width: int) -> Column:
     return shingle_set(text)
 
 
-def similar_rows(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
-    similarity: float = 0.8,
-) -> DataFrame:
-    """doc_id, group_id, kept and locator _file, _row of every row; of each group of similar
-    texts the row with the smallest doc_id is kept.
-
-    Of a few rows with a part in common all are compared. In a larger group some rows, those with
-    most links first, are compared with all others that no links join to them, and are then done
-    with; rounds go on, with ever more such rows, until links join all rows that are left.
-    So a group with one row that is like all others takes comparisons by its rows, and only rows
-    that share a part without being similar take more.
-    """
-    text = F.col(text_col).alias("text")
-    rows = located(
-        docs.select(F.col(id_col).alias("doc_id"), text), new_folder(docs.sparkSession, "simhash")
-    )
+def _grouped(rows: DataFrame, width: int, similarity: float) -> DataFrame:
+    """doc_id, _file, _row and root, which is one for rows that links of similar texts join."""
     nodes = durable(
         rows.select("doc_id", "_file", "_row", _sketch(F.col("text"), width, similarity).alias("s"))
         .select("doc_id", "_file", "_row", "s.*")
@@ -326,7 +313,28 @@ def similar_rows(
         roots = durable(
             roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
         )
-    grouped = durable(nodes.join(roots, "node").select("doc_id", "_file", "_row", "root"))
+    return durable(nodes.join(roots, "node").select("doc_id", "_file", "_row", "root"))
+
+
+def similar_rows(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
+    similarity: float = 0.8,
+) -> DataFrame:
+    """doc_id, group_id, kept and locator _file, _row of every row; of each group of similar
+    texts the row with the smallest doc_id is kept.
+
+    Of a few rows with a part in common all are compared. In a larger group some rows, those with
+    most links first, are compared with all others that no links join to them, and are then done
+    with; rounds go on, with ever more such rows, until links join all rows that are left.
+    So a group with one row that is like all others takes comparisons by its rows, and only rows
+    that share a part without being similar take more.
+    """
+    text = F.col(text_col).alias("text")
+    rows = located(
+        docs.select(F.col(id_col).alias("doc_id"), text), new_folder(docs.sparkSession, "simhash")
+    )
+    with settings(docs.sparkSession, CLEAN):
+        grouped = _grouped(rows, width, similarity)
     me = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_file", "_row")
     best = durable(grouped.groupBy("root").agg(F.min(me).alias("stays")))
     return grouped.join(best, "root").select(
