@@ -253,8 +253,15 @@ def _grouped(rows: DataFrame, width: int, similarity: float) -> DataFrame:
         )
 
     side = lambda c, df: df.select("part", F.col("node").alias(c), F.col("n").alias(f"n{c}"))
-    few = shared.filter(F.col("rows") <= FEW)
-    similar = compared(side("a", few).join(side("b", few), "part").filter("a < b"))
+    few, big = shared.filter(F.col("rows") <= FEW), shared.filter(F.col("rows") > FEW)
+    first = durable(big.groupBy("part").agg(F.min(F.struct("node", "n")).alias("m"))).select(
+        "part", F.col("m.node").alias("a"), F.col("m.n").alias("na")
+    )
+    all_few = side("a", few).join(side("b", few), "part").filter("a < b")
+    with_first = first.join(side("b", big), "part").filter("a < b")
+    similar = compared(all_few.unionByName(with_first))
+    ends = similar.select(F.col("a").alias("node")).unionByName(similar.select(F.col("b").alias("node")))
+    degree = durable(ends.groupBy("node").agg(F.count("*").alias("links")))
     prints = durable(nodes.groupBy("digest").agg(F.min("node").alias("a"), F.count("*").alias("rows")))
     copies = nodes.join(prints.filter("rows > 1"), "digest").select("a", F.col("node").alias("b"))
     similar = durable(similar.unionByName(copies.filter("a <> b")))
@@ -263,8 +270,7 @@ def _grouped(rows: DataFrame, width: int, similarity: float) -> DataFrame:
             "node", F.coalesce("root", "node").alias("root")
         )
     )
-    left = shared.filter(F.col("rows") > FEW).select("part", "node", "n")
-    degree = nodes.limit(0).select("node", F.lit(0).cast("long").alias("links"))
+    left = with_first.select("part", F.col("b").alias("node"), F.col("nb").alias("n"))
     slots = 1
     while True:
         named = durable(
