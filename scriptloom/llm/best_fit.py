@@ -7,9 +7,9 @@ with: the search starts at the least residual that holds it and goes on to the n
 with a bin free of its source, until one is free of its cluster too. A document longer than
 a bin fills whole bins first, and only its rest is packed with others.
 
-Rows are dealt to groups of about `rows_per_group` by a hash of their identifier, and each
-group is packed on its own, so a source or cluster with a third of all rows is spread like any
-other. Identifiers, lengths and numbers for source and cluster travel, never text.
+Rows are dealt to groups of about `rows_per_group` by a hash of their identifier and place in
+the table, and each group is packed on its own, so a source, a cluster or an identifier (null,
+say) with a third of all rows is spread like any other. Identifiers, lengths and numbers for source and cluster travel, never text.
 
 Defined results: null length and 0 give one piece of 0 tokens that still takes a place; a null
 source or cluster conflicts with nothing; repeated rows are packed each; ties go to the bin
@@ -186,7 +186,7 @@ def best_fit_packing(
     packed = (
         narrow.filter((rest > 0) | (F.col("total") == 0))
         .withColumn("length", rest)
-        .withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+        .withColumn("grp", F.pmod(F.xxhash64("doc_id", "row"), F.lit(groups)))
         .groupBy("grp")
         .applyInPandas(
             pack_group,

@@ -44,7 +44,7 @@ def sha256(text: Column) -> Column:
 def as_table(docs: DataFrame, folder: str) -> DataFrame:
     """`docs`, or where it is no plain table what was written of it to `folder`."""
     try:
-        docs.select("_metadata.row_index")
+        docs.select(docs.metadataColumn("_metadata").row_index)
         return docs
     except AnalysisException:
         docs.write.parquet(folder)
@@ -52,9 +52,13 @@ def as_table(docs: DataFrame, folder: str) -> DataFrame:
 
 
 def located(docs: DataFrame, folder: str) -> DataFrame:
-    """`docs` with the locator columns _file and _row."""
-    where = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
-    return as_table(docs, folder).select("*", *where)
+    """Each row of `docs` as the struct `doc`, which no name in it can clash with, and its
+    locator columns _file and _row."""
+    table = as_table(docs, folder)
+    where = table.metadataColumn("_metadata")
+    return table.select(
+        F.struct("*").alias("doc"), where.file_path.alias("_file"), where.row_index.alias("_row")
+    )
 
 
 def absorb(spark: SparkSession, landing: str, checkpoint: str, id_type: str, files: int) -> None:
@@ -96,7 +100,9 @@ def exact_dedup(
     spark = docs.sparkSession
     work = new_folder(spark, "exact-dedup")
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    rows = located(docs.select(F.col(id_col).alias("doc_id"), text), f"{work}/content")
+    rows = located(docs.select(F.col(id_col).alias("doc_id"), text), f"{work}/content").select(
+        "doc.*", "_file", "_row"
+    )
     rows = rows.withColumn("digest", digest(F.col("text")))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     rows.select("doc_id", "digest", F.col("_file").alias("file"), F.col("_row").alias("row")).write.parquet(

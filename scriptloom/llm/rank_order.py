@@ -63,16 +63,20 @@ def ranked(codes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
 
 
 class Profiles:
-    """Ranks of every known n-gram in every language."""
+    """Ranks of every known n-gram in the languages that have it: for the n-gram `codes[i]` the
+    entries from `starts[i]` on hold a language and the rank there."""
 
     def __init__(self, profiles: dict[str, list[int]], size: int):
         self.size = size
         self.names = sorted(profiles)
         known = [np.array(profiles[n], np.int64).view(np.uint64) for n in self.names]
-        self.codes = np.unique(np.concatenate([*known, np.zeros(0, np.uint64)]))
-        self.ranks = np.full((len(self.names), len(self.codes) + 1), -1, np.int32)
-        for i, own in enumerate(known):
-            self.ranks[i, np.searchsorted(self.codes, own)] = np.arange(len(own))
+        every = np.concatenate([*known, np.zeros(0, np.uint64)])
+        lang = np.repeat(np.arange(len(known)), [len(k) for k in known])
+        rank = np.concatenate([*[np.arange(len(k)) for k in known], np.zeros(0, np.int64)])
+        order = np.argsort(every, kind="stable")
+        self.codes, first = np.unique(every[order], return_index=True)
+        self.starts = np.append(first, len(every)).astype(np.int64)
+        self.lang, self.rank = lang[order].astype(np.int32), rank[order].astype(np.int32)
 
     def nearest(self, text: str | None) -> tuple[str, float]:
         if not text or not self.names:
@@ -80,23 +84,24 @@ class Profiles:
         own = ranked(*grams(text), self.size)
         if not len(own):
             return UNKNOWN, 0.0
-        at = np.searchsorted(self.codes, own)
-        at[at == len(self.codes)] = 0
-        at[self.codes[at] != own] = len(self.codes)  # the column that no profile has
-        ranks = self.ranks[:, at]
-        away = np.where(ranks < 0, self.size, np.abs(ranks - np.arange(len(own))))
-        total = away.sum(axis=1)
+        at = np.minimum(np.searchsorted(self.codes, own), len(self.codes) - 1)
+        place = np.flatnonzero(self.codes[at] == own)
+        begin, n = self.starts[at[place]], np.diff(self.starts)[at[place]]
+        entry = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+        # every n-gram counts as absent, and what a profile has is put right
+        nearer = np.abs(self.rank[entry] - np.repeat(place, n)) - self.size
+        total = len(own) * self.size + np.bincount(self.lang[entry], nearer, len(self.names))
         best = int(total.argmin())
         return self.names[best], float(1 - total[best] / (len(own) * self.size))
 
 
 def learn(
     labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-    lang_col: str = "lang", size: int = 400, docs_per_lang: int = 3000, max_langs: int = 1000,
+    lang_col: str = "lang", size: int = 400, docs_per_lang: int = 3000, max_langs: int = 10_000,
 ) -> Profiles:
     """Profiles from a share of each language's documents, picked by a hash of their id, that is
-    `docs_per_lang` documents on average, and of the `max_langs` languages with most documents.
-    What reaches the driver is at most max_langs * size codes."""
+    `docs_per_lang` documents on average. More than `max_langs` languages raise, so what reaches
+    the driver and the workers is at most max_langs * size codes."""
     rows = labelled.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
     ).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -104,10 +109,11 @@ def learn(
     langs = (
         rows.groupBy("lang")
         .agg(F.count("*").alias("n"))
-        .orderBy(F.desc("n"), "lang")
-        .limit(max_langs)
+        .limit(max_langs + 1)
         .collect()
     )
+    if len(langs) > max_langs:
+        raise ValueError(f"{lang_col} has more than max_langs = {max_langs} values")
     if not langs:
         return Profiles({}, size)
     shares = [(r.lang, min(1.0, docs_per_lang / r.n)) for r in langs]

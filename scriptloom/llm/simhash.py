@@ -6,23 +6,15 @@ link; the bits are then compared exactly. For two differing bits, each fingerpri
 own cell and the cells one step away, and linked fingerprints meet in a cell; which steps are
 needed follows from how their bit counts differ, so a pair meets in one kind of cell.
 
-`similar_rows` finds texts whose sets of five-word shingles have Jaccard similarity 0.8. That is
-up to 16 differing bits of a whole-text fingerprint, beyond what a grid can join. So it takes
-hashes of small parts: shingles are dealt to more parts by their hash than two similar sets can
-have differing shingles, so one part at least is equal in both. Every candidate is verified on
-the full sets, and every two rows with an equal part are compared unless links already join
-them. Shingles are told apart by 64 bits of hash, equal sets by 128.
-
 Defined results: null text is empty; text of fewer words than a shingle is one shingle; text
 without words has fingerprint zero and links like any other; equal fingerprints are one node,
 so copies cost nothing; repeated rows each get a row; a null doc_id is never the smallest
-unless all are null. Other columns are ignored.
+unless all are null. Other columns are ignored, but for those asked for by name.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
-from math import ceil
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -30,26 +22,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import durable, new_folder, settings, utf8
+from scriptloom.llm.common import durable, utf8
 from scriptloom.llm.components import components
-from scriptloom.llm.exact_dedup import located
 
 SEED = 42
 SEGMENT_BITS = 4
 SEGMENTS = 64 // SEGMENT_BITS
 BLOCK = 1 << 16
-#: Parts for each shingle that may differ, so that parts without shingles leave enough others.
-SPARE = 1.2
-#: Sizes of sets at which a new class of sizes begins; each class has its number of parts.
-CLASSES = [2, 3, 4]
-while CLASSES[-1] < 1 << 40:
-    CLASSES.append(CLASSES[-1] * 3 // 2)
-#: Rows with a part in common that are all compared with each other at once.
-FEW = 8
-#: For rounds of comparisons in larger groups: rows compared with all others, by the round before.
-MORE = 8
-#: Shuffle files go as soon as what was made of them is kept.
-CLEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -142,12 +121,19 @@ def links(nodes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row: the smallest doc_id
-    that can be reached over links of at most two differing bits."""
+    that can be reached over links of at most two differing bits. `carry` names columns of
+    `docs` that come along as the struct `carried`, and then so does `component`, a fingerprint
+    that tells components apart even where their doc_ids are null or repeated."""
     prints = durable(
-        docs.select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col), width).alias("fp"))
+        docs.select(
+            F.col(id_col).alias("doc_id"),
+            fingerprints(F.col(text_col), width).alias("fp"),
+            F.struct(*carry).alias("carried") if carry else F.lit(None).alias("carried"),
+        )
     )
     nodes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(nodes))
@@ -157,196 +143,10 @@ def near_duplicates(
         )
     )
     named = durable(member.groupBy("root").agg(F.min("least").alias("component_id")))
-    classes = durable(member.join(named, "root").select("fp", "component_id"))
+    classes = durable(member.join(named, "root").select("fp", "root", "component_id"))
     return prints.join(classes, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
-
-
-def part_hashes(shingles: np.ndarray, similarity: float) -> np.ndarray:
-    """Hashes of parts of a set of distinct shingle hashes; any two similar sets share one.
-
-    Of two similar sets the smaller has the size m, and at most m * (1 - similarity) / similarity
-    shingles are in one set only. Both give the parts of the class of m. A set that has more
-    parts with shingles than so many shares one that does not differ. Sets with fewer,
-    which are small, also give their least shingles, one more than two similar sets can differ in.
-    """
-    n = len(shingles)
-    if not n:
-        return np.zeros(1, np.uint64)
-    mixed = shingles * np.uint64(0x9E3779B97F4A7C15)
-    terms = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    differ = (1 - similarity) / similarity
-    out, weak = [], False
-    partner = max(1, ceil(n * similarity - 1e-6))
-    for nth in range(bisect_right(CLASSES, partner), bisect_right(CLASSES, n) + 1):
-        parts = np.uint64(int(CLASSES[nth] * differ * SPARE) + 1)
-        part = ((mixed >> np.uint64(32)) * parts) >> np.uint64(32)
-        order = np.argsort(part, kind="stable")
-        part = part[order]
-        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        label = (part[first] * np.uint64(64) + np.uint64(nth)) * np.uint64(0x94D049BB133111EB)
-        total = np.add.reduceat(terms[order], first)
-        out.append((total ^ (label >> np.uint64(31)) ^ label) * np.uint64(0xD6E8FEB86659FD93))
-        weak |= len(first) <= int(min(n, CLASSES[nth] - 1) * differ + 1e-6)
-    if weak:
-        out.append(np.sort(mixed)[: n - ceil(n * similarity - 1e-6) + 1] ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-    return np.unique(np.concatenate(out))
-
-
-def _sketch(text: Column, width: int, similarity: float) -> Column:
-    @F.arrow_udf("struct<n: long, digest: binary, parts: array<long>>")
-    def sketch(texts: pa.Array) -> pa.Array:
-        n, digest, parts = [], [], []
-        for t in utf8(texts):
-            distinct = np.unique(shingle_hashes(t, width))
-            n.append(len(distinct))
-            digest.append(xxhash.xxh3_128_digest(distinct.tobytes(), SEED))
-            parts.append(part_hashes(distinct, similarity).view(np.int64))
-        return pa.StructArray.from_arrays(
-            [pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(parts, pa.list_(pa.int64()))],
-            ["n", "digest", "parts"],
-        )
-
-    return sketch(text)
-
-
-def _shingle_set(text: Column, width: int) -> Column:
-    @F.arrow_udf("array<long>")
-    def shingle_set(texts: pa.Array) -> pa.Array:
-        sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in utf8(texts)]
-        return pa.array(sets, pa.list_(pa.int64()))
-
-    return shingle_set(text)
-
-
-def _grouped(rows: DataFrame, width: int, similarity: float) -> DataFrame:
-    """doc_id, _file, _row and root, which is one for rows that links of similar texts join."""
-    nodes = durable(
-        rows.select("doc_id", "_file", "_row", _sketch(F.col("text"), width, similarity).alias("s"))
-        .select("doc_id", "_file", "_row", "s.*")
-    ).withColumn("node", F.monotonically_increasing_id())
-    parts = nodes.select("node", "n", F.explode("parts").alias("part"))
-    several = durable(parts.groupBy("part").agg(F.count("*").alias("rows")).filter("rows > 1"))
-    shared = durable(parts.join(several, "part").select("part", "node", "n", "rows"))
-    where = durable(
-        nodes.join(shared.select("node").distinct(), "node").select("node", "_file", "_row")
-    )
-    sets = durable(
-        rows.join(where, ["_file", "_row"]).select("node", _shingle_set(F.col("text"), width).alias("set"))
-    )
-    sizes = F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6
-
-    def compared(candidates: DataFrame) -> DataFrame:
-        pairs = durable(
-            candidates.filter(sizes)
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            .distinct()
-        )
-        both = F.size(F.array_intersect("sa", "sb"))
-        either = F.size("sa") + F.size("sb") - both
-        return durable(
-            pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
-            .join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-            .filter((either == 0) | (both >= similarity * either))
-            .select("a", "b")
-        )
-
-    side = lambda c, df: df.select("part", F.col("node").alias(c), F.col("n").alias(f"n{c}"))
-    few, big = shared.filter(F.col("rows") <= FEW), shared.filter(F.col("rows") > FEW)
-    first = durable(big.groupBy("part").agg(F.min(F.struct("node", "n")).alias("m"))).select(
-        "part", F.col("m.node").alias("a"), F.col("m.n").alias("na")
-    )
-    all_few = side("a", few).join(side("b", few), "part").filter("a < b")
-    with_first = first.join(side("b", big), "part").filter("a < b")
-    similar = compared(all_few.unionByName(with_first))
-    ends = similar.select(F.col("a").alias("node")).unionByName(similar.select(F.col("b").alias("node")))
-    degree = durable(ends.groupBy("node").agg(F.count("*").alias("links")))
-    prints = durable(nodes.groupBy("digest").agg(F.min("node").alias("a"), F.count("*").alias("rows")))
-    copies = nodes.join(prints.filter("rows > 1"), "digest").select("a", F.col("node").alias("b"))
-    similar = durable(similar.unionByName(copies.filter("a <> b")))
-    roots = durable(
-        nodes.select("node").join(components(similar), "node", "left").select(
-            "node", F.coalesce("root", "node").alias("root")
-        )
-    )
-    left = with_first.select("part", F.col("b").alias("node"), F.col("nb").alias("n"))
-    slots = 1
-    while True:
-        named = durable(
-            left.join(roots, "node").join(degree, "node", "left").select(
-                "part", "node", "n", "root", F.coalesce("links", F.lit(0)).alias("links")
-            )
-        )
-        mixed = durable(
-            named.groupBy("part")
-            .agg(F.min("root").alias("low"), F.max("root").alias("high"))
-            .filter("low <> high")
-            .select("part")
-        )
-        if mixed.isEmpty():
-            break
-        named = durable(named.join(mixed, "part"))
-        most = F.max(F.struct("links", (-F.col("node")).alias("first"), "n", "root")).alias("m")
-        pivots = durable(
-            named.groupBy("part", F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot"))
-            .agg(most)
-            .select("part", (-F.col("m.first")).alias("a"), F.col("m.n").alias("na"), F.col("m.root").alias("ra"))
-        )
-        others = named.select(
-            "part", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb")
-        )
-        found = compared(pivots.join(others, "part").filter("ra <> rb"))
-        left = durable(
-            named.join(
-                pivots.select("part", F.col("a").alias("node")), ["part", "node"], "left_anti"
-            ).select("part", "node", "n")
-        )
-        slots *= MORE
-        if found.isEmpty():
-            continue
-        ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node")))
-        degree = durable(
-            degree.unionByName(ends.groupBy("node").agg(F.count("*").alias("links")))
-            .groupBy("node")
-            .agg(F.sum("links").alias("links"))
-        )
-        root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
-        crossing = found.join(root("a"), "a").join(root("b"), "b").select(
-            F.col("ra").alias("a"), F.col("rb").alias("b")
-        )
-        moved = components(crossing).select(F.col("node").alias("root"), F.col("root").alias("to"))
-        roots = durable(
-            roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        )
-    return durable(nodes.join(roots, "node").select("doc_id", "_file", "_row", "root"))
-
-
-def similar_rows(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
-    similarity: float = 0.8,
-) -> DataFrame:
-    """doc_id, group_id, kept and locator _file, _row of every row; of each group of similar
-    texts the row with the smallest doc_id is kept.
-
-    Of a few rows with a part in common all are compared. In a larger group some rows, those with
-    most links first, are compared with all others that no links join to them, and are then done
-    with; rounds go on, with ever more such rows, until links join all rows that are left.
-    So a group with one row that is like all others takes comparisons by its rows, and only rows
-    that share a part without being similar take more.
-    """
-    text = F.col(text_col).alias("text")
-    rows = located(
-        docs.select(F.col(id_col).alias("doc_id"), text), new_folder(docs.sparkSession, "simhash")
-    )
-    with settings(docs.sparkSession, CLEAN):
-        grouped = _grouped(rows, width, similarity)
-    me = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_file", "_row")
-    best = durable(grouped.groupBy("root").agg(F.min(me).alias("stays")))
-    return grouped.join(best, "root").select(
         "doc_id",
-        F.col("stays.doc_id").alias("group_id"),
-        (me == F.col("stays")).alias("kept"),
-        "_file",
-        "_row",
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        "component_id",
+        *([F.col("root").alias("component"), "carried"] if carry else []),
     )

@@ -16,7 +16,7 @@ order, under names that no other attempt uses, and returns their manifest rows.
 the manifest, so files of lost attempts are never read.
 
 Defined results: null and empty text is the end id alone; a null identifier comes first;
-repeated identifiers are ordered by text, and equal rows are each written; whole texts are
+repeated identifiers are ordered by a hash of the text, and equal rows are each written; whole texts are
 encoded, however long; an empty table gives an empty result. Other columns are ignored.
 """
 
@@ -41,6 +41,8 @@ MAGIC = 0x3143_4144_4E4B_5431
 BLOCK_WORDS = 8
 END_ID = 0
 CACHED = 1_200_000
+#: Characters of the longest piece that is kept; longer ones hardly recur.
+CACHED_CHARS = 32
 READ_TOKENS = 100_000
 LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Pieces that begin and end where the tokenizer's own pre-tokens do: a word, a full stop or
@@ -52,8 +54,8 @@ PIECE = re.compile(
 
 
 class Encoder:
-    """Ids of whole texts, from the tokenizers library. Words recur, so the ids of a piece are
-    kept; the cache is started anew when it has CACHED pieces."""
+    """Ids of whole texts, from the tokenizers library. Words recur, so the ids of a piece of up
+    to CACHED_CHARS characters are kept; the cache is started anew when it has CACHED pieces."""
 
     _open: dict[str | None, Encoder] = {}
 
@@ -89,7 +91,11 @@ class Encoder:
             ):
                 self.known[piece] = array("I", found.ids).tobytes()
         ids = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(ids, pieces)), "<u4") for pieces in split]
+        out = [np.frombuffer(b"".join(map(ids, pieces)), "<u4") for pieces in split]
+        for piece in new:
+            if len(piece) > CACHED_CHARS:
+                del self.known[piece]
+        return out
 
 
 def _padded(data: bytes) -> bytes:

@@ -5,6 +5,7 @@ import pytest
 
 import corpus_pipeline
 from scriptloom.llm.fair_mix import fair_mix
+from test_simhash import fingerprint, roots
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SYLLABLES = {"en": "the ing er th on tion", "de": "ein sch ung keit er ü", "fr": "eau ment tion é ai oi"}
@@ -59,19 +60,10 @@ def test_exact_copies(stages):
 
 def test_near_copies(stages):
     rows = sorted(stages["exact_dedup"], key=lambda r: r[0])
-    sets = [{tuple(r[1].split()[i : i + 5]) for i in range(max(1, len(r[1].split()) - 4))} for r in rows]
-    parent = list(range(len(rows)))
-
-    def find(x):
-        return x if parent[x] == x else find(parent[x])
-
-    for i in range(len(rows)):
-        for j in range(i):
-            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                a, b = sorted((find(i), find(j)))
-                parent[b] = a
-    want = [r for i, r in enumerate(rows) if find(i) == i]
-    assert len(want) < len(rows)
+    prints = [fingerprint(r[1], corpus_pipeline.WIDTH) for r in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2]
+    assert near
+    want = [r for i, (r, g) in enumerate(zip(rows, roots(len(rows), near), strict=True)) if g == i]
     assert sorted(stages["simhash_near_dedup"], key=str) == sorted(want, key=str)
 
 
@@ -98,3 +90,70 @@ def test_packing(stages):
         own = [source[p[2]] for p in pieces if source[p[2]] is not None]
         assert len(own) == len(set(own))
     assert stages["whole run"] == len(stages["best_fit_packing"])
+
+
+def through(spark, folder, df):
+    """Rows after each stage of the pipeline over `df`."""
+    df.write.parquet(f"{folder}/documents.parquet")
+    docs, out = spark.read.parquet(f"{folder}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, str(folder)).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+        if name != "best_fit_packing":
+            assert docs.columns == df.columns
+        out.append(docs.collect())
+    return out
+
+
+def test_empty_table(spark, tmp_path):
+    assert through(spark, tmp_path, spark.createDataFrame([], SCHEMA)) == [[]] * 5
+
+
+def test_no_label_loses_nothing(spark, tmp_path):
+    texts = ["plain words in a row", "ein paar Worte", "1 2 3", "", None, "\u6f22\u5b57"]
+    rows = [(i, t, None, "s", 0) for i, t in enumerate(texts)]
+    out = through(spark, tmp_path, spark.createDataFrame(rows, SCHEMA))
+    assert sorted(r.doc_id for r in out[0]) == [0, 1, 5]
+    assert sorted(r.doc_id for r in out[2]) == [0, 1, 5]
+
+
+def test_text_like_no_labelled_document_goes(spark, tmp_path):
+    words = "the other thing is that all these words are there and then they go on".split()
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(words) for _ in range(60)), "en", "s", 0) for i in range(40)]
+    rows += [(100, " ".join(rng.choice(words) for _ in range(60)), None, "s", 0)]
+    rows += [(101, "zqxj " * 50, None, "s", 0)]
+    out = through(spark, tmp_path, spark.createDataFrame(rows, SCHEMA))
+    assert sorted(r.doc_id for r in out[0]) == [*range(40), 100]
+
+
+def test_null_ids_and_clashing_names(spark, tmp_path):
+    """Columns named like the locators and helpers; null and repeated ids; null sources."""
+    extra = "_file string, _row long, doc string, found string, size long, times int, component long, " \
+        "carried string, stays string, nth int, least double, _metadata string"
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("aeioubcdfg") for _ in range(5))
+    texts = [" ".join(word() for _ in range(80)) for _ in range(6)]
+    more = ("f", 1, "d", "x", 2, 3, 4, "c", "s", 5, 0.5, "m")
+    rows = [(None, t, "en", None, 0, *more) for t in texts * 2] + [(7, t + " " + word(), "en", "s", 0, *more) for t in texts]
+    rows += [(None, None, None, None, None) + (None,) * 12]
+    out = through(spark, tmp_path, spark.createDataFrame(rows, SCHEMA + ", " + extra))
+    assert [len(x) for x in out[:2]] == [18, 12]
+    prints = {fingerprint(r.text) for r in out[1]}
+    near = [(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 2]
+    assert len(out[2]) == len(prints) - len(near)
+    assert {r.text for r in out[3]} == {r.text for r in out[2]} and len(out[4]) >= len(out[2])
+
+
+def test_third_of_ids_null_is_dealt_to_all_groups(spark):
+    from pyspark.sql import functions as F
+
+    from scriptloom.llm.best_fit import best_fit_packing
+
+    docs = spark.range(900).select(
+        F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.lit(10).alias("length"),
+        F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("cluster"),
+    )
+    out = best_fit_packing(docs, capacity=100, rows_per_group=100).collect()
+    groups = Counter(r.bin_id.split("-")[1] for r in out if r.doc_id is None)
+    assert sum(groups.values()) == 300 and len(groups) == 9 and max(groups.values()) < 60

@@ -1,9 +1,10 @@
+import random
 import zlib
 
 import pytest
 
 from scriptloom.llm.common import documents
-from scriptloom.llm.rank_order import identify_language
+from scriptloom.llm.rank_order import Profiles, grams, identify_language, learn, ranked
 
 TEXTS = {
     "en": "the quick brown fox jumps over the lazy dog and then the dog sleeps in the sun",
@@ -38,3 +39,37 @@ def test_held_out_accuracy(spark, folder):
     known = [r for r in out if r.lang_pred != "und"]
     assert len(known) > 150
     assert sum(r.lang == r.lang_pred for r in known) >= 0.98 * len(known)
+
+
+def out_of_place(text, profiles, size):
+    """Distance to each profile by a plain loop."""
+    own = ranked(*grams(text), size).view("int64").tolist()
+    return {
+        name: sum(abs(i - known.index(g)) if g in known else size for i, g in enumerate(own))
+        for name, known in profiles.items()
+    }, len(own)
+
+
+def test_nearest_against_a_plain_loop():
+    rng = random.Random(2)
+    text = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    for size in (5, 40):
+        profiles = {
+            name: ranked(*grams(text(letters, 300)), size).view("int64").tolist()
+            for name, letters in {"a": "abcd ef", "b": "defg h\u00e9", "c": "xyz \u6f22a", "twin": "abcd ef"}.items()
+        }
+        profiles["same"] = profiles["twin"]
+        found = Profiles(profiles, size)
+        for letters in ("abcd ef", "defgh \u00e9", "xyza \u6f22", "qrst ", "ab"):
+            for n in (1, 3, 30, 200):
+                t = text(letters, n) + "a"
+                away, n_own = out_of_place(t, profiles, size)
+                best = min(sorted(away), key=away.get)
+                assert found.nearest(t) == (best, 1 - away[best] / (n_own * size))
+
+
+def test_more_languages_than_the_bound_raise(frame):
+    rows = [(i, TEXTS["en"], f"l{i}", "s") for i in range(1500)]
+    assert len(learn(frame(rows), size=20).names) == 1500
+    with pytest.raises(ValueError, match="max_langs"):
+        learn(frame(rows), max_langs=1000)

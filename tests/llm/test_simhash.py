@@ -5,7 +5,7 @@ import pytest
 import xxhash
 
 from scriptloom.llm.components import components
-from scriptloom.llm.simhash import links, near_duplicates, part_hashes, similar_rows
+from scriptloom.llm.simhash import links, near_duplicates
 
 
 def fingerprint(text, width=3):
@@ -76,69 +76,12 @@ def test_nulls_and_empty(frame):
     out = near_duplicates(frame([(None, None, None, None), (5, "", None, None)])).collect()
     assert [(r.fingerprint, r.component_id) for r in out] == [("0" * 16, 5)] * 2
     assert near_duplicates(frame([])).count() == 0
-    assert similar_rows(frame([])).count() == 0
-
-
-def test_similar_rows(frame):
-    rng = random.Random(11)
-    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
-    shared = [word() for _ in range(60)]
-    rows, family = [], {}
-    for f in range(60):
-        size = rng.choice([12, 30, 100, 400, 1500])
-        base = [word() for _ in range(size)] + (shared if f % 3 == 0 and size > 300 else [])
-        for copy in range(4):
-            words = list(base)
-            if copy:
-                # edits that leave a similarity of 0.9 or so to the first
-                for _ in range(max(0, int(len(words) * 0.01))):
-                    words[rng.randrange(len(words))] = word()
-                if size < 50:
-                    words.append(word())
-            rows.append((f * 10 + copy, " ".join(words), "en", "s"))
-            family[f * 10 + copy] = f
-    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t, *_ in rows}
-    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-    out = similar_rows(frame(rows)).collect()
-    group = {r.doc_id: r.group_id for r in out}
-    for d, g in group.items():
-        assert family[d] == family[g]
-    near = [(a, b) for a in sets for b in sets if a < b and family[a] == family[b] and alike(a, b) >= 0.8]
-    joined = sum(group[a] == group[b] for a, b in near)
-    assert joined >= 0.97 * len(near)
-    kept = [r.doc_id for r in out if r.kept]
-    assert sorted(kept) == sorted(set(group.values()))
-
-
-def test_similar_sets_share_a_part():
-    rng = np.random.default_rng(6)
-    for n in [*range(1, 60), 100, 157, 400, 1500] * 6:
-        pool = rng.integers(0, 1 << 63, 2 * n).astype(np.uint64)
-        for gone in range(int(0.2 * n) + 1):
-            # as many differing shingles as a similarity of 0.8 allows
-            new = int((n - gone) / 0.8 + 1e-9) - n
-            other = np.concatenate([pool[gone:n], pool[n : n + new]])
-            both, either = n - gone, n + new
-            assert both >= 0.8 * either - 1e-9
-            mine, theirs = (part_hashes(np.unique(x), 0.8) for x in (pool[:n], other))
-            assert len(np.intersect1d(mine, theirs))
-
-
-def test_star_of_rows_similar_to_one_only(frame):
-    """Hundreds of copies at 0.82 to one row and 0.70 to each other, with that row in the middle."""
-    rng = random.Random(21)
-    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
-    base = [word() for _ in range(404)]
-    texts = {500: " ".join(base)}
-    for i in range(300):
-        words = list(base)
-        for at in rng.sample(range(4, 400, 5), 8):
-            words[at] = word()
-        texts[i if i < 150 else 501 + i] = " ".join(words)
-    rows = [(d, t, "en", "s") for d, t in sorted(texts.items())]
-    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in texts.items()}
-    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-    assert all(alike(500, d) >= 0.8 for d in texts)
-    assert sum(alike(0, d) >= 0.8 for d in texts) < 30
-    out = similar_rows(frame(rows)).collect()
-    assert {r.group_id for r in out} == {0} and [r.doc_id for r in out if r.kept] == [0]
+
+
+def test_carried_columns_and_components_without_ids(frame):
+    docs = frame([(None, "a b c d", None, None), (None, "a b c d", None, "x"), (None, "q r s t u", None, None)])
+    out = near_duplicates(docs, carry=["text", "source", "node"]).collect()
+    assert [r.component_id for r in out] == [None] * 3
+    named = {(r.carried.text, r.carried.source): r.component for r in out}
+    assert len(named) == 3 and len(set(named.values())) == 2
+    assert named["a b c d", None] == named["a b c d", "x"]

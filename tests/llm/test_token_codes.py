@@ -57,3 +57,16 @@ def test_files_hold_the_stream_in_order(spark, frame):
     names = [open_shard(m.file).name(i) for m in manifest for i in range(m.n_docs)]
     assert names == [str(i) for i in range(40)]
     assert token_codes(frame([])).count() == 0
+
+
+def test_long_pieces_are_not_kept():
+    """Text without blanks is one piece a text; 2,000 such texts leave nothing in the cache."""
+    rng = random.Random(7)
+    signs = [chr(0x4E00 + i) for i in range(3000)]
+    texts = ["".join(rng.choice(signs) for _ in range(200)) for _ in range(2000)]
+    encoder = Encoder(None)
+    want = [e.ids for e in plain().encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in encoder.encode(texts)] == want
+    assert not encoder.known
+    encoder.encode(["common words"])
+    assert encoder.known
