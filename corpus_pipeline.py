@@ -1,7 +1,14 @@
 """The document pipeline: stages in order, each written and read back before the next.
 
-Every stage keeps the columns of `documents`, but for the last, which returns the packed
-pieces. Stage results go to the shared folder.
+Every stage keeps the columns of `documents`, whatever their names, but for the last, which
+returns the packed pieces. Stage results go to the shared folder.
+
+Defined results: text that is null, empty or without a letter goes in the first stage. A table
+without any label loses nothing else there. Of equal texts the row with the largest doc_id
+stays, of near copies the row with the smallest; a null doc_id is smaller than all in the
+first case and greater than all in the second, and ties go by place in the table. Null sources
+are one source to the mix, and conflict with nothing in a bin. An empty table gives an empty
+result. Texts are read whole, however long.
 """
 
 from __future__ import annotations
@@ -14,25 +21,35 @@ from scriptloom.llm.common import durable, new_folder, remove_folder
 from scriptloom.llm.exact_dedup import as_table, exact_dedup, located, sha256
 from scriptloom.llm.fair_mix import fair_mix, word_count
 from scriptloom.llm.rank_order import UNKNOWN, learn, predicted
-from scriptloom.llm.simhash import similar_rows
+from scriptloom.llm.simhash import near_duplicates
 
 CAPACITY = 2048
-LEAST_SCORE = 0.2
+WIDTH = 3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a learned language. Text without a letter goes, and text that is as
-    far from every profile as text in none of the learned languages."""
+    """Documents with a language. Text without a letter goes, and text that is farther from the
+    profile it is nearest to than every document that is labelled with that language and found
+    to be in it. Where nothing could be learned, every text with a letter stays."""
     profiles = learn(docs)
+    if not profiles.names:
+        return docs.filter(F.coalesce(F.regexp_like("text", F.lit(r"\p{L}")), F.lit(False)))
     rows = docs.select(F.struct("*").alias("doc"), predicted(F.col("text"), profiles).alias("found"))
-    known = (F.col("found.lang_pred") != UNKNOWN) & (F.col("found.score") >= LEAST_SCORE)
-    return rows.filter(known).select("doc.*")
+    agreed = docs.select("lang", predicted(F.col("text"), profiles).alias("found")).filter(
+        "found.lang_pred = lang"
+    )
+    least = durable(agreed.groupBy("lang").agg(F.min("found.score").alias("least")))
+    known = rows.filter(F.col("found.lang_pred") != UNKNOWN)
+    kept = known.join(least, known.found.lang_pred == least.lang, "left").filter(
+        "least IS NULL OR found.score >= least"
+    )
+    return kept.select("doc.*")
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The table `docs` without the rows at the locators (_file, _row) of `gone`."""
     rows = located(docs, "")
-    return rows.join(gone.select("_file", "_row"), ["_file", "_row"], "left_anti").select(*docs.columns)
+    return rows.join(gone.select("_file", "_row"), ["_file", "_row"], "left_anti").select("doc.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +59,16 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each group of texts whose five-word shingles are similar by 0.8 or more."""
+    """One of each component of texts whose fingerprints over shingles of WIDTH words link at
+    two or fewer differing bits, the one with the smallest doc_id."""
     docs = as_table(docs, new_folder(spark, "stage"))
-    return _without(docs, durable(similar_rows(docs).filter("NOT kept")))
+    rows = located(docs, "").select("doc.doc_id", "doc.text", "_file", "_row")
+    found = durable(near_duplicates(rows, width=WIDTH, carry=["_file", "_row"]))
+    me = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "carried._file", "carried._row")
+    stays = durable(found.groupBy("component").agg(F.min(me).alias("stays")))
+    # grouped before the join, which Spark can then split where a component has very many rows
+    gone = found.join(stays, "component").filter(me != F.col("stays")).select("carried.*")
+    return _without(docs, durable(gone))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +89,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         rows["size"] == mixed["size"],
     ]
     return rows.join(mixed, same).select(
-        "doc", F.explode(F.sequence(F.lit(1), F.col("times")))
+        "doc", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("nth")
     ).select("doc.*")
 
 
