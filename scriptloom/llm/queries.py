@@ -13,6 +13,7 @@ from scriptloom.llm.exact_dedup import exact_dedup, sha256
 from scriptloom.llm.fair_mix import fair_mix, word_count
 from scriptloom.llm.host_rules import judge_hosts
 from scriptloom.llm.kneser_ney import lm_scores
+from scriptloom.llm.prefix_counts import count_tokens
 from scriptloom.llm.rank_order import identify_language
 from scriptloom.llm.secret_scan import digest, scan_secrets
 from scriptloom.llm.simhash import near_duplicates
@@ -65,6 +66,10 @@ def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix(documents(spark, sf_dir)).drop("source")
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_lm_score": op2_lm_score,
@@ -76,4 +81,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_language_id": op9_language_id,
     "op10_fair_mix": op10_fair_mix,
+    "op11_token_counts": op11_token_counts,
 }

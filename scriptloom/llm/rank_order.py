@@ -163,6 +163,28 @@ def predicted(text: Column, profiles: Profiles) -> Column:
     return identify(text)
 
 
+def least_scores(labelled: DataFrame, profiles: Profiles, *, text_col: str = "text", lang_col: str = "lang") -> dict[str, float]:
+    """For each language the least score of the documents labelled with it and found to be in
+    it: one number for each of at most as many languages as there are profiles."""
+    agreed = F.when(F.col("found.lang_pred") == F.col("lang"), F.col("found.score"))
+    rows = labelled.filter(F.col(lang_col).isNotNull()).select(
+        F.col(lang_col).alias("lang"), predicted(F.col(text_col), profiles).alias("found")
+    )
+    least = rows.groupBy("lang").agg(F.min(agreed).alias("least")).filter("least IS NOT NULL")
+    return {r.lang: r.least for r in least.collect()}
+
+
+def accepted(text: Column, profiles: Profiles, least: dict[str, float]) -> Column:
+    """Whether a text is in a learned language, with a score of at least its language's least."""
+
+    @F.arrow_udf("boolean")
+    def accept(texts: pa.Array) -> pa.Array:
+        found = [profiles.nearest(t) for t in texts.to_pylist()]
+        return pa.array([lang != UNKNOWN and score >= least.get(lang, 0.0) for lang, score in found], pa.bool_())
+
+    return accept(text)
+
+
 def identify_language(
     docs: DataFrame, profiles: Profiles | None = None, *, id_col: str = "doc_id",
     text_col: str = "text", lang_col: str = "lang", hold_out: int = 5,
