@@ -20,7 +20,7 @@ from scriptloom.llm.best_fit import best_fit_packing
 from scriptloom.llm.common import durable, new_folder, remove_folder
 from scriptloom.llm.exact_dedup import as_table, exact_dedup, located, sha256
 from scriptloom.llm.fair_mix import fair_mix, word_count
-from scriptloom.llm.rank_order import UNKNOWN, learn, predicted
+from scriptloom.llm.rank_order import accepted, learn, least_scores
 from scriptloom.llm.simhash import near_duplicates
 
 CAPACITY = 2048
@@ -34,16 +34,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     profiles = learn(docs)
     if not profiles.names:
         return docs.filter(F.coalesce(F.regexp_like("text", F.lit(r"\p{L}")), F.lit(False)))
-    rows = docs.select(F.struct("*").alias("doc"), predicted(F.col("text"), profiles).alias("found"))
-    agreed = docs.select("lang", predicted(F.col("text"), profiles).alias("found")).filter(
-        "found.lang_pred = lang"
-    )
-    least = durable(agreed.groupBy("lang").agg(F.min("found.score").alias("least")))
-    known = rows.filter(F.col("found.lang_pred") != UNKNOWN)
-    kept = known.join(least, known.found.lang_pred == least.lang, "left").filter(
-        "least IS NULL OR found.score >= least"
-    )
-    return kept.select("doc.*")
+    return docs.filter(accepted(F.col("text"), profiles, least_scores(docs, profiles)))
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
