@@ -58,15 +58,15 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
 
 
 #: Rows that a task hands to Python at once; texts may be long.
-BATCH_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+BATCH_ROWS = 1000
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """`df` computed once and kept in the shared folder, so that a lost executor costs
     nothing and later steps do not run the work again. Spark removes the files when the
     frame is gone, if spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     shared_folder(df.sparkSession)
-    with settings(df.sparkSession, BATCH_ROWS):
+    with settings(df.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch_rows)}):
         return df.checkpoint()
 
 

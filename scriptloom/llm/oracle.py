@@ -88,8 +88,32 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken
 FROM q LEFT JOIN k USING (place, nth)"""
 
+OP13 = """
+WITH v AS (
+    SELECT row_number() OVER () AS nth, vec_id,
+        CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), FALSE))) = len(embedding)
+), s AS (
+    SELECT a.nth AS anchor, a.vec_id AS anchor_id, b.nth, b.vec_id, a.label = b.label AS same,
+        CAST(coalesce(list_sum(list_transform(range(1, least(len(a.q), len(b.q)) + 1),
+            lambda i: a.q[i] * b.q[i])), 0) AS BIGINT) AS score
+    FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.nth <> b.nth
+), p AS (
+    SELECT * FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST, nth) <= 5
+)
+SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER found AS INTEGER) AS rank,
+    s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON p.anchor = s.anchor AND NOT s.same
+    AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+WINDOW found AS (PARTITION BY p.anchor, p.nth ORDER BY s.score DESC, s.vec_id NULLS LAST, s.nth)
+QUALIFY row_number() OVER found <= 5"""
+
 ORACLE: dict[str, str] = {
     "op1_exact_dedup": OP1,
     "op5_host_rules": OP5,
     "op10_fair_mix": OP10,
+    "op13_hard_negatives": OP13,
 }

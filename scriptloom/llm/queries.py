@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptloom.llm.best_fit import best_fit_packing
+from scriptloom.llm.bond_search import hard_negatives
 from scriptloom.llm.common import documents
 from scriptloom.llm.exact_dedup import exact_dedup, sha256
 from scriptloom.llm.fair_mix import fair_mix, word_count
@@ -70,6 +71,16 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some labels moved on; every hundredth vector is an anchor."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
+        F.col("vec_id").alias("id"),
+        F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        F.col("embedding").alias("vector"),
+    )
+    return hard_negatives(vectors, F.col("id") % 100 == 0, scale=256)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_lm_score": op2_lm_score,
@@ -82,4 +93,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_fair_mix": op10_fair_mix,
     "op11_token_counts": op11_token_counts,
+    "op13_hard_negatives": op13_hard_negatives,
 }
