@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scriptloom.llm.best_fit import best_fit_packing
 from scriptloom.llm.bond_search import hard_negatives
+from scriptloom.llm.collocations import collocations
 from scriptloom.llm.common import documents
 from scriptloom.llm.exact_dedup import exact_dedup, sha256
 from scriptloom.llm.fair_mix import fair_mix, word_count
@@ -71,6 +72,10 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Some labels moved on; every hundredth vector is an anchor."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
@@ -93,5 +98,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_fair_mix": op10_fair_mix,
     "op11_token_counts": op11_token_counts,
+    "op12_collocations": op12_collocations,
     "op13_hard_negatives": op13_hard_negatives,
 }
