@@ -22,22 +22,17 @@ def map_chunks(
 
     The key includes the chunk number, so the chunks of one large script spread over all
     tasks. Chunks without a conversion stay, with NULLs. Two conversions of one chunk raise;
-    `checked=False` leaves that to the caller and saves the grouping. Conversions are checked
-    before the join, so a column that nobody asks for is not shuffled.
+    `checked=False` leaves that to the caller and saves the grouping. The verdict is found
+    before the grouping, so where only figures are asked for a boolean travels and no text.
     """
-    said = conv.select(*keys, F.col(converted_col).alias("converted"))
-    if checked:
-        one = F.when(F.count("*") == 1, F.first("converted")).otherwise(
-            F.raise_error(F.lit("more than one conversion of a chunk"))
-        )
-        said = said.groupBy(*keys).agg(one.alias("converted"))
-    said = said.withColumns(
-        {
-            "is_valid": F.expr(lint.is_valid("converted")),
-            "comments": F.expr(lint.comments("converted")),
-            "annotated": F.expr(lint.annotated("converted")),
-        }
+    said = conv.select(*keys, F.col(converted_col).alias("converted")).withColumns(
+        {"is_valid": F.expr(lint.is_valid("converted")), "comments": F.expr(lint.comments("converted"))}
     )
+    if checked:
+        error = F.raise_error(F.lit("more than one conversion of a chunk"))
+        only = lambda c: F.when(F.count("*") == 1, F.first(c)).otherwise(error).alias(c)
+        said = said.groupBy(*keys).agg(only("converted"), only("is_valid"), only("comments"))
+    said = said.withColumn("annotated", F.expr(lint.annotated("converted")))
     return orig.withColumnRenamed(original_col, "original").join(said, list(keys), "left")
 
 

@@ -12,20 +12,25 @@ from pyspark.sql import functions as F
 # A key is hot when it holds more than one row in HOT_SHARE; so at most HOT_SHARE keys are.
 HOT_SHARE = 1000
 SALTS = 64
+# A key is cut into spans of its order of about 1/HOT_SHARE of all rows, and of SPAN_ROWS rows
+# at least; bounds of spans are quantiles of SPAN_SAMPLE numbers a span.
 SPAN_ROWS = 4096
+SPAN_SAMPLE = 64
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def hot_keys(df: DataFrame, keys: Sequence[str], counted: bool = False) -> DataFrame:
     """Keys with more than 1/HOT_SHARE of all rows. By counting there are fewer than
     HOT_SHARE of them whatever the data, which is the size bound for broadcasting them.
-    The count is combined on the map side, so the hot key itself costs nothing here.
+    The count is combined on the map side, so the hot key itself costs nothing here. With
+    `counted` the key's rows `_n` and all rows `_total` come along.
 
     NULL keys are left out, as every join would do. The filter is the one that a join adds by
     itself, so counts and total have one plan and share one exchange."""
     keyed = df.select(*keys).filter(reduce(and_, [F.col(key).isNotNull() for key in keys]))
     counts = keyed.groupBy(*keys).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n").alias("_total")).scalar()
-    return counts.filter(F.col("_n") * HOT_SHARE > total).select(*keys)
+    hot = counts.filter(F.col("_n") * HOT_SHARE > total)
+    return hot.withColumn("_total", total) if counted else hot.select(*keys)
 
 
 def join_unique(
@@ -60,6 +65,51 @@ def join_unique(
     return joined.select(*left.columns, *added)
 
 
+def present(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """`df`, which raises where one of the columns is NULL; a filter that a join adds meets it too."""
+    types = dict(df.dtypes)
+
+    def checked(c: str) -> Column:
+        error = F.raise_error(F.lit(f"{c} is NULL: the row has no place")).cast(types[c])
+        return F.coalesce(F.col(c), error)
+
+    return df.withColumns({c: checked(c) for c in columns})
+
+
+def spanned(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """`df` with `_span`: the place of the row's span among those of its key, and NULL for a key
+    that is not hot and so is a single span.
+
+    The bounds of a hot key's spans are quantiles of its numbers, however they lie. They come
+    from the numbers whose hash a modulus picks, so they are the same however often Spark works
+    them out. There are fewer than 2 * HOT_SHARE bounds over all keys, which is the size bound
+    of the broadcast.
+    """
+    keys = list(keys)
+    hot = hot_keys(df, keys, counted=True).filter(F.col("_n") > SPAN_ROWS)
+    share = F.ceil(F.col("_n") * HOT_SHARE / F.col("_total"))
+    sized = hot.withColumn("_spans", F.least(share, F.ceil(F.col("_n") / SPAN_ROWS)))
+    each = F.greatest(F.floor(F.col("_n") / (F.col("_spans") * SPAN_SAMPLE)), F.lit(1))
+    picked = (
+        df.select(*keys, order)
+        .join(F.broadcast(sized), keys)
+        .filter(F.pmod(F.xxhash64(order), each) == 0)
+        .groupBy(*keys, "_spans")
+        .agg(F.sort_array(F.collect_list(order)).alias("_seen"))
+    )
+    quantile = F.transform(
+        F.sequence(F.lit(1).cast("long"), F.col("_spans")),
+        lambda i: F.get("_seen", F.floor(F.size("_seen") * (i - 1) / F.col("_spans")).cast("int")),
+    )
+    bounds = picked.select(*keys, quantile.alias("_bounds"))
+    behind = F.size(F.filter("_bounds", lambda b: b <= F.col(order)))
+    return (
+        df.join(F.broadcast(bounds), keys, "left")
+        .withColumn("_span", F.when(F.col("_bounds").isNotNull(), behind))
+        .drop("_bounds")
+    )
+
+
 def numbered(
     df: DataFrame, keys: Sequence[str], order: str, number_as: str, total_as: str | None = None
 ) -> DataFrame:
@@ -68,35 +118,62 @@ def numbered(
     key or number raises, as such a row has no place.
 
     A window over the key alone puts a hot key into one task. Here the window runs over
-    (key, span of order values); a second, small window over one row per span gives each span
-    its offset. A key's spans are as wide as SPAN_ROWS rows on average, worked out from the
-    key's least and greatest number and its rows, however far the numbers lie apart.
+    (key, span of order values), and hot keys get the rows of their earlier spans added, from
+    one row per span. So rows are shuffled once.
     """
     keys = list(keys)
-    types = dict(df.dtypes)
-
-    def present(c: str) -> Column:
-        """The column, which raises where it is NULL; a filter that a join adds meets it too."""
-        error = F.raise_error(F.lit(f"{c} is NULL: the row has no place")).cast(types[c])
-        return F.coalesce(F.col(c), error)
-
-    df = df.withColumns({c: present(c) for c in [*keys, order]})
-    width = F.greatest((F.max(order) - F.min(order) + 1) * SPAN_ROWS / F.count("*"), F.lit(1.0))
-    ranges = df.groupBy(*keys).agg(F.min(order).alias("_least"), width.alias("_width"))
-    spanned = join_unique(df, ranges, keys, "left", [order]).withColumn(
-        "_span", F.floor((F.col(order) - F.col("_least")) / F.col("_width"))
-    )
-    spans = spanned.groupBy(*keys, "_span").agg(F.count("*").alias("_rows"))
+    rows = spanned(present(df, [*keys, order]), keys, order)
     within = Window.partitionBy(*keys).orderBy("_span")
-    offsets = spans.select(
-        *keys,
-        "_span",
-        (F.sum("_rows").over(within) - F.col("_rows")).alias("_before"),
-        F.sum("_rows").over(Window.partitionBy(*keys)).alias("_total"),
+    offsets = (
+        rows.filter("_span IS NOT NULL")
+        .groupBy(*keys, "_span")
+        .agg(F.count("*").alias("_rows"))
+        .select(
+            *keys,
+            "_span",
+            (F.sum("_rows").over(within) - F.col("_rows")).alias("_before"),
+            F.sum("_rows").over(Window.partitionBy(*keys)).alias("_all"),
+        )
     )
-    nth = F.row_number().over(Window.partitionBy(*keys, "_span").orderBy(order))
-    joined = spanned.withColumn("_place", nth).join(offsets, [*keys, "_span"])
-    out = joined.withColumn(number_as, F.col("_before") + F.col("_place"))
+    span = Window.partitionBy(*keys, "_span")
+    placed = rows.withColumn("_place", F.row_number().over(span.orderBy(order)))
+    if total_as:
+        placed = placed.withColumn("_here", F.count("*").over(span))
+    joined = placed.join(F.broadcast(offsets), [*keys, "_span"], "left")
+    out = joined.withColumn(number_as, F.coalesce("_before", F.lit(0)) + F.col("_place"))
     if total_as:
-        out = out.withColumn(total_as, F.col("_total"))
-    return out.drop("_least", "_width", "_span", "_place", "_before", "_total")
+        out = out.withColumn(total_as, F.coalesce("_all", "_here"))
+    return out.drop("_span", "_place", "_here", "_before", "_all")
+
+
+def running(
+    df: DataFrame, keys: Sequence[str], order: str, step: Column, sum_as: str, least_as: str | None = None
+) -> DataFrame:
+    """Sum of `step` over the key's rows up to and with each row, in the order of the integer
+    column `order`; with `least_as` also the least such sum so far.
+
+    A span of rows counts as a pair, its sum and its least running sum, and pairs of spans one
+    after another combine to one of that kind. So windows run within spans, and rows of hot
+    keys get what the spans before theirs come to, from one row per span.
+    """
+    keys = list(keys)
+    rows = spanned(present(df, [*keys, order]), keys, order).withColumn("_step", step)
+    span = Window.partitionBy(*keys, "_span").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_sum", F.sum("_step").over(span))
+    if least_as:
+        rows = rows.withColumn("_low", F.min("_sum").over(span))
+    earlier = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = (
+        rows.filter("_span IS NOT NULL")
+        .groupBy(*keys, "_span")
+        .agg(F.sum("_step").alias("_all"), *([F.min("_low").alias("_lowest")] if least_as else []))
+        .withColumn("_before", F.coalesce(F.sum("_all").over(earlier), F.lit(0)))
+    )
+    if least_as:
+        spans = spans.withColumn("_low_before", F.min(F.col("_before") + F.col("_lowest")).over(earlier))
+    joined = rows.join(F.broadcast(spans.drop("_all", "_lowest")), [*keys, "_span"], "left")
+    before = F.coalesce("_before", F.lit(0))
+    out = joined.withColumn(sum_as, before + F.col("_sum"))
+    if least_as:
+        out = out.withColumn(least_as, F.least("_low_before", before + F.col("_low")))
+    return out.drop("_span", "_step", "_sum", "_low", "_before", "_low_before")

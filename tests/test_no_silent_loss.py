@@ -1,10 +1,12 @@
 """NULLs, unknown names, doubled rows and far-apart numbers: nothing is lost without a word."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 import scriptloom as sl
-from scriptloom.operators.keyed import hot_keys, numbered
+from scriptloom.operators.keyed import hot_keys, numbered, running, spanned
 from scriptloom.plans import flows
 
 
@@ -155,3 +157,51 @@ def test_messages_and_white_space_stand_alone(spark):
     assert sl.annotate(df.filter("script_id = 3")).first().annotated.startswith(
         "# ✅ PySpark code passed static validation.\n"
     )
+
+
+def test_one_far_number_leaves_a_hot_key_split(spark):
+    """Numbers 1 to a million and one of 10^15: no span holds more than a small share."""
+    near = spark.range(1, 1_000_001).select(F.lit("hot").alias("k"), F.col("id").alias("n"), F.lit("t").alias("text"))
+    df = near.union(spark.createDataFrame([("hot", 10**15, "t"), ("other", 5, "t")], near.schema))
+    spans = spanned(df, ["k"], "n").groupBy("k", "_span").count().collect()
+    assert max(r["count"] for r in spans) < 0.01 * 1_000_002 and len(spans) > 200
+    assert [r for r in spans if r.k == "other"][0]._span is None
+    out = numbered(df, ["k"], "n", "place", "total")
+    wrong = out.filter((F.col("k") == "hot") & (F.col("place") != F.least("n", F.lit(1_000_001))))
+    assert wrong.count() == 0 and out.count() == 1_000_002
+    assert {(r.k, r.total) for r in out.select("k", "total").distinct().collect()} == {("hot", 1_000_001), ("other", 1)}
+
+
+def test_numbering_shuffles_rows_once(spark, tmp_path):
+    spark.range(50_000).selectExpr("id % 3 AS k", "id * id AS n", "uuid() AS text").write.parquet(str(tmp_path / "t"))
+    out = numbered(spark.read.parquet(str(tmp_path / "t")), ["k"], "n", "place")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # text is in no shuffle but the one in front of the window, and in no broadcast
+    assert plan.count("text#") and sum("text" in line and "Exchange" in line for line in plan.splitlines()) <= 1
+    rows = sorted(out.collect(), key=lambda r: (r.k, r.n))
+    assert [r.place for r in rows if r.k == 1] == list(range(1, 16_668))
+
+
+@pytest.mark.parametrize("spread", [1, 10**6])
+def test_running_sums_and_their_least(spark, spread):
+    rng = random.Random(3)
+    steps = [("hot", i * spread, rng.choice([-1, 0, 1])) for i in range(30_000)]
+    steps += [(f"k{i % 40}", i, rng.choice([-1, 1])) for i in range(2_000)]
+    df = spark.createDataFrame(steps, "k string, n long, step int").repartition(5)
+    got = {(r.k, r.n): (r.total, r.least) for r in running(df, ["k"], "n", F.col("step"), "total", "least").collect()}
+    state = {}
+    for k, n, step in sorted(steps):
+        total, least = state.get(k, (0, 10**9))
+        state[k] = (total + step, min(least, total + step))
+        assert got[k, n] == state[k]
+    assert len(got) == len(steps)
+
+
+def test_summary_of_a_mapping_moves_no_text(spark, tmp_path):
+    orig = spark.range(100).selectExpr("'s' AS script_id", "id AS chunk_no", "'a' AS code", "'X' AS block_type", "1 AS line_count")
+    spark.range(100).selectExpr("'s' AS script_id", "id AS chunk_no", "'df.select(1)' AS converted").write.parquet(str(tmp_path / "c"))
+    out = sl.audit_summary(sl.map_chunks(orig, spark.read.parquet(str(tmp_path / "c"))))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    grouped = [x for x in plan.splitlines() if "Aggregate" in x or "Exchange" in x]
+    assert grouped and not any("converted" in x for x in grouped) and "SortAggregate" not in plan
+    assert out.filter("level = 3").first().n_chunks == 100
