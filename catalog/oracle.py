@@ -543,3 +543,62 @@ ORACLE["group_by"] = """SELECT l_returnflag, l_linestatus, count(*) AS n,
     CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity,
     CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS price,
     min(l_discount) AS least_discount FROM lineitem GROUP BY ALL"""
+
+
+# --- scripts as rows of lines --------------------------------------------------------
+
+
+def big_scripts(script: str) -> str:
+    """(script_id, line_no, line, pos) of the customers' scripts in larger ones."""
+    return f"""{SCRIPTS}, {unnested('bl', 'src', f"string_split(source, {NL})", 'line')},
+    big AS (SELECT {script} AS script_id, CAST(script_id AS BIGINT) * 100000 + pos AS line_no, line FROM bl)"""
+
+
+def big_documents(cut: str) -> str:
+    return f"""dl AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS pos, unnest(ls) AS line
+        FROM (SELECT doc_id, string_split(text, {cut}) AS ls FROM documents)),
+    big AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 0 ELSE doc_id % 61 + 1 END AS script_id,
+        doc_id * 1000000 + pos AS line_no, line FROM dl WHERE {strip('line')} <> '')"""
+
+
+def depths_of_rows(out: str) -> str:
+    delta = "(contains(upper(line), 'BEGIN')::INT - contains(upper(line), 'END')::INT)"
+    w = "OVER (PARTITION BY script_id ORDER BY line_no)"
+    return f"""{out}_s AS (SELECT *, sum({delta}) {w} AS s FROM big),
+    {out} AS (SELECT script_id, line_no, line, {int_(f's - least(0, min(s) {w})')} AS depth FROM {out}_s)"""
+
+
+def folded(source: str, value: str, held: str, starts: str, group: str) -> str:
+    """Group number of each row by a recursive query over places: `held` is the state after a
+    row with value v and state h before it, `starts` says whether it begins a group."""
+    return f"""v AS (SELECT script_id, line_no, {value} AS v,
+        row_number() OVER (PARTITION BY script_id ORDER BY line_no) AS pos FROM {source}),
+    r AS (SELECT script_id, line_no, pos, (SELECT {held} FROM (SELECT 0 AS h)) AS h, 1 AS g FROM v WHERE pos = 1
+        UNION ALL
+        SELECT q.script_id, q.line_no, q.pos, {held}, r.g + {starts}::INT
+        FROM r JOIN v q ON q.script_id = r.script_id AND q.pos = r.pos + 1)
+    SELECT script_id, line_no, CAST(g AS BIGINT) AS {group} FROM r"""
+
+
+ORACLE["depth_of_lines"] = f"""{WITH}{big_scripts('CAST(0 AS BIGINT)')}, {depths_of_rows('o')}
+    SELECT script_id, line_no, line, depth FROM o"""
+ORACLE["top_level_of_lines"] = f"""{WITH}{big_scripts('CAST(0 AS BIGINT)')}, {depths_of_rows('o')}
+    SELECT script_id, line_no, CAST(1 + coalesce(sum((depth = 0 AND {strip('line')} = '/')::INT) OVER (
+        PARTITION BY script_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+        AS BIGINT) AS block_no FROM o"""
+ORACLE["safe_chunks_of_lines"] = (
+    f"{WITH}{big_scripts('CAST(script_id AS BIGINT) % 83')}, {depths_of_rows('o')}, "
+    + folded(
+        "o",
+        f"(depth = 0 AND regexp_matches({rstrip('line')}, '[;/]$'))::INT",
+        "CASE WHEN v = 1 AND h + 1 >= 25 THEN 0 ELSE h + 1 END",
+        "(h = 0)",
+        "chunk_no",
+    )
+)
+ORACLE["batch_rows"] = f"{WITH}{big_documents(NL)}, " + folded(
+    "big", "length(line)", "CASE WHEN v >= 180 OR h + v > 300 THEN 0 ELSE h + v END", "(h = 0 OR v >= 180)", "batch_no"
+)
+ORACLE["size_runs"] = f"{WITH}{big_documents(chr(39) + '.' + chr(39))}, " + folded(
+    "big", "length(line)", "CASE WHEN h + v + 1 > 1200 THEN 0 ELSE h + v + 1 END", "(h = 0)", "run_no"
+)

@@ -253,6 +253,59 @@ def with_progress_anew(spark, sf_dir):
     return sl.with_progress(chunks).drop("code")
 
 
+# --- scripts as rows of lines --------------------------------------------------------
+
+
+def _script_lines(spark, sf_dir, script):
+    """Lines of the customers' scripts as rows of larger scripts, which `script` names by the
+    customer's number."""
+    lines = sl.split_lines(inputs.scripts(spark, sf_dir), 1)
+    place = F.col("script_id").cast("long") * 100_000 + F.col("chunk_no")
+    return lines.select(
+        script(F.col("script_id").cast("long")).alias("script_id"), place.alias("line_no"), F.col("code").alias("line")
+    )
+
+
+@query
+def depth_of_lines(spark, sf_dir):
+    """All scripts as one."""
+    lines = _script_lines(spark, sf_dir, lambda number: F.lit(0).cast("long"))
+    return sl.depth_of_lines(lines)
+
+
+@query
+def top_level_of_lines(spark, sf_dir):
+    """All scripts as one."""
+    lines = _script_lines(spark, sf_dir, lambda number: F.lit(0).cast("long"))
+    return sl.top_level_of_lines(lines).drop("line")
+
+
+@query
+def safe_chunks_of_lines(spark, sf_dir):
+    lines = _script_lines(spark, sf_dir, lambda number: number % 83)
+    return sl.safe_chunks_of_lines(lines, 25).drop("line")
+
+
+def _document_rows(spark, sf_dir, cut):
+    """Parts of the documents as rows of larger scripts, a third of them of one script."""
+    parts = F.posexplode(F.split("text", cut)).alias("pos", "line")
+    number = F.col("doc_id")
+    script = F.when(number % 3 == 0, F.lit(0).cast("long")).otherwise(number % 61 + 1)
+    docs = inputs.table(spark, sf_dir, "documents").select(number, script.alias("script_id"), "text")
+    place = number * 1_000_000 + F.col("pos")
+    return docs.select("doc_id", "script_id", parts).select("script_id", place.alias("line_no"), "line")
+
+
+@query
+def batch_rows(spark, sf_dir):
+    return sl.batch_rows(_document_rows(spark, sf_dir, "\n")).drop("line")
+
+
+@query
+def size_runs(spark, sf_dir):
+    return sl.size_runs(_document_rows(spark, sf_dir, "[.]")).drop("line")
+
+
 # --- static checks -------------------------------------------------------------------
 
 

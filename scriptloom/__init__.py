@@ -10,6 +10,13 @@ from scriptloom.operators.audit import (
     rule_summary,
 )
 from scriptloom.operators.incremental import extend_seen, only_new
+from scriptloom.operators.lines import (
+    batch_rows,
+    depth_of_lines,
+    safe_chunks_of_lines,
+    size_runs,
+    top_level_of_lines,
+)
 from scriptloom.operators.lint import (
     annotate,
     findings,
@@ -58,10 +65,12 @@ __all__ = [
     "assemble",
     "audit_summary",
     "audit_table",
+    "batch_rows",
     "batch_small",
     "chunk_scripts",
     "count_where",
     "dedup_chunks",
+    "depth_of_lines",
     "drop_blank",
     "drop_comment_only",
     "extend_seen",
@@ -74,12 +83,14 @@ __all__ = [
     "normalize_newlines",
     "only_new",
     "read_mapping_csv",
-    "read_written_scripts",
     "read_scripts",
+    "read_written_scripts",
     "rechunk_by_size",
     "rule_summary",
     "run_available",
+    "safe_chunks_of_lines",
     "scripts_from",
+    "size_runs",
     "split_before_begin",
     "split_delimiter",
     "split_lines",
@@ -91,6 +102,7 @@ __all__ = [
     "stream_scripts",
     "strip_comments",
     "structured_chunks",
+    "top_level_of_lines",
     "update_if",
     "update_where",
     "with_block_type",

@@ -266,7 +266,7 @@ def text_lines(text: str) -> str:
     )
 
 
-def _depth_step(line: str) -> str:
+def depth_step(line: str) -> str:
     """Change of depth: one up if the line holds BEGIN, one down if it holds END."""
     return (
         f"(CAST(contains(upper({line}), 'BEGIN') AS int)"
@@ -274,13 +274,13 @@ def _depth_step(line: str) -> str:
     )
 
 
-def _next_depth(depth: str, step: str) -> str:
+def next_depth(depth: str, step: str) -> str:
     return f"greatest({depth} + {step}, 0)"
 
 
 def depths(lines: str) -> str:
     """Nesting depth after each line, never below 0."""
-    return scan(each(lines, _depth_step, "line"), "0", _next_depth, "int")
+    return scan(each(lines, depth_step, "line"), "0", next_depth, "int")
 
 
 def lines_with_depth(text: str) -> str:
@@ -344,10 +344,10 @@ def by_safe_lines(block: str, max_lines: int = fixed.MAX_LINES_PER_CHUNK) -> str
 
     def traits(line: str) -> str:
         ends = f"CAST(substring({rstrip(line)}, -1, 1) IN (';', '/') AS int)"
-        return f"(2 * {_depth_step(line)} + {ends})"
+        return f"(2 * {depth_step(line)} + {ends})"
 
     def next_state(state: str, line: str) -> str:
-        depth = _next_depth(f"shiftright({state}, 32)", f"shiftright({line}, 1)")
+        depth = next_depth(f"shiftright({state}, 32)", f"shiftright({line}, 1)")
         grown = f"{state} % {held} + 1"
         full = f"{depth} = 0 AND {line} & 1 = 1 AND {grown} >= {max_lines}"
         return f"({depth} * {held} + {case(full, '0', grown)})"

@@ -110,6 +110,11 @@ def spanned(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     )
 
 
+def in_spans(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """`df` with `_span`, as it is if it has one, so that several scans share the spans."""
+    return df if "_span" in df.columns else spanned(present(df, [*keys, order]), keys, order)
+
+
 def numbered(
     df: DataFrame, keys: Sequence[str], order: str, number_as: str, total_as: str | None = None
 ) -> DataFrame:
@@ -122,7 +127,7 @@ def numbered(
     one row per span. So rows are shuffled once.
     """
     keys = list(keys)
-    rows = spanned(present(df, [*keys, order]), keys, order)
+    rows = in_spans(df, keys, order)
     within = Window.partitionBy(*keys).orderBy("_span")
     offsets = (
         rows.filter("_span IS NOT NULL")
@@ -143,7 +148,7 @@ def numbered(
     out = joined.withColumn(number_as, F.coalesce("_before", F.lit(0)) + F.col("_place"))
     if total_as:
         out = out.withColumn(total_as, F.coalesce("_all", "_here"))
-    return out.drop("_span", "_place", "_here", "_before", "_all")
+    return out.select(*df.columns, number_as, *([total_as] if total_as else []))
 
 
 def running(
@@ -157,7 +162,7 @@ def running(
     keys get what the spans before theirs come to, from one row per span.
     """
     keys = list(keys)
-    rows = spanned(present(df, [*keys, order]), keys, order).withColumn("_step", step)
+    rows = in_spans(df, keys, order).withColumn("_step", step)
     span = Window.partitionBy(*keys, "_span").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_sum", F.sum("_step").over(span))
     if least_as:
@@ -176,4 +181,4 @@ def running(
     out = joined.withColumn(sum_as, before + F.col("_sum"))
     if least_as:
         out = out.withColumn(least_as, F.least("_low_before", before + F.col("_low")))
-    return out.drop("_span", "_step", "_sum", "_low", "_before", "_low_before")
+    return out.select(*df.columns, sum_as, *([least_as] if least_as else []))
