@@ -33,6 +33,9 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     # else each state partition reserves megabytes of disk for logs it does not fill
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    # an executor's state partitions share this memory, however many they are
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
 }
 ARRIVAL = "doc_id {id}, digest string, file string, row long"
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from scriptloom.llm.common import remainder
 
 UNKNOWN = "und"
+AT_ONCE = 200
 RESULT = "struct<lang_pred: string, score: double>"
 
 
@@ -149,12 +150,18 @@ def learn(
     return Profiles(profiles, size)
 
 
+def _each_text(texts: pa.Array) -> Iterator[str | None]:
+    """The texts of a batch, some at a time, as texts may be long."""
+    for at in range(0, len(texts), AT_ONCE):
+        yield from texts.slice(at, AT_ONCE).to_pylist()
+
+
 def predicted(text: Column, profiles: Profiles) -> Column:
     """Struct of lang_pred and score for a text column."""
 
     @F.arrow_udf(RESULT)
     def identify(texts: pa.Array) -> pa.Array:
-        found = [profiles.nearest(t) for t in texts.to_pylist()]
+        found = [profiles.nearest(t) for t in _each_text(texts)]
         return pa.StructArray.from_arrays(
             [pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())],
             ["lang_pred", "score"],
@@ -179,7 +186,7 @@ def accepted(text: Column, profiles: Profiles, least: dict[str, float]) -> Colum
 
     @F.arrow_udf("boolean")
     def accept(texts: pa.Array) -> pa.Array:
-        found = [profiles.nearest(t) for t in texts.to_pylist()]
+        found = [profiles.nearest(t) for t in _each_text(texts)]
         return pa.array([lang != UNKNOWN and score >= least.get(lang, 0.0) for lang, score in found], pa.bool_())
 
     return accept(text)
