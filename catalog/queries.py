@@ -11,7 +11,7 @@ import scriptloom as sl
 from catalog import inputs
 from scriptloom.functions import lint, splitting
 from scriptloom.plans import flows
-from scriptloom.session import scratch, work_folder
+from scriptloom.session import kept, scratch
 from scriptloom.sources.scripts import scripts_from
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,14 +26,6 @@ def query(fn: Query) -> Query:
 # --- sources and sinks ---------------------------------------------------------------
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """`df` computed and kept in the shared folder, so that its inputs can go."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(work_folder(spark, "kept"))
-    return df.checkpoint()
-
-
 def _landed(scripts: DataFrame, folder: str) -> None:
     """Script files: one folder per customer, one text file in each. Tasks move their own files
     into place, as there are many."""

@@ -8,7 +8,10 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptloom.sources.listing import can_list, list_files, read_files
+
 FILE_GLOB = "*.{[sS][qQ][lL],[tT][xX][tT]}"
+FILE_NAME = r"(?i)\.(sql|txt)\z"
 
 
 def content_hash(text: Column) -> Column:
@@ -36,14 +39,22 @@ def from_files(files: DataFrame, on_invalid: str) -> DataFrame:
     ).select("*", content_hash(F.col("source")).alias("content_hash"))
 
 
-def read_scripts(spark: SparkSession, path: str, *, on_invalid: str = "raise") -> DataFrame:
+def read_scripts(
+    spark: SparkSession, path: str, *, on_invalid: str = "raise", listing: str = "executors"
+) -> DataFrame:
     """One row per `.sql` or `.txt` file below `path`, suffix in any case, read whole as UTF-8;
     an empty file is an empty script. (A stream of script files does not see empty ones.)
 
-    Spark packs small files into tasks by size; a file is never split, as a script is one
-    cell. Bytes that are not UTF-8 raise, or are repaired with `on_invalid="repair"`, or
-    repaired and flagged with `on_invalid="flag"`.
+    Folders are listed and files read by executors, a level of the tree at a time, when this is
+    called. `listing="driver"` leaves both to Spark's binary source, whose listing is the
+    driver's; so does a path that is a pattern or in a store that only Spark opens. A file
+    is never split, as a script is one cell. Bytes that are not UTF-8 raise, or are repaired
+    with `on_invalid="repair"`, or repaired and flagged with `on_invalid="flag"`.
     """
+    if listing not in ("executors", "driver"):
+        raise ValueError("listing is 'executors' or 'driver'")
+    if listing == "executors" and can_list(path):
+        return from_files(read_files(list_files(spark, path, FILE_NAME)), on_invalid)
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", FILE_GLOB)

@@ -21,6 +21,10 @@ CSV_OPTIONS = {
 }
 
 
+FOLDER_CHARS = 128 << 20
+MOST_FOLDERS = 100_000
+
+
 def write_mapping_csv(
     df: DataFrame, path: str, *, mode: str = "errorifexists", rows_per_file: int = 20_000
 ) -> None:
@@ -51,10 +55,12 @@ def read_mapping_csv(spark: SparkSession, path: str, schema: StructType | str) -
 
 def write_scripts(
     df: DataFrame, path: str, *, code_col: str = "code", id_col: str = "script_id",
-    mode: str = "errorifexists", folders: int = 256, folder_per_script: bool = False,
+    mode: str = "errorifexists", folders: int | None = None, folder_per_script: bool = False,
 ) -> None:
     """The text documents of scripts, as rows of id and text in at most `folders` folders by a
-    hash of the id, which `read_written_scripts` reads back.
+    hash of the id, which `read_written_scripts` reads back. Without a number there are as many
+    folders as the characters of all scripts ask for, FOLDER_CHARS each, MOST_FOLDERS at most;
+    they are added up in a pass of its own. Each folder is written by one task.
 
     `folder_per_script=True` gives each script a folder with one plain text file instead, for
     tools that want files; the driver lists and commits every folder, so that is for
@@ -64,6 +70,9 @@ def write_scripts(
     if folder_per_script:
         rows.write.mode(mode).partitionBy("script_id").text(path)
         return
+    if folders is None:
+        chars = rows.agg(F.coalesce(F.sum(F.length("value")), F.lit(0))).first()[0]
+        folders = max(1, min(MOST_FOLDERS, -(-chars // FOLDER_CHARS)))
     folder = F.pmod(F.xxhash64("script_id"), F.lit(folders))
     rows.withColumn("folder", folder).repartition(folders, "folder").write.mode(mode).option(
         "maxRecordsPerFile", 100_000

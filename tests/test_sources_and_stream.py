@@ -136,3 +136,56 @@ def test_scratch_leaves_nothing(spark, tmp_path):
         assert spark.read.parquet(folder).count() == 3
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(folder)
+
+
+def tree(root):
+    """Files at several depths: empty, hidden, oddly named, and other than scripts."""
+    files = {
+        "a.sql": "one", "x/b.TXT": "", "x/y/z/c.Sql": "drei é", "x/y/d é%20 +.sql": "", "p=1/e.txt": "5",
+        "_p=2/f.sql": "6", "_tmp/g.sql": "no", ".h/i.sql": "no", "j.sql.bak": "no", "_k.sql": "no", "x/l.py": "no",
+    }
+    for name, text in files.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    (root / "nothing").mkdir()
+    return {f"file:{root}/{n}": t for n, t in files.items() if t != "no"}
+
+
+@pytest.mark.parametrize("form", ["{}", "{}/", "file:{}", "file://{}"])
+def test_executors_list_what_the_driver_lists(spark, tmp_path, form):
+    want = tree(tmp_path)
+    for listing in ("executors", "driver"):
+        got = sl.read_scripts(spark, form.format(tmp_path), listing=listing).collect()
+        assert {r.path: r.source for r in got} == want and len(got) == len(want)
+        assert all(r.script_id == r.path and len(r.content_hash) == 64 for r in got)
+
+
+def test_no_path_in_the_plan(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"script{i}.sql").write_text(f"text {i}" if i % 3 else "")
+    scripts = sl.read_scripts(spark, str(tmp_path))
+    plan = scripts._jdf.queryExecution().toString()
+    assert "script1" not in plan and "LocalTableScan" not in plan and "LocalRelation" not in plan
+    assert scripts.count() == 300 and scripts.filter("source = ''").count() == 100
+    assert scripts.rdd.getNumPartitions() >= 8
+
+
+def test_one_file_a_pattern_and_nothing(spark, tmp_path):
+    tree(tmp_path)
+    assert [r.source for r in sl.read_scripts(spark, str(tmp_path / "a.sql")).collect()] == ["one"]
+    assert {r.source for r in sl.read_scripts(spark, f"{tmp_path}/x/*").collect()} == {"", "drei é"}
+    (tmp_path / "empty").mkdir()
+    assert sl.read_scripts(spark, str(tmp_path / "empty")).count() == 0
+    with pytest.raises(FileNotFoundError):
+        sl.read_scripts(spark, str(tmp_path / "absent"))
+
+
+def test_folders_by_size(spark, tmp_path, monkeypatch):
+    from scriptloom.sources import sinks
+
+    df = spark.range(200).selectExpr("CAST(id AS string) AS script_id", "repeat('x', 50) AS code")
+    for chars, most in ((1 << 20, 1), (1000, 10)):
+        monkeypatch.setattr(sinks, "FOLDER_CHARS", chars)
+        sl.write_scripts(df, str(tmp_path / str(chars)))
+        assert len([f for f in (tmp_path / str(chars)).iterdir() if f.is_dir()]) == most
+        assert sl.read_written_scripts(spark, str(tmp_path / str(chars))).count() == 200
