@@ -602,3 +602,8 @@ ORACLE["batch_rows"] = f"{WITH}{big_documents(NL)}, " + folded(
 ORACLE["size_runs"] = f"{WITH}{big_documents(chr(39) + '.' + chr(39))}, " + folded(
     "big", "length(line)", "CASE WHEN h + v + 1 > 1200 THEN 0 ELSE h + v + 1 END", "(h = 0)", "run_no"
 )
+ORACLE["audit_summary_batches"] = ORACLE["audit_summary"]
+ORACLE["rule_summary_batches"] = ORACLE["rule_summary"]
+SEEN_BATCHES = "seen AS (SELECT text FROM documents WHERE lang IN ('fr', 'de') AND doc_id % 2 = 0)"
+ORACLE["only_new_to_table"] = ORACLE["only_new"].replace(SEEN, SEEN_BATCHES)
+ORACLE["only_new_to_table_first"] = ORACLE["only_new_first"].replace(SEEN, SEEN_BATCHES)

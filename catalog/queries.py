@@ -374,6 +374,29 @@ def audit_summary(spark, sf_dir):
     )
 
 
+@query
+def audit_summary_batches(spark, sf_dir):
+    """Three batches of scripts, each summed up on its own and one of them twice; the whole is
+    read from what was kept of them."""
+    scripts, said = inputs.scripts(spark, sf_dir), inputs.conversions(spark, sf_dir)
+    with scratch(spark, "partials") as folder:
+        for batch in (0, 1, 2, 1):
+            mine = F.col("script_id").cast("long") % 3 == batch
+            mapping = flows.block_mapping(scripts.filter(mine), said.filter(mine))
+            sl.keep_partials(sl.audit_partials(mapping), folder, str(batch))
+        return kept(sl.summary_of(spark.read.parquet(folder)))
+
+
+@query
+def rule_summary_batches(spark, sf_dir):
+    code = inputs.code(spark, sf_dir)
+    with scratch(spark, "partials") as folder:
+        for batch in (0, 1, 2):
+            found = sl.findings(code.filter(F.col("chunk_no") % 3 == batch))
+            sl.keep_partials(sl.rule_partials(found), folder, str(batch))
+        return kept(sl.rules_of(spark.read.parquet(folder)))
+
+
 @query
 def rule_summary(spark, sf_dir):
     return sl.rule_summary(sl.findings(inputs.code(spark, sf_dir)))
@@ -434,6 +457,36 @@ def only_new_first(spark, sf_dir):
     return new.select("script_id", "content_hash")
 
 
+def _with_seen_table(spark, sf_dir, run):
+    """What `run` makes of the documents and a table of seen hashes, which goes afterwards."""
+    docs = inputs.table(spark, sf_dir, "documents")
+    with scratch(spark, "seen") as folder:
+        table = "seen_" + folder.rsplit("-", 1)[1]
+        sl.create_seen(spark, table, buckets=16, path=folder)
+        try:
+            for lang in ("fr", "fr", "de"):
+                batch = docs.filter((F.col("lang") == lang) & (F.col("doc_id") % 2 == 0))
+                sl.add_seen(scripts_from(batch, "doc_id", "text"), table)
+            return kept(run(inputs.documents(spark, sf_dir), table))
+        finally:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+@query
+def only_new_to_table(spark, sf_dir):
+    """Three batches have been seen, one of them twice."""
+    new = lambda docs, table: sl.only_new_to(docs, table).select("script_id", "content_hash")
+    return _with_seen_table(spark, sf_dir, new)
+
+
+@query
+def only_new_to_table_first(spark, sf_dir):
+    return _with_seen_table(
+        spark, sf_dir,
+        lambda docs, table: sl.only_new_to(docs, table, within_batch="first").select("script_id", "content_hash"),
+    )
+
+
 @query
 def extend_seen(spark, sf_dir):
     docs = inputs.table(spark, sf_dir, "documents")

@@ -2,14 +2,19 @@
 
 from scriptloom.operators.audit import (
     assemble,
+    audit_partials,
     audit_summary,
     audit_table,
     dedup_chunks,
+    keep_partials,
     label_copies,
     map_chunks,
+    rule_partials,
     rule_summary,
+    rules_of,
+    summary_of,
 )
-from scriptloom.operators.incremental import extend_seen, only_new
+from scriptloom.operators.incremental import add_seen, create_seen, extend_seen, only_new, only_new_to
 from scriptloom.operators.lines import (
     batch_rows,
     depth_of_lines,
@@ -61,20 +66,24 @@ from scriptloom.sources.sinks import (
 from scriptloom.streaming.ingest import new_scripts, run_available, stream_chunks, stream_scripts
 
 __all__ = [
+    "add_seen",
     "annotate",
     "assemble",
+    "audit_partials",
     "audit_summary",
     "audit_table",
     "batch_rows",
     "batch_small",
     "chunk_scripts",
     "count_where",
+    "create_seen",
     "dedup_chunks",
     "depth_of_lines",
     "drop_blank",
     "drop_comment_only",
     "extend_seen",
     "findings",
+    "keep_partials",
     "label_copies",
     "line_depth",
     "lookup",
@@ -82,11 +91,14 @@ __all__ = [
     "new_scripts",
     "normalize_newlines",
     "only_new",
+    "only_new_to",
     "read_mapping_csv",
     "read_scripts",
     "read_written_scripts",
     "rechunk_by_size",
+    "rule_partials",
     "rule_summary",
+    "rules_of",
     "run_available",
     "safe_chunks_of_lines",
     "scripts_from",
@@ -102,6 +114,7 @@ __all__ = [
     "stream_scripts",
     "strip_comments",
     "structured_chunks",
+    "summary_of",
     "top_level_of_lines",
     "update_if",
     "update_where",

@@ -49,15 +49,20 @@ def audit_table(df: DataFrame) -> DataFrame:
     )
 
 
-def audit_summary(df: DataFrame) -> DataFrame:
-    """Chunks, valid chunks and lines per script and block type, with totals per script
-    and overall. The rollup runs over the grouped rows, not over every chunk thrice."""
-    grouped = df.groupBy("script_id", "block_type").agg(
+def audit_partials(df: DataFrame) -> DataFrame:
+    """Chunks, valid chunks and lines per script and block type of a batch: rows that are added
+    up with those of other batches, however a script's chunks are dealt to batches."""
+    return df.groupBy("script_id", "block_type").agg(
         F.count("*").alias("c"),
         F.count(F.when(F.col("is_valid"), 1)).alias("v"),
         F.sum("line_count").alias("l"),
     )
-    return grouped.rollup("script_id", "block_type").agg(
+
+
+def summary_of(partials: DataFrame) -> DataFrame:
+    """The summary of all batches whose `audit_partials` are given. The rollup runs over the
+    grouped rows, not over every chunk thrice."""
+    return partials.rollup("script_id", "block_type").agg(
         F.grouping_id().cast("int").alias("level"),
         F.sum("c").alias("n_chunks"),
         F.sum("v").alias("n_valid"),
@@ -65,6 +70,30 @@ def audit_summary(df: DataFrame) -> DataFrame:
     )
 
 
+def audit_summary(df: DataFrame) -> DataFrame:
+    """Chunks, valid chunks and lines per script and block type, with totals per script
+    and overall."""
+    return summary_of(audit_partials(df))
+
+
+def keep_partials(partials: DataFrame, path: str, batch: str) -> None:
+    """Keep the partial figures of a batch beside those of others; a batch that is kept again
+    replaces itself."""
+    partials.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def rule_partials(findings: DataFrame, *, keys: Sequence[str] = CHUNK_KEYS) -> DataFrame:
+    """Findings and distinct chunks per rule of a batch; a chunk is in one batch. The first
+    grouping is by rule and chunk, so a rule that most chunks break is not counted in one task."""
+    per_chunk = findings.groupBy("rule", *keys).agg(F.count("*").alias("n"))
+    return per_chunk.groupBy("rule").agg(F.sum("n").alias("f"), F.count("*").alias("c"))
+
+
+def rules_of(partials: DataFrame) -> DataFrame:
+    """The rule summary of all batches whose `rule_partials` are given."""
+    return partials.groupBy("rule").agg(F.sum("f").alias("n_findings"), F.sum("c").alias("n_chunks"))
+
+
 def rule_summary(findings: DataFrame, *, keys: Sequence[str] = CHUNK_KEYS) -> DataFrame:
     """Findings and distinct chunks per rule. The first grouping is by rule and chunk, so
     a rule that most chunks break is not counted in one task."""

@@ -1,5 +1,7 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import scriptloom as sl
 from scriptloom.operators.keyed import hot_keys, join_unique
 from scriptloom.plans import flows
@@ -128,3 +130,50 @@ def test_only_new(spark, scripts):
     known = sl.extend_seen(seen, batch)
     assert known.count() == 3 and sl.only_new(batch, known).count() == 0
     assert flows.structured_new(batch, seen).count() == 3
+
+
+def test_summaries_of_batches(spark, tmp_path):
+    rows = [(f"s{i % 5}", i, "XY"[i % 2], i % 3 == 0, i) for i in range(60)]
+    df = spark.createDataFrame(rows, "script_id string, chunk_no int, block_type string, is_valid boolean, line_count int")
+    for batch in ("a", "b", "c", "b"):
+        mine = df.filter(F.element_at(F.array(*map(F.lit, "abc")), F.col("chunk_no") % 3 + 1) == batch)
+        sl.keep_partials(sl.audit_partials(mine), str(tmp_path), batch)
+    kept = spark.read.parquet(str(tmp_path))
+    assert kept.count() <= 30
+    whole = sl.audit_summary(df)
+    assert sorted(map(str, sl.summary_of(kept).collect())) == sorted(map(str, whole.collect()))
+
+
+def test_seen_table(spark, tmp_path, scripts):
+    """Batches one after another: as with frames, and the table is never shuffled."""
+    name = "seen_hashes_of_test"
+    sl.create_seen(spark, name, buckets=8, path=str(tmp_path / "seen"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        hot = ["same text"] * 500
+        batches = [["a", "b", "b", None], [*hot, "b", "c", None], [*hot, "a"], []]
+        seen = spark.createDataFrame([], "content_hash string")
+        for texts in batches:
+            df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+            batch = sl.scripts_from(df, "id", "t")
+            for within in ("all", "first"):
+                new = sl.only_new_to(batch, name, within_batch=within)
+                want = sl.only_new(batch, seen, within_batch=within)
+                assert sorted(map(tuple, new.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+                assert new.columns == batch.columns
+            plan = new._jdf.queryExecution().executedPlan().toString()
+            sl.add_seen(batch, name)
+            sl.add_seen(batch, name)
+            seen = sl.extend_seen(seen, batch).filter("content_hash IS NOT NULL")
+            assert spark.table(name).count() == seen.count()
+        # an exchange below a scan of the table would stand between the two in the plan's text
+        at = next(i for i, x in enumerate(plan.splitlines()) if "seen_hashes_of_test" in x)
+        above = [x for x in plan.splitlines()[:at] if x.index(x.strip(" :+-")[0]) < plan.splitlines()[at].index("FileScan")]
+        nearest = [x for x in above[::-1] if "Join" in x or "Exchange" in x][0]
+        assert "Join" in nearest
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
