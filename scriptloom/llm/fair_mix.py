@@ -69,13 +69,13 @@ def source_targets(
 def fair_mix(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     source_col: str = "source", weights: Sequence[int] = (1, 2, 3), max_repeats: int = 3,
-    rows_per_bucket: int = 4096,
 ) -> DataFrame:
     """One row per row of `docs`: doc_id, source, size, source_size, target, taken.
 
-    The running sum within a source is taken in buckets of its shuffle order, about
-    `rows_per_bucket` rows each, plus the sums of the buckets ahead, so a source that holds
-    a third of all rows spreads over tasks. Text is read once, for the sizes.
+    The running sum within a source is taken in slices, which are ranges of sources and their
+    shuffle order down to the single row, plus the sums of the source's slices ahead. So a
+    source, or an identifier, that holds a third of all rows spreads over tasks. Text is read
+    once, for the sizes.
     """
     sizes = durable(
         docs.select(
@@ -83,28 +83,27 @@ def fair_mix(
             F.col(source_col).alias("source"),
             word_count(F.col(text_col)).alias("size"),
         )
-    )
+    ).withColumn("row", F.monotonically_increasing_id())
     targets = durable(
         source_targets(sizes, weights=weights, max_repeats=max_repeats)
     ).withColumnRenamed("source", "own")
     shuffle = F.md5(id_text("doc_id").cast("binary"))
-    place01 = F.conv(F.substring("shuffle", 1, 8), 16, 10).cast("double") / 2.0**32
-    buckets = F.ceil(F.col("source_rows") / rows_per_bucket)
-    queued = (
+    own_turn = ["place", "shuffle", "doc_id", "size", "row"]
+    queued = durable(
         sizes.join(targets, F.col("source").eqNullSafe(F.col("own")))
         .drop("own")
         .withColumn("shuffle", shuffle)
-        .withColumn("bucket", F.floor(place01 * buckets))
+        .repartitionByRange(*own_turn)
+        .withColumn("slice", F.spark_partition_id())
     )
-    sums = queued.groupBy("place", "bucket").agg(F.sum("size").alias("words"))
-    before = F.sum("words").over(Window.partitionBy("place").orderBy("bucket")) - F.col("words")
-    ahead = durable(sums.select("place", "bucket", before.alias("before")))
-    order = Window.partitionBy("place", "bucket").orderBy("shuffle", "doc_id", "size")
+    sums = queued.groupBy("place", "slice").agg(F.sum("size").alias("words"))
+    before = F.sum("words").over(Window.partitionBy("place").orderBy("slice")) - F.col("words")
+    ahead = durable(sums.select("place", "slice", before.alias("before")))
+    order = Window.partitionBy("place", "slice").orderBy(*own_turn[1:])
     running = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
     placed = (
-        queued.withColumn("nth", F.row_number().over(order))
-        .withColumn("within", running)
-        .join(ahead, ["place", "bucket"])
+        queued.withColumn("within", running)
+        .join(ahead, ["place", "slice"])
         .withColumn("upto", F.col("before") + F.col("within"))
     )
     starts = (F.col("copy") * F.col("source_size") + F.col("upto") - F.col("size")) <= F.col(
@@ -120,7 +119,7 @@ def fair_mix(
         .withColumn("finish", F.when(F.col("starts"), finish))
         .withColumn("words", F.when(F.col("starts"), F.col("size")).otherwise(F.lit(0)))
     )
-    turn = [F.col("finish").asc_nulls_last(), "place", "shuffle", "doc_id", "size", "copy"]
+    turn = [F.col("finish").asc_nulls_last(), "place", "shuffle", "doc_id", "size", "copy", "row"]
     in_order = durable(
         copies.repartitionByRange(*turn)
         .sortWithinPartitions(*turn)
@@ -134,7 +133,7 @@ def fair_mix(
         Window.partitionBy("part").orderBy(*turn).rowsBetween(Window.unboundedPreceding, 0)
     )
     taken = F.col("starts") & (F.col("earlier") + F.col("reach") <= F.col("budget"))
-    rows = ["place", "bucket", "nth", "doc_id", "source", "size", "source_size", "target"]
+    rows = ["row", "doc_id", "source", "size", "source_size", "target"]
     return (
         in_order.withColumn("reach", reach)
         .join(offsets, "part")

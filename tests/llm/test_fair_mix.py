@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from scriptloom.llm.common import settings
 from scriptloom.llm.fair_mix import fair_mix
 
 
@@ -48,12 +49,15 @@ def brute(rows, weights=(1, 2, 3), times=3):
     return size, total, target, taken
 
 
-@pytest.mark.parametrize("bucket", [4096, 3])
-def test_brute_force(frame, edge_rows, bucket):
+@pytest.mark.parametrize("slices", [1, 23])
+def test_brute_force(spark, frame, edge_rows, slices):
     rng = random.Random(1)
     rows = edge_rows + [(500 + i, "w " * rng.randrange(40), "en", rng.choice("abcde")) for i in range(120)]
+    # a third of all rows share an identifier, or have none
+    rows += [(77, "w " * rng.randrange(9), "en", "a") for _ in range(60)] + [(None, "v " * i, "en", "b") for i in range(40)]
     size, total, target, taken = brute(rows)
-    out = fair_mix(frame(rows), rows_per_bucket=bucket).collect()
+    with settings(spark, {"spark.sql.shuffle.partitions": str(slices), "spark.sql.adaptive.enabled": "false"}):
+        out = fair_mix(frame(rows)).collect()
     got = sorted(((r.doc_id, r.source, r["size"], r.source_size, r.taken) for r in out), key=str)
     want = sorted(((r[0], r[3], z, total[r[3]], t) for r, z, t in zip(rows, size, taken, strict=True)), key=str)
     assert got == want
