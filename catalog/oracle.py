@@ -607,3 +607,4 @@ ORACLE["rule_summary_batches"] = ORACLE["rule_summary"]
 SEEN_BATCHES = "seen AS (SELECT text FROM documents WHERE lang IN ('fr', 'de') AND doc_id % 2 = 0)"
 ORACLE["only_new_to_table"] = ORACLE["only_new"].replace(SEEN, SEEN_BATCHES)
 ORACLE["only_new_to_table_first"] = ORACLE["only_new_first"].replace(SEEN, SEEN_BATCHES)
+ORACLE["write_packed_scripts"] = ORACLE["write_script_files"]

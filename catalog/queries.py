@@ -68,6 +68,15 @@ def write_script_files(spark, sf_dir):
         return kept(sl.read_written_scripts(spark, folder))
 
 
+@query
+def write_packed_scripts(spark, sf_dir):
+    """Documents from their lines, in a few pack files."""
+    lines = sl.split_lines(inputs.documents(spark, sf_dir), 1)
+    with scratch(spark, "packs") as folder:
+        manifest = sl.write_packs(lines, folder, pack_bytes=1 << 20)
+        return kept(sl.read_packed_scripts(manifest))
+
+
 # --- text ----------------------------------------------------------------------------
 
 

@@ -56,6 +56,7 @@ from scriptloom.operators.text import (
     normalize_newlines,
     strip_comments,
 )
+from scriptloom.sources.packs import read_manifest, read_packed_scripts, read_pieces, write_packs
 from scriptloom.sources.scripts import read_scripts, scripts_from
 from scriptloom.sources.sinks import (
     read_mapping_csv,
@@ -92,7 +93,10 @@ __all__ = [
     "normalize_newlines",
     "only_new",
     "only_new_to",
+    "read_manifest",
     "read_mapping_csv",
+    "read_packed_scripts",
+    "read_pieces",
     "read_scripts",
     "read_written_scripts",
     "rechunk_by_size",
@@ -126,5 +130,6 @@ __all__ = [
     "with_rule_flags",
     "with_verdict",
     "write_mapping_csv",
+    "write_packs",
     "write_scripts",
 ]
