@@ -1,9 +1,14 @@
-"""Repeated passages, found with a logarithmic family of sparse suffix arrays.
+"""Repeated passages, found with a logarithmic family of hashed anchor indexes.
+
+This is a logarithmic index family as suffix arrays would form it, but its entries are in the
+order of a hash, not of suffix bytes: a scan against a level finds entries with equal hashes of
+K bytes, and match lengths come from the exact comparison after it. A suffix array of every byte
+would take 8 bytes a byte of text.
 
 Every string of `length` bytes has an anchor: the position in it whose K bytes have the least
 hash, the leftmost of equals. Equal strings have their anchors at the same place, so it is
 enough to index the suffixes that begin at anchors, about one in 70. A batch of files gets a
-suffix array of its anchors, in the order of the hash of their first K bytes and dealt to shards by
+sorted array of its anchors, in the order of the hash of their first K bytes and dealt to shards by
 that hash. It is merge-scanned with the levels that are there; anchors of either side that
 share K bytes with another are candidates. Then the batch and the newest levels of equal size
 are merged into one level, so there are logarithmically many.
