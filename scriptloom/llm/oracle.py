@@ -88,6 +88,36 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken
 FROM q LEFT JOIN k USING (place, nth)"""
 
+OP12 = r"""
+WITH p AS (
+    SELECT lang, unnest(list_transform(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\x0A-\x0D]'), lambda x: regexp_extract_all(x, '[^\x20\x09]+'))) AS w
+    FROM (SELECT coalesce(lang, 'und') AS lang, text FROM documents)
+), g AS (
+    SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase, any_value(w[i:i + size - 1]) AS words,
+        count(*) AS f
+    FROM p, range(1, 5) AS s(size), unnest(range(1, len(w) - size + 2)) AS t(i) GROUP BY ALL
+), c AS (
+    SELECT * FROM g WHERE size > 1 AND f >= 30
+), scored AS (
+    SELECT c.*, x.f AS l, y.f AS r, k, CAST(2000000 * CAST(c.f AS HUGEINT) // (x.f + y.f) AS BIGINT) AS score
+    FROM c, unnest(range(1, size)) AS t(k)
+    JOIN g x ON x.lang = c.lang AND x.phrase = array_to_string(c.words[1:k], ' ')
+    JOIN g y ON y.lang = c.lang AND y.phrase = array_to_string(c.words[k + 1:], ' ')
+    QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1
+), inner_parts AS (
+    SELECT lang, array_to_string(words[i:i + m - 1], ' ') AS phrase, max(f) AS longer
+    FROM c, range(2, 4) AS s(m), unnest(range(1, size - m + 2)) AS t(i) WHERE m < size GROUP BY ALL
+), n AS (
+    SELECT lang, sum(f) AS n FROM g WHERE size = 1 GROUP BY lang
+)
+SELECT lang, row_number() OVER best AS rank, phrase, f AS a, l, r, CAST(n AS BIGINT) AS n, score
+FROM scored LEFT JOIN inner_parts USING (lang, phrase) JOIN n USING (lang)
+WHERE longer IS NULL OR 100 * CAST(longer AS HUGEINT) < 80 * CAST(f AS HUGEINT)
+WINDOW best AS (PARTITION BY lang ORDER BY score DESC, f DESC, phrase)
+QUALIFY row_number() OVER best <= 2000"""
+
 OP13 = """
 WITH v AS (
     SELECT row_number() OVER () AS nth, vec_id,
@@ -115,5 +145,6 @@ ORACLE: dict[str, str] = {
     "op1_exact_dedup": OP1,
     "op5_host_rules": OP5,
     "op10_fair_mix": OP10,
+    "op12_collocations": OP12,
     "op13_hard_negatives": OP13,
 }
