@@ -474,6 +474,13 @@ ORACLE["label_copies"] = f"""{WITH}{DOCS}, {line_chunks('src', 'c', 1)},
         FROM c WINDOW w AS (PARTITION BY code ORDER BY script_id, pos))
     SELECT script_id, chunk_no, content_hash, first_script_id, first_chunk_no, n_copies
     FROM k WHERE nth > 1"""
+ORACLE["dedup_documents"] = f"""{WITH}{DOCS} SELECT min(script_id) AS script_id, source,
+    sha256(source) AS content_hash, count(*) AS n_copies FROM src WHERE source IS NOT NULL GROUP BY source
+    UNION ALL SELECT script_id, NULL, NULL, 1 FROM src WHERE source IS NULL"""
+ORACLE["label_document_copies"] = f"""{WITH}{DOCS},
+    k AS (SELECT script_id, sha256(source) AS content_hash, min(script_id) OVER w AS first_script_id,
+        count(*) OVER w AS n_copies FROM src WHERE source IS NOT NULL WINDOW w AS (PARTITION BY source))
+    SELECT * FROM k WHERE script_id <> first_script_id"""
 ORACLE["assemble"] = f"{WITH}{DOCS} SELECT script_id, source AS code FROM src"
 ORACLE["final_scripts"] = f"""WITH {CODE}, w AS (SELECT script_id,
     string_agg(code, {NL} ORDER BY chunk_no) AS whole FROM code GROUP BY script_id)

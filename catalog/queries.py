@@ -430,6 +430,19 @@ def label_copies(spark, sf_dir):
     return sl.label_copies(lines).drop("code")
 
 
+@query
+def dedup_documents(spark, sf_dir):
+    """Whole texts are long: rows are fetched once it is known which stay."""
+    documents = inputs.documents(spark, sf_dir).select("script_id", "source")
+    return sl.dedup_chunks(documents, code_col="source", order=["script_id"], late=True)
+
+
+@query
+def label_document_copies(spark, sf_dir):
+    documents = inputs.documents(spark, sf_dir).select("script_id", "source")
+    return sl.label_copies(documents, code_col="source", order=["script_id"], late=True).drop("source")
+
+
 @query
 def assemble(spark, sf_dir):
     return sl.assemble(sl.split_lines(inputs.documents(spark, sf_dir), 3))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptloom.functions import lint
-from scriptloom.operators.keyed import SALTS
+from scriptloom.operators.keyed import SALTS, may_match
 from scriptloom.operators.lint import CHUNK_KEYS
 
 RUN = 1000
@@ -126,22 +126,60 @@ def first_of_each(df: DataFrame, hash_col: str, order: Sequence[str], count_as:
 
 
 def dedup_chunks(
-    df: DataFrame, *, code_col: str = "code", order: Sequence[str] = CHUNK_KEYS
+    df: DataFrame, *, code_col: str = "code", order: Sequence[str] = CHUNK_KEYS, late: bool = False
 ) -> DataFrame:
     """First row of each content, with the number of copies. A NULL code is no content: such
-    rows all stay."""
-    return first_of_each(_hashed(df, code_col), "content_hash", order, "n_copies")
+    rows all stay. Of first rows with the same place one stays.
+
+    `late=True` is for long texts, such as whole documents: rows are then fetched by their place
+    after only hashes and places were grouped, so hardly any text is shuffled or sorted; in
+    return `df` is worked out three times. Texts of a few lines are cheaper grouped at once.
+    """
+    hashed = _hashed(df, code_col)
+    if late:
+        return _first_fetched_late(hashed, "content_hash", order, "n_copies")
+    return first_of_each(hashed, "content_hash", order, "n_copies")
+
+
+def _first_fetched_late(hashed: DataFrame, hash_col: str, order: Sequence[str], count_as: str) -> DataFrame:
+    """What `first_of_each` gives, where a row is fetched by its place in `order`.
+
+    A bitmap of the repeated hashes lets rows without a copy go out as they are, and a second
+    one, of the first places, drops later copies. What is shuffled with its text are the first
+    rows of repeated contents, and the few rows that a bitmap wrongly lets through; the join
+    decides on those.
+    """
+    key = [hash_col, "_place"]
+    placed = hashed.withColumn("_place", F.struct(*order))
+    firsts = (
+        placed.filter(F.col(hash_col).isNotNull())
+        .groupBy(hash_col)
+        .agg(F.min("_place").alias("_place"), F.count("*").alias("_n"))
+    )
+    repeated = firsts.filter("_n > 1").select(hash_col)
+    told = may_match(placed, repeated, [hash_col])
+    doubted = may_match(firsts, repeated, [hash_col]).filter("_may").drop("_may")
+    maybe_first = may_match(told.filter("_may").drop("_may"), doubted.select(*key), key).filter("_may")
+    first = (
+        maybe_first.join(doubted, key)
+        .withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy("_place")))
+        .filter("_nth = 1")
+        .select(*hashed.columns, F.col("_n").alias(count_as))
+    )
+    alone = told.filter("NOT _may").select(*hashed.columns, F.lit(1).cast("long").alias(count_as))
+    return alone.unionByName(first)
 
 
 def label_copies(
-    df: DataFrame, *, code_col: str = "code", order: Sequence[str] = CHUNK_KEYS
+    df: DataFrame, *, code_col: str = "code", order: Sequence[str] = CHUNK_KEYS, late: bool = False
 ) -> DataFrame:
     """Every row that repeats the content of an earlier row, with the place of the first. A
     NULL code repeats nothing.
 
     First row and count are worked out per (hash, salt), merged per hash from at most
     SALTS partial rows, and joined back by (hash, salt), so the copies of one content are
-    never in one task together.
+    never in one task together. With `late=True`, for long texts, a bitmap of the repeated
+    hashes holds back the rows that have no copy, so their text is not shuffled.
     """
     salt = F.pmod(F.xxhash64(*order), F.lit(SALTS)).cast("int")
     hashed = _hashed(df, code_col).withColumn("_salt", salt)
@@ -158,6 +196,8 @@ def label_copies(
         )
         .filter("n_copies > 1")
     )
+    if late:
+        hashed = may_match(hashed, labels.select("content_hash"), ["content_hash"]).filter("_may")
     return (
         hashed.join(labels, ["content_hash", "_salt"])
         .filter(F.struct(*order) != F.col("_first"))

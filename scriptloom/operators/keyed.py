@@ -16,6 +16,8 @@ SALTS = 64
 # at least; bounds of spans are quantiles of SPAN_SAMPLE numbers a span.
 SPAN_ROWS = 4096
 SPAN_SAMPLE = 64
+# Bits of the bitmap that says which keys a row may be one of: 4 MB whatever the data.
+BITMAP_BITS = 25
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], counted: bool = False) -> DataFrame:
@@ -182,3 +184,25 @@ def running(
     if least_as:
         out = out.withColumn(least_as, F.least("_low_before", before + F.col("_low")))
     return out.select(*df.columns, sum_as, *([least_as] if least_as else []))
+
+
+def may_match(rows: DataFrame, members: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The rows of `rows` with a flag `_may`: false only where `members` surely lacks the row's
+    values of `columns`; a few others are let through, the more the fuller the bitmap is.
+
+    The members' hashes set bits of a bitmap of 2^BITMAP_BITS bits, which is broadcast in pieces
+    of 4 KB: its size does not grow with the data, so no row is shuffled to find this out.
+    """
+    at = F.pmod(F.xxhash64(*columns), F.lit(1 << BITMAP_BITS))
+    bit = F.bitmap_bit_position(at)
+    bitmap = members.groupBy(F.bitmap_bucket_number(at).alias("_piece")).agg(
+        F.bitmap_construct_agg(bit).alias("_bitmap")
+    )
+    byte = F.conv(F.hex(F.substring("_bitmap", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1
+    return (
+        rows.withColumn("_piece", F.bitmap_bucket_number(at))
+        .join(F.broadcast(bitmap), "_piece", "left")
+        .withColumn("_may", F.coalesce(is_set, F.lit(False)))
+        .select(*rows.columns, "_may")
+    )

@@ -1,8 +1,10 @@
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 import scriptloom as sl
+from scriptloom.operators import keyed
 from scriptloom.operators.keyed import hot_keys, join_unique
 from scriptloom.plans import flows
 
@@ -63,18 +65,21 @@ def copies(spark):
     )
 
 
-def test_dedup_and_copies(spark):
+@pytest.mark.parametrize("late", [False, True])
+@pytest.mark.parametrize("bits", [15, 25])
+def test_dedup_and_copies(spark, monkeypatch, late, bits):
+    monkeypatch.setattr(keyed, "BITMAP_BITS", bits)
     rows = copies(spark).collect()
     first = {}
     for r in sorted(rows, key=lambda r: (r.script_id, r.chunk_no)):
         first.setdefault(r.code, (r.script_id, r.chunk_no))
     n = Counter(r.code for r in rows)
 
-    kept = sl.dedup_chunks(copies(spark)).collect()
+    kept = sl.dedup_chunks(copies(spark), late=late).collect()
     assert {r.code: (r.script_id, r.chunk_no) for r in kept} == first
     assert {r.code: r.n_copies for r in kept} == dict(n)
 
-    labelled = sl.label_copies(copies(spark)).collect()
+    labelled = sl.label_copies(copies(spark), late=late).collect()
     assert len(labelled) == len(rows) - len(first)
     for r in labelled:
         assert (r.first_script_id, r.first_chunk_no) == first[r.code]
@@ -82,6 +87,55 @@ def test_dedup_and_copies(spark):
         assert (r.script_id, r.chunk_no) != first[r.code]
 
 
+def test_late_rows_without_code_and_of_one_place(spark, monkeypatch):
+    rows = [("a", 1, None), ("a", 1, None), ("a", 2, "x"), ("a", 2, "x"), (None, 1, "y"), ("b", 1, "y"), ("c", 1, "")]
+    df = chunks(spark, rows)
+    for bits in (3, 25):
+        monkeypatch.setattr(keyed, "BITMAP_BITS", bits)
+        got = sl.dedup_chunks(df, late=True)
+        assert got.columns == sl.dedup_chunks(df).columns
+        found = sorted((str(r.script_id), r.chunk_no, str(r.code), r.n_copies) for r in got.collect())
+        assert found == [
+            ("None", 1, "y", 2), ("a", 1, "None", 1), ("a", 1, "None", 1), ("a", 2, "x", 2), ("c", 1, "", 1)
+        ]
+        labelled = sl.label_copies(df, late=True).collect()
+        assert [(r.script_id, r.first_script_id, r.first_chunk_no) for r in labelled] == [("b", None, 1)]
+        assert sl.dedup_chunks(df.limit(0), late=True).count() == 0
+
+
+def nodes(plan):
+    children = plan.children()
+    yield plan
+    for i in range(children.size()):
+        yield from nodes(children.apply(i))
+
+
+def test_text_fetched_late_is_shuffled_only_behind_a_bitmap(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    copies(spark).write.parquet(path)
+    df = spark.read.parquet(path)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        for late, holders in ((sl.dedup_chunks(df, late=True), 1), (sl.label_copies(df, late=True), 1)):
+            moved = 0
+            for node in nodes(late._jdf.queryExecution().executedPlan()):
+                output = node.output()
+                has_text = any(output.apply(i).name() == "code" for i in range(output.size()))
+                assert not (has_text and "Aggregate" in node.nodeName())
+                if has_text and node.nodeName() == "Exchange":
+                    moved += 1
+                    below = [x.simpleString(1000) for x in nodes(node.children().apply(0))]
+                    assert any(x.startswith("Filter") and "getbit" in x for x in below)
+            assert moved == holders
+        plain = nodes(sl.dedup_chunks(df)._jdf.queryExecution().executedPlan())
+        assert any("Aggregate" in node.nodeName() and "code#" in node.simpleString(1000) for node in plain)
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+
+
 def test_hot_keys_and_salted_join(spark):
     # disable broadcasting, so the salted shuffle itself is what runs
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
