@@ -305,6 +305,7 @@ TURNS = f"""turns AS (SELECT CAST(u.conv_id AS VARCHAR) AS script_id, u.turn AS
     u.text AS original, a.text AS converted FROM conversations u LEFT JOIN conversations a
     ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user')"""
 ORACLE["mapping_csv"] = f"{WITH}{TURNS} SELECT *, {annotated('converted')} AS annotated FROM turns"
+ORACLE["mapping_csv_indexed"] = ORACLE["mapping_csv"]
 ORACLE["write_script_files"] = f"{WITH}{DOCS} SELECT script_id, source AS code FROM src"
 
 ORACLE["normalize_newlines"] = f"{WITH}{SCRIPTS} SELECT script_id, {unix('source')} AS source FROM src"

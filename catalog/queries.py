@@ -61,6 +61,18 @@ def mapping_csv(spark, sf_dir):
         return kept(sl.read_mapping_csv(spark, folder, mapping.schema))
 
 
+@query
+def mapping_csv_indexed(spark, sf_dir):
+    """The same files as one task each writes them, read in ranges."""
+    mapping = sl.map_chunks(*inputs.turns(spark, sf_dir)).select(
+        "script_id", "chunk_no", "original", "converted", "annotated"
+    )
+    with scratch(spark, "mapping") as folder:
+        sl.write_mapping_csv(mapping, folder, rows_per_file=0)
+        index = sl.record_index(spark, folder, part_bytes=1 << 18)
+        return kept(sl.read_mapping_csv(spark, folder, mapping.schema, index=index))
+
+
 @query
 def write_script_files(spark, sf_dir):
     with scratch(spark, "documents") as folder:

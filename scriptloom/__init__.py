@@ -58,6 +58,7 @@ from scriptloom.operators.text import (
 )
 from scriptloom.sources.packs import read_manifest, read_packed_scripts, read_pieces, write_packs
 from scriptloom.sources.scripts import read_scripts, scripts_from
+from scriptloom.sources.records import record_index
 from scriptloom.sources.sinks import (
     read_mapping_csv,
     read_written_scripts,
@@ -97,6 +98,7 @@ __all__ = [
     "read_mapping_csv",
     "read_packed_scripts",
     "read_pieces",
+    "record_index",
     "read_scripts",
     "read_written_scripts",
     "rechunk_by_size",

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
+from scriptloom.sources.records import read_records
+
 # Options under which outer spaces, newlines, quotes, backslashes, empty text and NULL
 # all come back as they were written. Text that is the mark of NULL, after any number of
 # backslashes, is written with one backslash more.
@@ -30,8 +32,9 @@ def write_mapping_csv(
 ) -> None:
     """Write a mapping with a header and no index. Arrays of text become lines.
 
-    Text with newlines makes a CSV file unsplittable, so files are kept to
-    `rows_per_file` rows to leave readers something to share out.
+    Spark's own reader takes a file whose text has newlines as a whole, so files are kept to
+    `rows_per_file` rows to leave readers something to share out; larger ones are shared out by
+    a `record_index`.
     """
     flat = []
     for f in df.schema.fields:
@@ -44,9 +47,15 @@ def write_mapping_csv(
     df.select(*flat).write.mode(mode).options(maxRecordsPerFile=rows_per_file, **CSV_OPTIONS).csv(path)
 
 
-def read_mapping_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Read back what `write_mapping_csv` wrote."""
-    rows = spark.read.options(multiLine="true", **CSV_OPTIONS).schema(schema).csv(path)
+def read_mapping_csv(
+    spark: SparkSession, path: str, schema: StructType | str, *, index: DataFrame | None = None
+) -> DataFrame:
+    """Read back what `write_mapping_csv` wrote. With the `record_index` of `path`, each file is
+    read by as many tasks as it has ranges."""
+    if index is None:
+        rows = spark.read.options(multiLine="true", **CSV_OPTIONS).schema(schema).csv(path)
+    else:
+        rows = read_records(index, schema, CSV_OPTIONS)
     texts = [f.name for f in rows.schema.fields if isinstance(f.dataType, StringType)]
     return rows.withColumns(
         {c: F.regexp_replace(F.col(f"`{c}`"), r"\A\\(\\*\\N)\z", "$1") for c in texts}

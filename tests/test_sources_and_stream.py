@@ -1,7 +1,10 @@
 import pytest
+from pyspark.sql import functions as F
 
 import scriptloom as sl
 from scriptloom.session import scratch, work_folder
+from scriptloom.sources.records import read_records
+from scriptloom.sources.sinks import CSV_OPTIONS
 from scriptloom.streaming.ingest import new_scripts
 
 ODD = [" a \n", "q\"q", "back\\slash\\", "", None, "\\N x", "\\N", "\\\\N", "\\\\\\N", "l1\r\nl2\n\n", "é,;'", '"', "\ttab\t"]
@@ -22,6 +25,49 @@ def test_csv_takes_arrays_and_spaced_names(spark, tmp_path):
     assert tuple(back.first()) == (1, "a\nb")
 
 
+@pytest.mark.parametrize("part_bytes", [1, 7, 64, 1000, 1 << 20])
+def test_csv_in_ranges(spark, tmp_path, part_bytes):
+    rows = [(str(i), i, text, text) for i, text in enumerate(ODD + ["x\ny" * 50, '"\n"' * 40])]
+    schema = "script_id string, `chunk no` int, original string, converted string"
+    df = spark.createDataFrame(rows, schema)
+    path = str(tmp_path / "csv")
+    sl.write_mapping_csv(df.coalesce(1), path)
+    index = sl.record_index(spark, path, part_bytes=part_bytes)
+    back = sl.read_mapping_csv(spark, path, df.schema, index=index)
+    assert back.schema.simpleString() == df.schema.simpleString()
+    assert sorted(map(tuple, back.collect()), key=lambda r: r[1]) == rows
+    # where records begin, by reading the file a character at a time
+    file = next((tmp_path / "csv").glob("*.csv")).read_bytes()
+    begins, within = [0], False
+    for at, byte in enumerate(file):
+        within ^= byte == 0x22
+        if byte == 0x0A and not within:
+            begins.append(at + 1)
+    want = {}
+    for begin in begins:
+        want.setdefault(max(begin - 1, 0) // part_bytes * part_bytes, begin)
+    got = {(r.stop - 1) // part_bytes * part_bytes: r.first for r in index.collect()}
+    assert {k: v for k, v in got.items() if v is not None} == want
+    assert len(got) == -(-len(file) // part_bytes)
+
+
+def test_one_csv_file_is_read_by_many_tasks(spark, tmp_path):
+    """Records longer than what is read at once, too, and a file without records."""
+    path = str(tmp_path / "csv")
+    text = "concat('a\n\"', repeat('line\n', CAST(id % 90 AS int)))"
+    df = spark.range(2000).selectExpr("id", f"{text} AS original")
+    sl.write_mapping_csv(df.coalesce(1), path, rows_per_file=0)
+    assert len(list((tmp_path / "csv").glob("*.csv"))) == 1
+    index = sl.record_index(spark, path, part_bytes=20_000, batch_bytes=100)
+    back = read_records(index, df.schema, CSV_OPTIONS, batch_bytes=100)
+    by_task = back.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(by_task) > 8 and max(r["count"] for r in by_task) < 1000
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    empty = str(tmp_path / "none")
+    sl.write_mapping_csv(df.limit(0), empty)
+    assert sl.read_mapping_csv(spark, empty, df.schema, index=sl.record_index(spark, empty)).count() == 0
+
+
 def test_script_files(spark, tmp_path):
     rows = [("a", "x\n\ny"), ("b/c=d %", "z"), ("007", ""), ("n", None)]
     df = spark.createDataFrame(rows, "script_id string, code string")
