@@ -484,7 +484,7 @@ def numbered(docs: DataFrame, folder: str) -> tuple[DataFrame, list[str]]:
     """`docs` with `row`, a number for each row from its file's number and its place there. The
     list of file names, which is what is broadcast, is as long as the table has files."""
     spark: SparkSession = docs.sparkSession
-    rows = located(docs, folder)
+    rows = located(docs, folder).select("doc.*", "_file", "_row")
     files = sorted(r[0] for r in rows.select("_file").distinct().collect())
     names = spark.createDataFrame(list(enumerate(files)), "nth long, _file string")
     row = F.shiftleft("nth", 32).bitwiseOR(F.col("_row"))

@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from scriptloom.llm.suffix_index import anchors, remove_repeats, removed_spans
+from scriptloom.llm.suffix_index import anchors, numbered, remove_repeats, removed_spans
 
 
 def brute(texts, length):
@@ -58,3 +58,12 @@ def test_long_text_has_the_anchors_of_its_parts(monkeypatch):
     parts = anchors(text, 200)
     assert set(whole[1].tolist()) == set(parts[1].tolist())
     assert removed_spans([(5, 9), (0, 3), (3, 4), (8, 12)]) == [(0, 4), (5, 12)]
+
+
+def test_rows_keep_their_columns_beside_their_number(spark, frame, tmp_path):
+    frame([(1, "a", "en", "s"), (2, None, "en", "s")]).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d")).select("doc_id", "text")
+    rows, files = numbered(docs, str(tmp_path / "unused"))
+    assert {"doc_id", "text", "row"} <= set(rows.columns) and files
+    got = rows.collect()
+    assert {(r.doc_id, r.text) for r in got} == {(1, "a"), (2, None)} and len({r.row for r in got}) == 2
