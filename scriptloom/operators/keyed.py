@@ -104,7 +104,11 @@ def spanned(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
         lambda i: F.get("_seen", F.floor(F.size("_seen") * (i - 1) / F.col("_spans")).cast("int")),
     )
     bounds = picked.select(*keys, quantile.alias("_bounds"))
-    behind = F.size(F.filter("_bounds", lambda b: b <= F.col(order)))
+    # by halves, as a hot key has up to HOT_SHARE bounds; beyond the last one `get` is NULL
+    halves = F.array(*[F.lit(1 << i) for i in reversed(range(HOT_SHARE.bit_length()))])
+    behind = F.aggregate(
+        halves, F.lit(0), lambda at, half: F.when(F.get("_bounds", at + half - 1) <= F.col(order), at + half).otherwise(at)
+    )
     return (
         df.join(F.broadcast(bounds), keys, "left")
         .withColumn("_span", F.when(F.col("_bounds").isNotNull(), behind))

@@ -110,3 +110,15 @@ def test_empty_and_null(spark):
         assert fn(none).count() == 0
         with pytest.raises(Exception, match="no place"):
             fn(bad).collect()
+
+
+def test_span_of_a_row_among_many_bounds(spark, monkeypatch):
+    """The bounds of a hot key are searched by halves, not one by one."""
+    monkeypatch.setattr(keyed, "SPAN_ROWS", 4)
+    rows = spark.range(5000).selectExpr("0 AS script_id", "id * 7 - 900 AS line_no")
+    out = keyed.spanned(rows, ["script_id"], "line_no")
+    assert "filter(_bounds" not in out._jdf.queryExecution().optimizedPlan().toString()
+    spans = [(r.line_no, r["_span"]) for r in out.collect()]
+    ordered = [s for _, s in sorted(spans)]
+    assert ordered == sorted(ordered) and len(set(ordered)) > 500
+    assert max(ordered.count(s) for s in set(ordered)) < 100
