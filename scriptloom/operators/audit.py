@@ -24,6 +24,8 @@ def map_chunks(
     tasks. Chunks without a conversion stay, with NULLs. Two conversions of one chunk raise;
     `checked=False` leaves that to the caller and saves the grouping. The verdict is found
     before the grouping, so where only figures are asked for a boolean travels and no text.
+    The join is never a broadcast: there are as many conversions as chunks, and Spark guesses
+    their size from a table that may hold far fewer rows.
     """
     said = conv.select(*keys, F.col(converted_col).alias("converted")).withColumns(
         {"is_valid": F.expr(lint.is_valid("converted")), "comments": F.expr(lint.comments("converted"))}
@@ -33,7 +35,7 @@ def map_chunks(
         only = lambda c: F.when(F.count("*") == 1, F.first(c)).otherwise(error).alias(c)
         said = said.groupBy(*keys).agg(only("converted"), only("is_valid"), only("comments"))
     said = said.withColumn("annotated", F.expr(lint.annotated("converted")))
-    return orig.withColumnRenamed(original_col, "original").join(said, list(keys), "left")
+    return orig.withColumnRenamed(original_col, "original").join(said.hint("merge"), list(keys), "left")
 
 
 def audit_table(df: DataFrame) -> DataFrame:

@@ -231,3 +231,12 @@ def test_seen_table(spark, tmp_path, scripts):
         for key in settings:
             spark.conf.unset(key)
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_conversions_are_not_broadcast(spark):
+    """A table of few rows, each exploded into many conversions, has a small size on paper."""
+    orig = spark.range(40).selectExpr("'s' AS script_id", "CAST(id AS int) AS chunk_no", "'x' AS code")
+    conv = spark.range(1).selectExpr("'s' AS script_id", "explode(sequence(0, 29)) AS chunk_no", "'y' AS converted")
+    found = sl.map_chunks(orig, conv)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 40 and found.filter("converted = 'y'").count() == 30
