@@ -3,10 +3,11 @@
 Every text is scanned once, whole. The rules' matches are findings as they are. Every other run
 of 16 or more characters that keys are made of is a candidate. A network sees the candidate and
 the text around it, byte by byte; it is trained on labelled findings: the rules' values are
-positive, candidates outside any match negative. Training takes at most `sample` distinct windows
-of each label, those with the least hash. On a held-out fifth, with its own and other text before the value, the
+positive, candidates outside any match negative. Training takes all of them, each as often as it
+occurs: windows lie in shards, every shard trains the network on its own windows, and after each
+round the shards' networks are averaged. On a held-out fifth, with its own and other text before the value, the
 network's scores are calibrated by a logistic fit, and the threshold is the highest that keeps
-`recall` of the positives, however low that is.
+`recall` of the positives, however low that is. It comes from counts of all held-out scores in steps of 1/GRID.
 
 Defined results: null and empty text has no spans; equal starts are ordered by kind; without
 labelled findings of both kinds no span is added; repeated rows are each scanned; an empty table
@@ -17,6 +18,10 @@ from __future__ import annotations
 
 import re
 import warnings
+from collections.abc import Iterator
+from copy import deepcopy
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +29,8 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import durable, utf8
+from scriptloom.llm.common import BATCH_ROWS, durable, settings, utf8
+from scriptloom.operators.keyed import numbered
 
 # Fixed values of the contract.
 ASSIGN = re.compile(
@@ -39,8 +45,13 @@ BEFORE, INSIDE, AFTER = 24, 48, 8
 WINDOW = BEFORE + INSIDE + AFTER
 #: From one place of the window to the next: any run of so many bytes is whole in one of them.
 STEP = INSIDE // 2
-#: Times that a window counts in training at most.
-COUNTED = 10
+#: Rounds of training, each over all windows.
+ROUNDS = 20
+#: Windows of a shard, counted as often as they occur. Beyond MOST_SHARDS, which is what reaches the
+#: driver in a round, shards grow. They are read in blocks of so many bytes.
+SHARD, MOST_SHARDS, BLOCK = 8192, 128, 2 << 20
+#: Held-out scores are counted in steps of 1/GRID, up to so far from zero.
+GRID, FARTHEST = 4096, 64
 
 
 def _table(chars: bytes) -> np.ndarray:
@@ -155,7 +166,12 @@ class CharConv:
             "v": rng.normal(0, 0.3, filters),
             "c": np.zeros(1),
         }
+        self.m = {k: np.zeros_like(v) for k, v in self.p.items()}
+        self.s = {k: np.zeros_like(v) for k, v in self.p.items()}
+        self.steps = 0
         self.scale, self.shift, self.threshold = 1.0, 0.0, 1.1
+        #: Labelled windows of label 0 and 1 that it learned from, and that its threshold comes from.
+        self.trained, self.judged = [0, 0], [0, 0]
 
     def _forward(self, x: np.ndarray):
         emb = self.p["e"][x]
@@ -177,102 +193,180 @@ class CharConv:
         x, first = _places(windows)
         return np.maximum.reduceat(self._each(x), first[:-1])
 
+    def _chance(self, z: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -40, 40)))
+
     def probability(self, windows: list[bytes]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(windows) + self.shift, -40, 40)))
+        return self._chance(self.logits(windows))
 
-    def train(self, windows: list[bytes], labels: np.ndarray, epochs: int = 20, rate: float = 0.004):
-        rng = np.random.default_rng(11)
+    def train(
+        self, windows: list[bytes], labels: np.ndarray, times: np.ndarray, weights: tuple[float, float],
+        rng: np.random.Generator, rate: float = 0.004,
+    ) -> None:
+        """One visit of each window, `times` over; `weights` are those of label 0 and 1."""
         x, first = _places(windows)
-        weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-9), 0.5 / max(1 - labels.mean(), 1e-9))
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        s = {k: np.zeros_like(v) for k, v in self.p.items()}
-        step = 0
-        for _ in range(epochs):
-            order = rng.permutation(len(windows))
-            for at in range(0, len(windows), 64):
-                i = order[at : at + 64]
-                place = first[i]
-                for k in np.flatnonzero(first[i + 1] - first[i] > 1):
-                    place[k] += self._each(x[first[i[k]] : first[i[k] + 1]]).argmax()
-                batch = x[place].copy()
-                # half of the values get the text before another value, so the value counts too
-                other = rng.random(len(i)) < 0.5
-                lead = first[rng.integers(0, len(windows), other.sum())]
-                at_start = place[other] == first[i[other]]
-                batch[np.flatnonzero(other)[at_start], :BEFORE] = x[lead[at_start], :BEFORE]
-                cols, top, best, out, z = self._forward(batch)
-                dz = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels[i]) * weight[i] / len(i)
-                dbest = dz[:, None] * self.p["v"] * (best > 0)
-                rows = np.arange(len(i))[:, None]
-                picked = cols[rows, top]  # row, filter, weight
-                demb = np.zeros((*batch.shape, self.p["e"].shape[1]))
-                back = (dbest[:, :, None] * self.p["w"].T).reshape(*dbest.shape, self.width, -1)
-                for k in range(self.width):
-                    np.add.at(demb, (rows, top + k), back[:, :, k])
-                grad = {
-                    "v": out.T @ dz,
-                    "c": dz.sum(keepdims=True),
-                    "b": dbest.sum(0),
-                    "w": np.einsum("rf,rfw->wf", dbest, picked),
-                    "e": np.zeros_like(self.p["e"]),
-                }
-                np.add.at(grad["e"], batch.reshape(-1), demb.reshape(-1, demb.shape[-1]))
-                step += 1
-                for k, g in grad.items():
-                    m[k] = 0.9 * m[k] + 0.1 * g
-                    s[k] = 0.999 * s[k] + 0.001 * g * g
-                    self.p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)
+        weight = np.where(labels == 1, weights[1], weights[0])
+        m, s = self.m, self.s
+        order = rng.permutation(np.repeat(np.arange(len(windows)), times))
+        for at in range(0, len(order), 64):
+            i = order[at : at + 64]
+            place = first[i]
+            for k in np.flatnonzero(first[i + 1] - first[i] > 1):
+                place[k] += self._each(x[first[i[k]] : first[i[k] + 1]]).argmax()
+            batch = x[place].copy()
+            # half of the values get the text before another value, so the value counts too
+            other = rng.random(len(i)) < 0.5
+            lead = first[rng.integers(0, len(windows), other.sum())]
+            at_start = place[other] == first[i[other]]
+            batch[np.flatnonzero(other)[at_start], :BEFORE] = x[lead[at_start], :BEFORE]
+            cols, top, best, out, z = self._forward(batch)
+            dz = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels[i]) * weight[i] / len(i)
+            dbest = dz[:, None] * self.p["v"] * (best > 0)
+            rows = np.arange(len(i))[:, None]
+            picked = cols[rows, top]  # row, filter, weight
+            demb = np.zeros((*batch.shape, self.p["e"].shape[1]))
+            back = (dbest[:, :, None] * self.p["w"].T).reshape(*dbest.shape, self.width, -1)
+            for k in range(self.width):
+                np.add.at(demb, (rows, top + k), back[:, :, k])
+            grad = {
+                "v": out.T @ dz,
+                "c": dz.sum(keepdims=True),
+                "b": dbest.sum(0),
+                "w": np.einsum("rf,rfw->wf", dbest, picked),
+                "e": np.zeros_like(self.p["e"]),
+            }
+            np.add.at(grad["e"], batch.reshape(-1), demb.reshape(-1, demb.shape[-1]))
+            self.steps += 1
+            for k, g in grad.items():
+                m[k] = 0.9 * m[k] + 0.1 * g
+                s[k] = 0.999 * s[k] + 0.001 * g * g
+                self.p[k] -= rate * (m[k] / (1 - 0.9**self.steps)) / (np.sqrt(s[k] / (1 - 0.999**self.steps)) + 1e-8)
+
+    def state(self) -> bytes:
+        return b"".join(x[k].tobytes() for x in (self.p, self.m, self.s) for k in self.p)
+
+    def average(self, states: list[bytes], shares: list[float], steps: list[int]) -> None:
+        """Become the average of networks that were trained from this one on."""
+        flat = sum(np.frombuffer(x) * share for x, share in zip(states, shares, strict=True)) / sum(shares)
+        at = 0
+        for x in (self.p, self.m, self.s):
+            for k in self.p:
+                x[k] = flat[at : at + x[k].size].reshape(x[k].shape)
+                at += x[k].size
+        self.steps = max(steps)
 
     def calibrate(self, windows: list[bytes], labels: np.ndarray, recall: float) -> None:
         """Logistic fit of the held-out labels, then the threshold."""
-        z = self.logits(windows)
+        self.calibrate_scores(self.logits(windows), labels, np.ones(len(labels), int), recall)
+
+    def calibrate_scores(
+        self, z: np.ndarray, labels: np.ndarray, times: np.ndarray, recall: float, within: float = 0.0
+    ) -> None:
+        """`calibrate` from scores with the times each occurs; a score may be up to `within` greater
+        than given."""
+        share = times / times.sum()
         self.scale, self.shift = 1.0, 0.0
         for _ in range(200):
-            p = 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -40, 40)))
+            p = self._chance(z)
             # a little pull to scale 1 keeps separable labels finite
-            self.scale -= 0.05 * (float(((p - labels) * z).mean()) + 0.01 * (self.scale - 1))
-            self.shift -= 0.05 * float((p - labels).mean())
-        p = self.probability(windows)
-        positive = np.sort(p[labels == 1])
-        self.threshold = float(positive[int((1 - recall) * len(positive) + 1e-9)])
-
-
-def fit(found: DataFrame, *, sample: int = 4000, recall: float = 0.98) -> CharConv | None:
-    """Network trained on at most `sample` distinct labelled windows of each label, those with
-    the least hash; a fifth of them is held out for the threshold. Only a part of the hash
-    range is grouped and reaches the driver, which is widened until it holds the sample or is
-    the whole. Where a label has fewer than two windows nothing can be learned: a warning is
-    given, there is no network, and the rules stand alone."""
-    each = found.select(F.explode("found").alias("f")).select(
-        "f.label", "f.window", F.xxhash64("f.window").alias("hash")
+            self.scale -= 0.05 * (float(((p - labels) * z * share).sum()) + 0.01 * (self.scale - 1))
+            self.shift -= 0.05 * float(((p - labels) * share).sum())
+        p = np.minimum(self._chance(z), self._chance(z + within))[labels == 1]
+        order = np.argsort(p, kind="stable")
+        reached = np.cumsum(times[labels == 1][order])
+        self.threshold = float(p[order[np.searchsorted(reached, int((1 - recall) * reached[-1] + 1e-9), "right")]])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
+    """Shard, windows, labels and times of some BLOCK bytes of windows, as they lie."""
+    names = ("shard", "label", "n", "window")
+    cells = (c for b in batches for c in zip(*(b[k].to_pylist() for k in names), strict=True))
+    for shard, rows in groupby(cells, itemgetter(0)):
+        block, size = [], 0
+        for row in rows:
+            if size >= BLOCK:
+                yield shard, [r[3] for r in block], np.array([r[1] for r in block], float), np.array([r[2] for r in block])
+                block, size = [], 0
+            block.append(row)
+            size += len(row[3])
+        yield shard, [r[3] for r in block], np.array([r[1] for r in block], float), np.array([r[2] for r in block])
+
+
+def _round(windows: DataFrame, net: CharConv, nth: int, weights: tuple[float, float]) -> None:
+    """Train `net` on all windows once."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, blocks in groupby(_blocks(batches), itemgetter(0)):
+            own, share = deepcopy(net), 0
+            for k, (_, texts, labels, times) in enumerate(blocks):
+                rng = np.random.default_rng([11, nth, shard, k])
+                own.train(texts, labels, times, weights, rng)
+                share += int(times.sum())
+            row = {"shard": shard, "share": share, "steps": own.steps, "state": own.state()}
+            yield pa.RecordBatch.from_pylist([row])
+
+    rows = windows.mapInArrow(learn, "shard long, share long, steps long, state binary").collect()
+    rows.sort(key=lambda r: r.shard)
+    net.average([bytes(r.state) for r in rows], [r.share for r in rows], [r.steps for r in rows])
+
+
+def _held_scores(held: DataFrame, net: CharConv) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores of the held-out windows in steps of 1/GRID, their labels and the times each occurs, of
+    each window as it is and with the text before another one."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts, labels, times in _blocks(batches):
+            moved = [o[:BEFORE] + w[BEFORE:] for w, o in zip(texts, texts[1:] + texts[:1], strict=True)]
+            z = np.clip(net.logits(texts + moved), -FARTHEST, FARTHEST)
+            cells = [np.floor(z * GRID).astype(np.int64), np.tile(labels, 2).astype(np.int64), np.tile(times, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], ["step", "label", "n"])
+
+    counts = held.mapInArrow(score, "step long, label long, n long").groupBy("step", "label").agg(F.sum("n").alias("n"))
+    rows = np.array(sorted(counts.collect()), dtype=np.int64).reshape(-1, 3)
+    return rows[:, 0] / GRID, rows[:, 1].astype(float), rows[:, 2]
+
+
+def fit(found: DataFrame, *, sample: int | None = None, recall: float = 0.98) -> CharConv | None:
+    """Network trained on all labelled windows, but for every fifth distinct one by hash, which
+    is held out for the threshold; with `sample` only on so many distinct windows of each label,
+    those with the least hash. Where a label has fewer than two windows nothing can be learned: a
+    warning is given, there is no network, and the rules stand alone."""
+    windows = durable(
+        found.select(F.explode("found").alias("f"))
+        .groupBy("f.label", "f.window")
+        .agg(F.count("*").alias("n"))
+        .withColumn("hash", F.xxhash64("window"))
     )
-    used, held = [], []
-    sizes = each.groupBy("label").agg(F.approx_count_distinct("hash").alias("n")).collect()
-    for label, n in sizes:
-        share = min(1.0, 2 * sample / max(1, n))
-        while True:
-            limit = int(-(2**63) + 2**64 * share) - 1
-            some = each.filter((F.col("label") == label) & (F.col("hash") <= limit)).groupBy("hash", "window")
-            rows = some.agg(F.first("label").alias("label"), F.count("*").alias("n"))
-            rows = rows.orderBy("hash", "window").limit(sample).collect()
-            if len(rows) == sample or share == 1.0:
-                break
-            share = min(1.0, 4 * share)
-        # a window counts as often as it occurs, up to a bound
-        times = [[r] * min(r.n, COUNTED) for r in rows]
-        held += [r for same in times[::5] for r in same]
-        used += [r for i, same in enumerate(times) if i % 5 for r in same]
-    if {r.label for r in used} != {0, 1}:
+    if sample is not None:
+        some = [windows.filter(F.col("label") == y).orderBy("hash", "window").limit(sample) for y in (0, 1)]
+        windows = durable(some[0].unionByName(some[1]))
+    sizes = windows.groupBy("label").agg(F.count("*").alias("distinct"), F.sum("n").alias("n"))
+    by_label = {r.label: r for r in sizes.collect()}
+    if any(y not in by_label or by_label[y].distinct < 2 for y in (0, 1)):
         warnings.warn("too few labelled windows to train on: no spans are added to the rules'", stacklevel=2)
         return None
-    order = lambda r: (r.hash, r.label, bytes(r.window))
-    used.sort(key=order)
-    held.sort(key=order)
+    shards = min(MOST_SHARDS, -(-sum(r.n for r in by_label.values()) // SHARD))
+    # a window that occurs often is dealt over the shards
+    among = F.when(F.col("held"), F.lit(1)).otherwise(F.least("n", F.lit(shards)))
+    parts = (
+        numbered(windows, ["label"], "hash", "place")
+        .withColumn("held", F.col("place") % 5 == 1)
+        .withColumn("among", among)
+        .withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("among") - 1)))
+        .withColumn("shard", F.pmod(F.pmod("hash", F.lit(shards)) + F.col("nth"), F.lit(shards)))
+        .withColumn("n", F.floor((F.col("n") + F.col("nth")) / F.col("among")))
+        .select("shard", "hash", "window", "label", "n", "held")
+    )
+    dealt = durable(parts.repartition(shards, "shard").sortWithinPartitions("shard", "hash", "window", "label"))
     net = CharConv()
-    net.train([bytes(r.window) for r in used], np.array([r.label for r in used], float))
-    windows = [bytes(r.window) for r in held]
-    windows += [other[:BEFORE] + w[BEFORE:] for w, other in zip(windows, windows[1:] + windows[:1], strict=True)]
-    net.calibrate(windows, np.array([r.label for r in held] * 2, float), recall)
+    for held, label, n in dealt.groupBy("held", "label").agg(F.sum("n")).collect():
+        (net.judged if held else net.trained)[label] = n
+    total = sum(net.trained)
+    weights = (0.5 * total / net.trained[0], 0.5 * total / net.trained[1])
+    with settings(found.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)}):
+        for nth in range(ROUNDS):
+            _round(dealt.filter("NOT held"), net, nth, weights)
+        net.calibrate_scores(*_held_scores(dealt.filter("held"), net), recall, 1 / GRID)
     return net
 
 
@@ -310,7 +404,7 @@ def _written(spans: Column) -> Column:
 
 
 def scan_secrets(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = 4000,
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int | None = None,
     recall: float = 0.98, net: CharConv | None = None,
 ) -> DataFrame:
     """doc_id, base (rule spans) and added (the network's spans) of every row; spans have kind

@@ -128,3 +128,18 @@ def test_threshold_keeps_the_recall_of_labels_that_overlap():
         net.calibrate(windows, labels, recall)
         reached = (net.probability(windows) >= net.threshold)[labels == 1].mean()
         assert recall <= reached < recall + 0.01
+
+
+def test_all_labelled_windows_train_and_judge_the_network(frame, monkeypatch):
+    """More distinct windows than the 4,000 that training once stopped at, and one that occurs often."""
+    monkeypatch.setattr("scriptloom.llm.secret_scan.ROUNDS", 1)
+    rng = random.Random(14)
+    one = f"some words token = {key(rng)} and so on hereandthereagain123 and so on"
+    rows = [(i, "\n".join(f"{i} {n} token = {key(rng, 20)} {i * 45 + n:016}-abc" for n in range(45)), "en", "s") for i in range(100)]
+    found = findings(frame(rows + [(1000 + i, one, "en", "s") for i in range(60)]))
+    labels = [v["label"] for _, text, *_ in rows for v in scan_text(text.encode())[1]]
+    labels += 60 * [v["label"] for v in scan_text(one.encode())[1]]
+    net = fit(found)
+    assert [a + b for a, b in zip(net.trained, net.judged)] == [labels.count(0), labels.count(1)]
+    assert min(net.trained) > 3200 and min(net.judged) > 800
+    assert sum(fit(found, sample=100).trained) < 400
