@@ -24,6 +24,7 @@ from scriptloom.functions.sql import each, fresh, let, literal, name, scan
 from scriptloom.functions.text import is_blank, rstrip, strip
 from scriptloom.operators.keyed import in_spans, numbered, present, running
 from scriptloom.operators.split import KEYS
+from scriptloom.session import kept
 
 #: Rows of a run, rows of a run that are folded at once, and runs that are combined at once.
 RUN_ROWS = 2048
@@ -95,7 +96,8 @@ def _grouped_rows(
     `step(state, value)` is the state after a row, and `starts(state before, value)` says whether
     the row begins a group."""
     keys = list(keys)
-    placed = numbered(df, keys, order, "_row")
+    # used three times, so worked out once
+    placed = kept(numbered(df, keys, order, "_row"))
     zero_up = f"sequence(0, {n_states - 1})"
     runs = (
         placed.select(*keys, "_row", F.expr(f"CAST({value} AS int)").alias("_value"))
@@ -125,10 +127,12 @@ def _grouped_rows(
     after = scan("_values", "_start", step, "int")
     before = let(after, lambda a: f"concat(array(_start), slice({a}, 1, size({a}) - 1))", "after")
     flags = f"transform(zip_with({before}, _values, (b, v) -> {starts('b', 'v')}), f -> CAST(f AS int))"
-    begun = runs.join(before_runs, [*keys, "_run"]).select(*keys, "_run", F.expr(flags).alias("_flags"))
-    counted = begun.withColumn("_n", F.expr("aggregate(_flags, 0, (a, f) -> a + f)"))
+    begun = kept(runs.join(before_runs, [*keys, "_run"]).select(*keys, "_run", F.expr(flags).alias("_flags")))
+    # a window over the key sees one number of a run, not its rows
+    counted = begun.select(*keys, "_run", F.expr("aggregate(_flags, 0, (a, f) -> a + f)").alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    groups = counted.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).select(
+    before_groups = counted.select(*keys, "_run", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    groups = begun.join(before_groups, [*keys, "_run"]).select(
         *keys,
         "_run",
         F.posexplode(F.expr(scan("_flags", "_before", lambda s, f: f"{s} + {f}", "bigint"))).alias("_nth", group_as),
