@@ -224,18 +224,17 @@ class CharConv:
             dbest = dz[:, None] * self.p["v"] * (best > 0)
             rows = np.arange(len(i))[:, None]
             picked = cols[rows, top]  # row, filter, weight
-            demb = np.zeros((*batch.shape, self.p["e"].shape[1]))
             back = (dbest[:, :, None] * self.p["w"].T).reshape(*dbest.shape, self.width, -1)
-            for k in range(self.width):
-                np.add.at(demb, (rows, top + k), back[:, :, k])
+            # the bytes that each filter's greatest place saw, and what goes back to each of them
+            saw = batch[rows[:, :, None], top[:, :, None] + np.arange(self.width)].reshape(-1)
+            back = back.reshape(len(saw), -1)
             grad = {
                 "v": out.T @ dz,
                 "c": dz.sum(keepdims=True),
                 "b": dbest.sum(0),
                 "w": np.einsum("rf,rfw->wf", dbest, picked),
-                "e": np.zeros_like(self.p["e"]),
+                "e": np.stack([np.bincount(saw, b, len(self.p["e"])) for b in back.T], axis=1),
             }
-            np.add.at(grad["e"], batch.reshape(-1), demb.reshape(-1, demb.shape[-1]))
             self.steps += 1
             for k, g in grad.items():
                 m[k] = 0.9 * m[k] + 0.1 * g
