@@ -122,7 +122,8 @@ def in_spans(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
 
 def numbered(
-    df: DataFrame, keys: Sequence[str], order: str, number_as: str, total_as: str | None = None
+    df: DataFrame, keys: Sequence[str], order: str, number_as: str, total_as: str | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """1-based dense number of each row within its key, in the order of the integer column
     `order`, which is unique within the key; with `total_as` the rows per key too. A NULL
@@ -130,7 +131,8 @@ def numbered(
 
     A window over the key alone puts a hot key into one task. Here the window runs over
     (key, span of order values), and hot keys get the rows of their earlier spans added, from
-    one row per span. So rows are shuffled once.
+    one row per span. So rows are shuffled once, with `tasks` to that many tasks. There they lie in
+    the order of key, span and number.
     """
     keys = list(keys)
     rows = in_spans(df, keys, order)
@@ -147,7 +149,8 @@ def numbered(
         )
     )
     span = Window.partitionBy(*keys, "_span")
-    placed = rows.withColumn("_place", F.row_number().over(span.orderBy(order)))
+    dealt = rows.repartition(tasks, *keys, "_span") if tasks else rows
+    placed = dealt.withColumn("_place", F.row_number().over(span.orderBy(order)))
     if total_as:
         placed = placed.withColumn("_here", F.count("*").over(span))
     joined = placed.join(F.broadcast(offsets), [*keys, "_span"], "left")

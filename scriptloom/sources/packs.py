@@ -24,6 +24,12 @@ from scriptloom.sources.listing import _opened
 PACK_BYTES = 128 << 20
 PIECE_BYTES = 8 << 20
 TASKS_MOST = 20_000
+#: What a task writes, where packs are smaller, and reads; a run to read counts as RUN_BYTES more.
+TASK_BYTES = 16 << 20
+RUN_BYTES = 1024
+#: Bytes and rows of pieces that a task hands on at once.
+BATCH_BYTES = 8 << 20
+BATCH_ROWS = 10_000
 RUNS = "script_id string, span long, seq long, file string, offset long, length long"
 
 
@@ -81,7 +87,8 @@ def write_packs(
     manifest: script_id, run, file, offset, length. It is also kept below `path`.
 
     A chunk without code, id or number raises. As many tasks write as the characters of all
-    chunks ask for, so the number of files grows with the data and not with the scripts.
+    chunks ask for, a task several packs where these are small, so the numbers of files and tasks
+    grow with the data and not with the scripts. Text is shuffled once.
     """
     missing = F.raise_error(F.lit("a chunk to write has no code"))
     rows = df.select(
@@ -89,21 +96,18 @@ def write_packs(
         F.col(order).cast("long").alias("place"),
         F.coalesce(F.col(code_col), missing).alias("code"),
     )
-    chars = rows.agg(F.coalesce(F.sum(F.length("code")), F.lit(0))).first()[0]
-    tasks = max(1, min(TASKS_MOST, -(-chars // pack_bytes)))
-    placed = numbered(in_spans(rows, ["script_id"], "place"), ["script_id"], "place", "nth")
+    chars = rows.agg(F.coalesce(F.sum(F.length("code") + len(sep)), F.lit(0))).first()[0]
+    tasks = max(1, min(TASKS_MOST, -(-chars // max(pack_bytes, TASK_BYTES))))
+    placed = numbered(in_spans(rows, ["script_id"], "place"), ["script_id"], "place", "nth", tasks=tasks)
     runs = kept(
         # the first chunk of a script has no separator before it
-        placed.select(
+        placed.sortWithinPartitions("script_id", "_span", "place")
+        .select(
             "script_id",
             F.coalesce("_span", F.lit(0)).cast("long").alias("span"),
-            "nth",
             (F.col("nth") == 1).alias("first"),
             "code",
         )
-        .repartition(tasks, "script_id", "span")
-        .sortWithinPartitions("script_id", "span", "nth")
-        .select("script_id", "span", "first", "code")
         .mapInArrow(_writer(path, sep.encode(), pack_bytes), RUNS)
     )
     manifest = runs.select(
@@ -123,38 +127,70 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _reader(piece_bytes: int):
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                store, inside, _ = _opened(row["file"])
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    schema = pa.schema(list(zip(["script_id", "span", "seq", "piece", "text"], kinds, strict=True)))
+
+    def pieces(rows: Iterator[dict]) -> Iterator[tuple[str, int, int, int, bytes]]:
+        """Runs of one file that come one after another are read through one handle."""
+        name, file = None, None
+        try:
+            for row in rows:
+                if row["file"] != name:
+                    if file is not None:
+                        file.close()
+                    store, inside, _ = _opened(row["file"])
+                    name, file = row["file"], store.open_input_file(inside)
                 left, piece, cut = row["length"], 0, b""
-                with store.open_input_file(inside) as file:
-                    file.seek(row["offset"])
-                    while left or cut or not piece:
-                        data = cut + file.read(min(piece_bytes, left))
-                        left -= len(data) - len(cut)
-                        # a character is not cut; its bytes begin the next piece
-                        end = len(data)
-                        while left and end and data[end - 1] & 0xC0 == 0x80:
-                            end -= 1
-                        end -= bool(left and end and data[end - 1] >= 0xC0)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([row["script_id"]]), pa.array([row["span"]], pa.int64()),
-                             pa.array([row["seq"]], pa.int64()), pa.array([piece], pa.int64()),
-                             pa.array([data[:end].decode()])],
-                            ["script_id", "span", "seq", "piece", "text"],
-                        )
-                        cut, piece = data[end:], piece + 1
+                file.seek(row["offset"])
+                while left or cut or not piece:
+                    data = cut + file.read(min(piece_bytes, left))
+                    left -= len(data) - len(cut)
+                    # a character is not cut; its bytes begin the next piece
+                    end = len(data)
+                    while left and end and data[end - 1] & 0xC0 == 0x80:
+                        end -= 1
+                    end -= bool(left and end and data[end - 1] >= 0xC0)
+                    yield row["script_id"], row["span"], row["seq"], piece, data[:end]
+                    cut, piece = data[end:], piece + 1
+        finally:
+            if file is not None:
+                file.close()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+
+        def handed() -> pa.RecordBatch:
+            columns = zip(*held, strict=True) if held else [()] * len(kinds)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], schema=schema
+            )
+
+        for script, span, seq, piece, data in pieces(row for batch in batches for row in batch.to_pylist()):
+            if held and (size + len(data) > BATCH_BYTES or len(held) >= BATCH_ROWS):
+                yield handed()
+                held, size = [], 0
+            held.append((script, span, seq, piece, data.decode()))
+            size += len(data)
+        yield handed()
 
     return read
 
 
 def read_pieces(manifest: DataFrame, *, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """The text of packed scripts in rows of some `piece_bytes`: script_id, piece (a struct that
-    orders the pieces of a script) and text. Pieces joined without a separator are the script."""
-    tasks = max(1, min(TASKS_MOST, manifest.count()))
-    rows = manifest.select("script_id", "run.span", "run.seq", "file", "offset", "length").repartition(
-        tasks, "script_id", "span", "seq"
+    orders the pieces of a script) and text. Pieces joined without a separator are the script.
+
+    As many tasks read as the bytes and runs ask for. Runs that lie close together in a file are
+    read by one task, one after another, and handed on many at a time."""
+    work = F.coalesce(F.sum(F.col("length") + RUN_BYTES), F.lit(0))
+    runs, size = manifest.agg(F.count("*"), work).first()
+    tasks = max(1, min(TASKS_MOST, runs, -(-size // TASK_BYTES)))
+    stretch = F.floor(F.col("offset") / TASK_BYTES)
+    rows = (
+        manifest.select("script_id", "run.span", "run.seq", "file", "offset", "length")
+        .repartition(tasks, "file", stretch)
+        .sortWithinPartitions("file", "offset")
     )
     return rows.mapInArrow(
         _reader(max(8, piece_bytes)), "script_id string, span long, seq long, piece long, text string"

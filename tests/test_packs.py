@@ -45,6 +45,23 @@ def test_a_hot_script_is_written_by_many_tasks(spark, tmp_path):
     assert manifest.select("script_id").distinct().count() == 4_001
 
 
+def test_tasks_grow_with_the_text_and_not_with_the_scripts(spark, tmp_path, monkeypatch):
+    """Reading dealt each run to a task of its own, writing each pack, as far as 20,000 of them."""
+    df = spark.range(24_000).select(
+        F.concat(F.lit("s"), F.floor(F.col("id") / 2)).alias("script_id"),
+        F.col("id").alias("chunk_no"),
+        F.repeat(F.lit("é"), (F.col("id") % 5).cast("int")).alias("code"),
+    )
+    want = {f"s{i}": "é" * (2 * i % 5) + "\n" + "é" * ((2 * i + 1) % 5) for i in range(12_000)}
+    for task_bytes, tasks in (packs.TASK_BYTES, 1), (1 << 20, 12):
+        monkeypatch.setattr(packs, "TASK_BYTES", task_bytes)
+        manifest = sl.write_packs(df, str(tmp_path / str(tasks)), pack_bytes=1 << 12)
+        assert len(list((tmp_path / str(tasks)).glob("*.pack"))) >= 20
+        assert sl.read_pieces(manifest).rdd.getNumPartitions() == tasks
+        got = sl.read_packed_scripts(manifest).collect()
+        assert len(got) == len(want) and {r.script_id: r.code for r in got} == want
+
+
 def test_empty_and_missing(spark, tmp_path):
     none = spark.createDataFrame([], "script_id string, chunk_no int, code string")
     assert sl.read_packed_scripts(sl.write_packs(none, str(tmp_path / "a"))).count() == 0
