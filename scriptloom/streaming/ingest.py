@@ -8,7 +8,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from scriptloom.functions import fixed_values as fixed
 from scriptloom.operators.split import structured_chunks
-from scriptloom.sources.scripts import FILE_GLOB, from_files
+from scriptloom.sources.listing import can_list, read_files, stream_files
+from scriptloom.sources.scripts import FILE_GLOB, FILE_NAME, from_files
 
 SALTS = 64
 
@@ -43,9 +44,19 @@ def new_scripts(
 
 def stream_scripts(
     spark: SparkSession, path: str, *, on_invalid: str = "raise",
-    files_per_trigger: int | None = None,
+    files_per_trigger: int | None = None, listing: str = "executors",
 ) -> DataFrame:
-    """Scripts as they land in a directory."""
+    """Scripts as they land in a directory, empty ones left out.
+
+    Executors list the directory in each batch, and what paths batches had is state; a batch has
+    all that has landed, so set the pace with the trigger. `listing="driver"` leaves both to
+    Spark's own file source, whose listing and seen paths are the driver's; so does a number of
+    `files_per_trigger`, or a path that is a pattern or in a store that only Spark opens.
+    """
+    if listing not in ("executors", "driver"):
+        raise ValueError("listing is 'executors' or 'driver'")
+    if listing == "executors" and not files_per_trigger and can_list(path):
+        return from_files(read_files(stream_files(spark, path, FILE_NAME)), on_invalid)
     reader = (
         spark.readStream.format("binaryFile")
         .schema("path string, modificationTime timestamp, length long, content binary")

@@ -216,6 +216,80 @@ def test_no_path_in_the_plan(spark, tmp_path):
     assert scripts.rdd.getNumPartitions() >= 8
 
 
+def streamed(spark, path, tmp_path, **how):
+    """path and text of the scripts of a stream, run until nothing is left, and its last progress."""
+    out, state = str(tmp_path / "stream-out"), str(tmp_path / "stream-state")
+    query = sl.run_available(sl.stream_scripts(spark, path, **how), out, state)
+    query.awaitTermination()
+    rows = spark.read.parquet(out).collect()
+    assert all(r.script_id == r.path and len(r.content_hash) == 64 for r in rows)
+    assert len({r.path for r in rows}) == len(rows)
+    return {r.path: r.source for r in rows}, query.lastProgress
+
+
+@pytest.mark.parametrize("listing", ["executors", "driver"])
+def test_stream_has_what_the_driver_lists(spark, tmp_path, listing):
+    land = tmp_path / "land"
+    land.mkdir()
+    want = tree(land)
+    deep = land / "1/2/3/4/5/6"
+    deep.mkdir(parents=True)
+    (deep / "deep.sql").write_text("deep")
+    want = {k: v for k, v in want.items() if v} | {f"file:{deep}/deep.sql": "deep"}
+    assert streamed(spark, str(land), tmp_path, listing=listing)[0] == want
+    (land / "x" / "later.sql").write_text("later")
+    (land / "a.sql").write_text("seen by its path")
+    want |= {f"file:{land}/x/later.sql": "later"}
+    assert streamed(spark, str(land), tmp_path, listing=listing)[0] == want
+
+
+def test_stream_is_listed_by_executors(spark, tmp_path):
+    """A folder for each script, and no path in the sources that the driver keeps."""
+    land = tmp_path / "land"
+    for i in range(300):
+        (land / f"id={i}").mkdir(parents=True)
+        (land / f"id={i}" / "part.txt").write_text(f"text {i}")
+    got, progress = streamed(spark, str(land), tmp_path)
+    assert sorted(got.values()) == sorted(f"text {i}" for i in range(300))
+    assert [s.description for s in progress.sources if "FileStream" in s.description] == []
+    assert not list((tmp_path / "stream-state").glob("sources/*/*"))
+
+
+def test_stream_waits_for_empty_files(spark, tmp_path):
+    land = tmp_path / "land"
+    with pytest.raises(FileNotFoundError):
+        sl.stream_scripts(spark, str(land))
+    land.mkdir()
+    (land / "a.sql").write_text("")
+    (land / "b.sql").write_text("b")
+    assert streamed(spark, str(land), tmp_path)[0] == {f"file:{land}/b.sql": "b"}
+    (land / "a.sql").write_text("a")
+    assert streamed(spark, str(land), tmp_path)[0] == {f"file:{land}/b.sql": "b", f"file:{land}/a.sql": "a"}
+
+
+def test_stream_goes_on_after_a_failed_batch(spark, tmp_path):
+    land = tmp_path / "land"
+    land.mkdir()
+    (land / "a.sql").write_text("a")
+    (land / "b.sql").write_bytes(b"b\xff")
+    with pytest.raises(Exception, match="(?i)utf"):
+        streamed(spark, str(land), tmp_path)
+    (land / "b.sql").write_text("b")
+    (land / "c.sql").write_text("c")
+    want = {f"file:{land}/{c}.sql": c for c in "abc"}
+    assert streamed(spark, str(land), tmp_path)[0] == want
+    with pytest.raises(ValueError, match="listing"):
+        sl.stream_scripts(spark, str(land), listing="other")
+
+
+def test_stream_of_one_file(spark, tmp_path):
+    (tmp_path / "one.sql").write_text("one")
+    (tmp_path / "two.sql").write_text("two")
+    for form in ("{}", "file:{}", "file://{}"):
+        got, _ = streamed(spark, form.format(tmp_path / "one.sql"), tmp_path)
+        assert got == {f"file:{tmp_path}/one.sql": "one"}
+
+
 def test_one_file_a_pattern_and_nothing(spark, tmp_path):
     tree(tmp_path)
     assert [r.source for r in sl.read_scripts(spark, str(tmp_path / "a.sql")).collect()] == ["one"]
